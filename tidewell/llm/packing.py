@@ -28,7 +28,7 @@ from tidewell.llm.common import cut
 BLOCK_ROWS = 16_384
 KEEP = 400_000
 #: Texts with these characters are left to the library as a whole: classes of rare characters may differ between regex engines.
-RARE = re.compile("[\x1c-\x1f\x85֐-\U0010ffff]")
+RARE = re.compile(r"[\x1c-\x1f\x85\u0590-\U0010ffff]")
 
 
 class WordIds(dict):

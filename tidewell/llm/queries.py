@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import html_extract, packing, secret_scan, sharding, token_counts
+from tidewell.llm import html_extract, packing, quality, secret_scan, sharding, token_counts
 from tidewell.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -31,7 +35,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_feistel_shards, op7_html_extract, op8_secret_scan, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op2_token_counts, op3_feistel_shards, op4_adaptive_quality, op7_html_extract, op8_secret_scan, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
