@@ -130,4 +130,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     names = docs.columns
     given = docs.select(F.struct("*").alias("_doc"), "lang", "source", "text")
     limits = fences(signals(docs.select("lang", "source", "text")).drop("text"))
-    return judge(signals(given), limits).filter("kept").select(*[F.col("_doc")[n].alias(n) for n in names])
+    # the partition's number counts as non-deterministic, so Spark doesn't push the filter below the signals, which would repeat
+    # their expressions inside each other
+    judged = judge(signals(given).withColumn("_pin", F.spark_partition_id()), limits)
+    return judged.filter("kept and _pin >= 0").select(*[F.col("_doc")[n].alias(n) for n in names])
