@@ -28,20 +28,27 @@ from tidewell.llm.common import cut
 BLOCK_ROWS = 16_384
 KEEP = 400_000
 #: Texts with these characters are left to the library as a whole: classes of rare characters may differ between regex engines.
-RARE = re.compile(r"[\x1c-\x1f\x85\u0590-\U0010ffff]")
+RARE = re.compile(r"[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0530-\U0010ffff]")
+#: Fixed value: the vocabulary's split into words, in classes of Python's re that mean the same for all other characters.
+WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(free)) for b in range(256)}
 
 
 class WordIds(dict):
     """Little-endian 32-bit ids of the vocabulary's words, by the library when first met."""
 
     def __init__(self, tokenizer_file: str) -> None:
-        import regex
-        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.words = regex.compile(PATTERN).findall
+        self.merge, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
@@ -50,7 +57,8 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > KEEP:
             self.clear()
-        ids = self.whole(word)
+        spelt = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        ids = np.array([t.id for t in self.merge(spelt)], dtype="<u4").tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -60,7 +68,7 @@ class WordIds(dict):
             return b""
         if RARE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, self.words(text)))
+        return b"".join(map(self.__getitem__, WORDS(text)))
 
 
 @lru_cache(maxsize=2)
