@@ -71,7 +71,7 @@ OBSERVATION = (
 def observations(bundles: DataFrame, column: str = "bundle") -> DataFrame:
     """Rows of a JSON bundle's observations; other resources are left out."""
     entries = F.from_json(column, f"struct<entry:array<struct<resource:{OBSERVATION}>>>")["entry"]
-    return bundles.select(F.explode(entries)["resource"].alias("r")).select("r.*").filter(F.col("resourceType") == "Observation")
+    return bundles.select(F.explode(entries).alias("e")).select("e.resource.*").filter(F.col("resourceType") == "Observation")
 
 
 def pivot_fhir(obs: DataFrame, fields: list[str] | None = None) -> DataFrame:

@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewell.schemas import ENTITY, HOUR
 
-_ENTITY = Window.partitionBy(ENTITY).orderBy(HOUR)
-_BACK, _AHEAD = _ENTITY.rowsBetween(Window.unboundedPreceding, 0), _ENTITY.rowsBetween(0, Window.unboundedFollowing)
+
+def _entity() -> WindowSpec:
+    return Window.partitionBy(ENTITY).orderBy(HOUR)
+
+
+def _back() -> WindowSpec:
+    return _entity().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _ahead() -> WindowSpec:
+    return _entity().rowsBetween(0, Window.unboundedFollowing)
 
 
 def carry_forward(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: F.last(c, True).over(_BACK) for c in columns})
+    return df.withColumns({c: F.last(c, True).over(_back()) for c in columns})
 
 
 def interpolate(df: DataFrame, columns: list[str], limit: int = 3) -> DataFrame:
     """Linear by row position, ``limit`` rows into each gap; trailing gaps carry the last value as far; leading ones stay."""
-    df = df.withColumn("_i", F.row_number().over(_ENTITY))
+    df = df.withColumn("_i", F.row_number().over(_entity()))
     seen = {c: F.when(F.col(c).isNotNull(), F.col("_i")) for c in columns}
-    df = df.withColumns({f"_pv_{c}": F.last(c, True).over(_BACK) for c in columns} | {f"_pi_{c}": F.last(x, True).over(_BACK) for c, x in seen.items()})
-    df = df.withColumns({f"_nv_{c}": F.first(c, True).over(_AHEAD) for c in columns} | {f"_ni_{c}": F.first(x, True).over(_AHEAD) for c, x in seen.items()})
+    df = df.withColumns({f"_pv_{c}": F.last(c, True).over(_back()) for c in columns} | {f"_pi_{c}": F.last(x, True).over(_back()) for c, x in seen.items()})
+    df = df.withColumns({f"_nv_{c}": F.first(c, True).over(_ahead()) for c in columns} | {f"_ni_{c}": F.first(x, True).over(_ahead()) for c, x in seen.items()})
     out = {}
     for c in columns:
         pv, pi, nv, ni = (F.col(f"_{k}_{c}") for k in ("pv", "pi", "nv", "ni"))
@@ -44,7 +53,7 @@ def fill_median(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFra
 def cascade(df: DataFrame, fitted: DataFrame, columns: list[str], limit: int = 3) -> DataFrame:
     """Interpolation, then filling forward and backward, then the median."""
     df = interpolate(df, columns, limit)
-    df = df.withColumns({c: F.coalesce(F.last(c, True).over(_BACK), F.first(c, True).over(_AHEAD)) for c in columns})
+    df = df.withColumns({c: F.coalesce(F.last(c, True).over(_back()), F.first(c, True).over(_ahead())) for c in columns})
     return fill_median(df, fitted, columns)
 
 

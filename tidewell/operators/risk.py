@@ -49,7 +49,7 @@ def what_if(df: DataFrame, base: str, deltas: dict[str, float]) -> DataFrame:
     for c, effect in deltas.items():
         moved = moved + F.coalesce(F.col(f"{c}_change"), F.lit(0.0)) * effect
     new = F.least(F.greatest(moved, F.lit(0.02)), F.lit(0.98))
-    return df.withColumns({"new_risk": F.round(new, 6), "recommended": (new - F.col(base)) <= -0.05})
+    return df.withColumns({"new_risk": F.round(new, 9), "recommended": (new - F.col(base)) <= -0.05})
 
 
 def watchlist(df: DataFrame, score: str, least: float = 0.5) -> DataFrame:
