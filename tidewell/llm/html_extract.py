@@ -1,8 +1,8 @@
 """Main-text extraction by a tree-structured graphical model over DOM nodes.
 
 Block elements and text runs are nodes; inline elements melt into the runs. Each node has a hidden state: content, boilerplate
-or mixed (holds both). Parent-child potentials tie a node to its parent, emission potentials tie it to its own tag, class
-words and text shape. Sum-product passes upward and downward give exact marginals in two sweeps over the tree; runs whose
+or mixed (holds both). Parent-child potentials tie a node to its parent, given its tag, class words and links; emission
+potentials tie it to its text's size and shape. Sum-product passes upward and downward give exact marginals in two sweeps over the tree; runs whose
 content marginal exceeds one half are the text. All potentials are counted from labelled pages (:func:`training_pages`).
 
 Defined cases: null and empty html give an empty text; broken markup is read as far as it goes (open elements end with the
@@ -54,6 +54,7 @@ LABEL = re.compile(r"data-label=\"([01])\"")
 
 CONTENT, BOILER, MIXED = 0, 1, 2
 TEXT = "#text"
+TOP = ("#page", "html", "body")
 
 
 @dataclass
@@ -207,46 +208,74 @@ def states(page: Page) -> list[int]:
 
 
 class Model:
-    """Potentials counted from labelled pages, with additive smoothing.
+    """Potentials counted from labelled pages.
 
-    Runs of one page look alike, so they aren't independent given their states: their emissions are raised to ``trust``.
+    Parent-child potentials depend on the child's tag, telling word and links: counts of these fall back on counts of fewer of
+    them, weighted by ``smooth``. Emissions tell how well a state explains a node's text size and shape. Texts of one page look
+    alike, so they aren't independent given their states: emissions are raised to ``trust``. What stands above all blocks is
+    mixed and not counted.
     """
 
-    def __init__(self, pages: list[str], smooth: float = 0.2, trust: float = 0.3) -> None:
-        pair: Counter = Counter()
-        emit: dict[str, Counter] = {}
+    def __init__(self, pages: list[str], smooth: float = 0.5, trust: float = 0.1, named: float = 0.5) -> None:
+        self.pairs: dict[tuple, Counter] = {}
+        self.emit: dict[tuple, Counter] = {}
         self.total: Counter = Counter()
+        self.smooth, self.trust, self.named = smooth, trust, named
         for html in pages:
             page = parse(html)
             y = states(page)
-            for i in range(len(y)):
-                leaf = page.text[i] is not None
-                if i:
-                    pair[leaf, y[page.parent[i]], y[i]] += 1
-                for k, x in enumerate(page.kind[i]):
-                    emit.setdefault((leaf, k), Counter())[x, y[i]] += 1
-                self.total[leaf, y[i]] += 1
-        self.smooth, self.emit, self.trust = smooth, emit, trust
-        self.pair = {}
-        for leaf in (False, True):
-            options = 2 if leaf else 3  # a run is never mixed
-            self.pair[leaf] = [
-                [(pair[leaf, a, b] + smooth) / (sum(pair[leaf, a, c] for c in range(3)) + options * smooth) if b < options else 0.0 for b in range(3)] for a in range(3)
-            ]
+            for i, kind in enumerate(page.kind):
+                if kind[0] in TOP:
+                    continue
+                above = y[page.parent[i]]
+                for part in self.parts(kind):
+                    self.pairs.setdefault((above, part), Counter())[y[i]] += 1
+                for k, x in self.shown(kind):
+                    self.emit.setdefault((kind[0] == TEXT, k), Counter())[x, y[i]] += 1
+                self.total[kind[0] == TEXT, y[i]] += 1
+        self.known_pairs: dict[tuple, list] = {}
         self.known: dict[tuple, tuple] = {}
 
+    @staticmethod
+    def parts(kind: tuple) -> list[tuple]:
+        """What potentials look at, from least to most."""
+        if kind[0] == TEXT:
+            return [(TEXT,), (TEXT, kind[2]), kind]
+        return [("",), kind[:1], kind[:2], kind[:3]]
+
+    @staticmethod
+    def shown(kind: tuple) -> list[tuple]:
+        return list(enumerate(kind))[1:] if kind[0] == TEXT else [(1, kind[:2]), (3, kind[3])]
+
+    def potential(self, kind: tuple) -> list:
+        """For each state of the parent the probabilities of the child's states."""
+        got = self.known_pairs.get(kind)
+        if got is None:
+            options = (CONTENT, BOILER) if kind[0] == TEXT else (CONTENT, BOILER, MIXED)
+            got = []
+            for above in range(3):
+                row = [1 / len(options) if y in options else 0.0 for y in range(3)]
+                for k, part in enumerate(self.parts(kind)):
+                    seen, weight = self.pairs.get((above, part), Counter()), self.smooth if k else 0.01
+                    row = [(seen[y] + weight * row[y]) / (sum(seen.values()) + weight) for y in range(3)]
+                got.append(row)
+            self.known_pairs[kind] = got
+        return got
+
     def emission(self, kind: tuple) -> tuple:
-        """How well each state explains a node: features count as independent given the state."""
+        """How well each state explains a node's size and, for runs, shape."""
+        if kind[0] in TOP:
+            return (1e-6, 1e-6, 1.0)
         got = self.known.get(kind)
         if got is None:
             leaf, out = kind[0] == TEXT, []
             for y in range(3):
                 p = 1.0
-                for k, x in enumerate(kind):
-                    seen = self.emit.get((leaf, k), {})
+                for k, x in self.shown(kind):
+                    seen = self.emit.get((leaf, k), Counter())
                     values = len({v for v, _ in seen}) + 1
-                    p *= (seen.get((x, y), 0) + self.smooth) / (self.total[leaf, y] + values * self.smooth)
-                out.append(0.0 if leaf and y == MIXED else p**self.trust if leaf else p)
+                    p *= ((seen[x, y] + self.smooth) / (self.total[leaf, y] + values * self.smooth)) ** (self.trust if leaf or k == 3 else self.named)
+                out.append(0.0 if leaf and y == MIXED else p)
             top = max(out)
             got = self.known[kind] = tuple(p / top for p in out)
         return got
@@ -255,11 +284,11 @@ class Model:
         """Each node's probability of content: messages to the parents, last node first, then back to the children."""
         parent, n = page.parent, len(page.parent)
         up = [self.emission(k) for k in page.kind]
-        leafs = [t is not None for t in page.text]
+        pairs = [self.potential(k) for k in page.kind]
         message: list[tuple] = [(1.0, 1.0, 1.0)] * n
         for i in range(n - 1, 0, -1):
             a, b, c = up[i]
-            q, r, s = self.pair[leafs[i]]
+            q, r, s = pairs[i]
             x, y, z = q[0] * a + q[1] * b + q[2] * c, r[0] * a + r[1] * b + r[2] * c, s[0] * a + s[1] * b + s[2] * c
             message[i] = (x, y, z)
             p = parent[i]
@@ -273,7 +302,7 @@ class Model:
         for i in range(1, n):
             (u, v, w), (x, y, z) = belief[parent[i]], message[i]
             u, v, w = u / x, v / y, w / z  # the parent's belief without this child's own message
-            q, r, s = self.pair[leafs[i]]
+            q, r, s = pairs[i]
             a, b, c = up[i]
             a, b, c = a * (q[0] * u + r[0] * v + s[0] * w), b * (q[1] * u + r[1] * v + s[1] * w), c * (q[2] * u + r[2] * v + s[2] * w)
             t = a + b + c
@@ -360,7 +389,7 @@ def _content(rng: random.Random) -> str:
             blocks.append("<table>" + "".join(f"<tr><td>{_words(rng, 1, 3)}</td><td>{_words(rng, 1, 3)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>")
         else:
             blocks.append(f'<p>{_words(rng, 2, 9)} <a href="/x">{_words(rng, 1, 4)}</a> {_sentences(rng)}</p>')
-        if rng.random() < 0.06:
+        if rng.random() < 0.08:
             blocks.append(_boiler(rng, rng.choice(("advert", "share", "side", "notice", "form"))))
     title = rng.choice((f"<h1>{_words(rng, 1, 12)}{rng.choice(('', '.'))}</h1>", "", f"<header><h1>{_words(rng, 1, 10)}</h1></header>" if rng.random() < 0.2 else ""))
     return title + "".join(blocks)
