@@ -6,6 +6,9 @@ one byte buffer, cut only behind bytes after which every state falls back to the
 the array together, so each byte is looked at once for all rules. Transitions that end a match carry the rule's bit; its start
 comes from the rule's reversed automaton, run backwards from that end.
 
+Rules must end in a run that takes all it can (``+``, ``{n,}``) or in a fixed end that can't follow itself, as secrets' rules
+do: a match ends where the automaton leaves the rule's accepting states.
+
 Defined cases: a null or empty text has no spans; rows are judged one by one, so repeated rows give repeated results; other
 columns are carried along untouched; an empty table gives an empty result. Texts have no length limit.
 """
