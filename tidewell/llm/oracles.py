@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewell.llm.mixing import BITS, BLOCK_ROWS, EVENNESS, MOST_REPEATS, ROUNDS
 from tidewell.llm.quality import FENCES, LEAST_ROWS
 
 _SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -61,4 +62,25 @@ r AS (SELECT u, v FROM both_ways UNION SELECT r.u, b.v FROM r JOIN both_ways b O
 m AS (SELECT u AS doc_id, least(u, min(v)) AS component_id FROM r GROUP BY u)
 SELECT n.doc_id, n_shingles, coalesce(component_id, n.doc_id) AS component_id, n.doc_id = coalesce(component_id, n.doc_id) AS kept FROM n LEFT JOIN m USING (doc_id)"""
 
-ORACLES = {"op4_adaptive_quality": _QUALITY, "op5_near_duplicates": _NEAR, "op6_nearest": _NEAREST}
+_MIXING = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len({_SPLIT}) AS BIGINT) AS n_tokens FROM documents),
+t AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS rows FROM d GROUP BY source),
+s AS (SELECT CAST(sum(tokens) AS DOUBLE) AS total, count(*) FILTER (WHERE tokens > 0) AS live, min(tokens) FILTER (WHERE tokens > 0) AS least, max(tokens) AS most FROM t),
+p AS (SELECT source, ln(tokens / total) AS lp FROM t, s WHERE tokens > 0),
+bis AS (SELECT 0 AS k, CAST(0.0 AS DOUBLE) AS lo, CAST(1.0 AS DOUBLE) AS hi
+  UNION ALL SELECT k + 1, CASE WHEN fits THEN lo ELSE mid END, CASE WHEN fits THEN mid ELSE hi END FROM (
+    SELECT k, lo, hi, (lo + hi) / 2 AS mid, (SELECT ln(sum(exp((lo + hi) / 2 * lp))) - (lo + hi) / 2 * sum(exp((lo + hi) / 2 * lp) * lp) / sum(exp((lo + hi) / 2 * lp)) FROM p) <= {EVENNESS} * (SELECT ln(live) FROM s) + 1e-12
+      AND (SELECT pow(CAST(most AS DOUBLE) / least, 1 - (lo + hi) / 2) FROM s) <= {MOST_REPEATS} + 1e-12 AS fits FROM bis WHERE k < {ROUNDS * BITS})),
+z0 AS (SELECT (SELECT ln(sum(1.0)) FROM p) <= {EVENNESS} * (SELECT ln(live) FROM s) + 1e-12 AND (SELECT CAST(most AS DOUBLE) / least FROM s) <= {MOST_REPEATS} + 1e-12 AS zero_fits),
+e AS (SELECT CASE WHEN zero_fits THEN 0.0 ELSE hi END AS t FROM bis, z0 WHERE k = {ROUNDS * BITS}),
+w AS (SELECT source, tokens, rows, CASE WHEN tokens > 0 THEN exp((SELECT t FROM e) * ln(tokens / total)) / (SELECT sum(exp((SELECT t FROM e) * lp)) FROM p) ELSE 0 END AS weight FROM t, s),
+b AS (SELECT *, greatest(CAST(round(weight * (SELECT max(tokens / nullif(weight, 0)) FROM w)) AS BIGINT), tokens) AS budget, CAST(ceil(rows / {BLOCK_ROWS}) AS BIGINT) AS blocks FROM w),
+c AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS passes FROM b),
+f AS (SELECT *, budget - passes * tokens AS rest FROM c),
+k AS (SELECT d.*, weight, passes, rest, md5('42:' || d.doc_id) AS doc_key, blocks FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source),
+k2 AS (SELECT *, CAST('0x' || substr(doc_key, 25, 8) AS BIGINT) % greatest(blocks, 1) AS block FROM k),
+k3 AS (SELECT *, md5('42:' || coalesce(source, '') || ':' || block) AS block_key FROM k2),
+u AS (SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY source ORDER BY block_key, doc_key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto FROM k3)
+SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, CAST(passes + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies, block, block_key, doc_key FROM u"""
+
+ORACLES = {"op10_temperature_mixing": _MIXING, "op4_adaptive_quality": _QUALITY, "op5_near_duplicates": _NEAR, "op6_nearest": _NEAREST}
