@@ -171,3 +171,11 @@ def padded_statistics(df: DataFrame, columns: list[str], width: int = WIDTH) ->
 def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
     """A 0/1 column for each declared level; a null has none."""
     return df.withColumns({f"{c}_{v}": F.when(F.col(c) == v, 1).otherwise(0) for c in columns for v in CATEGORIES[c]})
+
+
+def full_set(df: DataFrame, signals: list[str], width: int = WIDTH) -> DataFrame:
+    """All features of the exact mode: statistics, alert load, trends, variability, clinical scores, latest values, levels."""
+    out = alert_load(statistics(df, signals, width), width)
+    out = clinical(variability(trends(out, signals, width), width), width)
+    out = out.withColumns({f"{c}_latest": F.col(c) for c in signals})
+    return one_hot(out, [c for c in ("gender", "admission_type") if c in df.columns])

@@ -32,3 +32,33 @@ def backfill_outcomes(predictions: DataFrame, outcomes: DataFrame, key: str = "p
     """Open predictions take their entity's outcome."""
     joined = predictions.join(outcomes.select(key, F.col("outcome").alias("_o")), key, "left")
     return joined.withColumn("actual_outcome", F.coalesce("actual_outcome", "_o")).drop("_o")
+
+
+def create_version(registry: DataFrame, version: str, model_type: str, created_at: float) -> DataFrame:
+    """``registry`` and a new version without a role."""
+    new = registry.sparkSession.createDataFrame([(version, model_type, created_at, False, False, False)], "version_id string, model_type string, created_at double, champion boolean, challenger boolean, retired boolean")
+    return registry.unionByName(new, allowMissingColumns=True)
+
+
+def set_challenger(registry: DataFrame, version: str) -> DataFrame:
+    return registry.withColumn("challenger", (F.col("version_id") == version) & ~F.col("champion") & ~F.col("retired"))
+
+
+def discard_challenger(registry: DataFrame) -> DataFrame:
+    return registry.withColumns({"retired": F.col("retired") | F.col("challenger"), "challenger": F.lit(False)})
+
+
+def roll_back(registry: DataFrame) -> DataFrame:
+    """The newest retired version becomes the champion again; the present one is retired. Without one nothing changes."""
+    newest = registry.filter("retired").agg(F.max_by("version_id", F.struct("created_at", "version_id")).alias("_back"))
+    joined = registry.crossJoin(F.broadcast(newest))  # one row
+    back, some = F.col("version_id") == F.col("_back"), F.col("_back").isNotNull()
+    changed = {"retired": F.when(some & F.col("champion"), True).when(some & back, False).otherwise(F.col("retired")), "champion": F.when(some, F.coalesce(back, F.lit(False))).otherwise(F.col("champion"))}
+    return joined.withColumns(changed).drop("_back")
+
+
+def pair(registry: DataFrame) -> DataFrame:
+    """Champion and challenger side by side."""
+    live = registry.filter("not retired")
+    champion = live.filter("champion").select(F.col("version_id").alias("champion_id")).limit(1)
+    return champion.crossJoin(live.filter("challenger").select(F.col("version_id").alias("challenger_id")).limit(1))
