@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import cut
 
+#: Edges of 16 to 100 bytes that one task may take.
+EDGES_PER_TASK = 200_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """``edges`` (u, v): for the large star both directions, else from the larger to the smaller node."""
@@ -29,11 +32,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select("u", "v").filter("u != v")
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    # a table of few edges goes on in few partitions
+    few = lambda e, n: e.coalesce(max(1, n // EDGES_PER_TASK))
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     seen = mark(edges)
     while seen[0]:
+        edges = few(edges, seen[0])
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        down = _star(both, True).filter("u != v").distinct()
+        down = _star(both, True).filter("u != v")
         edges = cut(_star(down.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False).filter("u != v").distinct())
         now = mark(edges)
         if now == seen:

@@ -6,11 +6,11 @@ texts, is followed to the first filled one. Bands of five bins are bucket keys.
 51 bands with a probability of about 2e-9.
 
 Texts with equal sets are one class from the start. Within a bucket, candidates form a star round its smallest member, so a
-bucket of n gives n - 1 pairs. For each text the star pair that shares most buckets is confirmed first, on the full sets of
-words. Components of confirmed links settle nearly all buckets. In the buckets that still hold several components, and in
-those alone, every pair from different components is looked at: sizes and signatures, compared in whole columns, rule out
-pairs far below the limit, and the rest are confirmed. So no link is lost to the star's choice of centre, no bucket is capped,
-and large groups of near copies never give all their pairs.
+bucket of n gives n - 1 pairs. Star pairs that share several buckets are confirmed first, on the full sets of words.
+Components of confirmed links settle nearly all buckets. In the buckets that still hold several components, and in those
+alone, every pair from different components is looked at: sizes and signatures, compared in whole columns, rule out pairs far below the limit, and the rest are confirmed,
+against large components member by member within a task. So no link is lost to the star's choice of centre, no bucket is
+capped, and large groups of near copies never give all their pairs as rows.
 
 Defined cases: null and blank texts have no shingles and are linked with nothing; with fewer words than a shingle has, the
 whole sequence is one shingle; repeated rows give repeated results; rows without an id take no part (no class, kept); an empty
@@ -36,10 +36,12 @@ BINS, BAND, SEED = 256, 5, 11
 BANDS = BINS // BAND
 #: Share of equal signature bytes below which a pair isn't confirmed: over five standard errors below the limit.
 LEAST_MATCH = 0.66
-#: Buckets shared for a star pair to be confirmed in the first turn; pairs with fewer are left to the second.
+#: Buckets shared for a star pair to be confirmed in the first turn; what pairs with fewer hold is found in the second.
 FIRST_SHARED = 4
 #: Members of a bucket that one task compares with as many others; larger buckets go by pairs of such parts.
 PART = 4096
+#: Components of more members are asked about as a whole, their members cut into chunks.
+SMALL, CHUNK_MEMBERS = 8, 256
 #: Ids up to which a list of needed documents is broadcast, eight bytes each and the table's overhead.
 BROADCAST_IDS = 1_000_000
 KEEP = 300_000
@@ -105,11 +107,12 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A key for each band; its lower six bits are the band's number."""
     keys = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for k in range(BAND):
         keys = (keys ^ sig[k : BANDS * BAND : BAND]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(31)
-    return keys.view(np.int64)
+    return (keys & ~np.uint64(63) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 SKETCH = "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"
@@ -166,14 +169,18 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
+MEMBERS = ["key", "part", "side", "band", "doc_id", "component", "comp_size", "n_shingles", "sig"]
+
+
 def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and part pair but different components that size and signature don't rule out.
+    """``u, v, component``: pairs of one bucket but different components that size and signature don't rule out.
 
-    ``members``: key, part, n_shingles, doc_id, component, sig; dealt by key and part and sorted, so groups are runs of rows.
+    Every pair comes once, in the first bucket that it shares, where the larger component is small; a large one stands for its
+    members: ``v`` is then null and ``component`` names it.
+    ``members`` are dealt by key and part and sorted, so groups are runs of rows.
     """
-    names = ["key", "part", "side", "doc_id", "component", "n_shingles", "sig"]
 
-    def compare(group: np.ndarray, side: np.ndarray, doc: np.ndarray, comp: np.ndarray, size: np.ndarray, sig: np.ndarray):
+    def compare(group, side, band, doc, comp, comp_size, size, sig):
         """``group`` numbers runs of rows; rows ``d`` apart are compared for each ``d`` that a run is long enough for."""
         rows, d, out = np.arange(len(group)), 0, []
         while True:
@@ -187,10 +194,23 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
             # of two different parts, only pairs across them: those within come up in the part's own group
             on = (comp[i] != comp[j]) & (100 * few >= percent * many) & ((side[i] != side[j]) | (side[i] == 2))
             i, j = i[on], j[on]
-            if i.size:
-                near = (sig[i] == sig[j]).mean(axis=1) >= LEAST_MATCH
-                out.append((np.minimum(doc[i[near]], doc[j[near]]), np.maximum(doc[i[near]], doc[j[near]])))
-        return out
+            for low in range(0, i.size, 20_000):
+                x, y = i[low : low + 20_000], j[low : low + 20_000]
+                equal = sig[x] == sig[y]
+                near = equal.mean(axis=1) >= LEAST_MATCH
+                x, y, equal = x[near], y[near], equal[near]
+                first = equal[:, : BANDS * BAND].reshape(-1, BANDS, BAND).all(axis=2).argmax(axis=1) == band[x]
+                x, y = x[first], y[first]
+                swap = comp_size[x] > comp_size[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                out.append((doc[x], np.where(comp_size[y] > SMALL, -1, doc[y]), np.where(comp_size[y] > SMALL, comp[y], -1)))
+        found = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 3
+        if len(found[0]):
+            large = np.flatnonzero(found[2] >= 0)  # one row stands for all members of a large component
+            once = large[np.unique(np.column_stack([found[0][large], found[2][large]]), axis=0, return_index=True)[1]]
+            keep = np.concatenate([np.flatnonzero(found[2] < 0), once])
+            found = [c[keep] for c in found]
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
@@ -198,15 +218,15 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
         def result(columns, upto: int) -> pa.RecordBatch:
             key, part, *other = (c[:upto] for c in columns)
             change = np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])] if upto else np.zeros(0, bool)
-            found = compare(np.cumsum(change), *other)
-            u, v = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            u, v, comp = compare(np.cumsum(change), *other)
+            v, comp = pa.array(v, pa.int64(), mask=v < 0), pa.array(comp, pa.int64(), mask=comp < 0)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), v, comp], names=["u", "v", "component"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            columns.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype=np.uint8).reshape(-1, BINS))
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(MEMBERS) - 1)]
+            columns.append(np.frombuffer(b"".join(batch.column(len(MEMBERS) - 1).to_pylist()), dtype=np.uint8).reshape(-1, BINS))
             columns = columns if rest is None else [np.concatenate(x) for x in zip(rest, columns)]
             same = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])
             upto = len(same) - int(same.sum())  # the last group may go on
@@ -216,8 +236,55 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
         if rest is not None:
             yield result(rest, len(rest[0]))
 
-    dealt = members.select(*names).repartition("key", "part").sortWithinPartitions("key", "part", "n_shingles", "doc_id")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    dealt = members.select(*MEMBERS).repartition("key", "part").sortWithinPartitions("key", "part", "n_shingles", "doc_id")
+    return dealt.mapInArrow(run, "u long, v long, component long")
+
+
+def confirm_large(asked: DataFrame, groups: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) of each document ``u`` with the first similar member of ``component``, if there is one.
+
+    A component's members are cut into chunks; the documents that ask about it go to each chunk. So no row stands for a pair.
+    """
+    size = groups.groupBy("component").agg(F.ceil(F.count("*") / CHUNK_MEMBERS).alias("chunks"))
+    asked = asked.join(size, "component").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    wanted = asked.select("component").distinct()
+    inside = groups.join(wanted, "component", "left_semi").join(size, "component").select(F.col("node").alias("v"), "component", chunk.alias("chunk"))
+    asked, inside = cut(asked.select("u", "component", "chunk")), cut(inside)
+    ids = cut(asked.select(F.col("u").alias("doc_id")).unionByName(inside.select(F.col("v").alias("doc_id"))).distinct())
+    texts = docs.join(by_size(ids, BROADCAST_IDS), "doc_id", "left_semi")
+    named = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    left = asked.join(named("u"), "u").select("u", F.col("component").alias("of_u"), F.col("chunk").alias("chunk_u"), "text_u")
+    right = inside.join(named("v"), "v").select("v", F.col("component").alias("of_v"), F.col("chunk").alias("chunk_v"), "text_v")
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        members = [(v, shingles(split_words(t), width)) for v, t in zip(b["v"].to_pylist(), b["text_v"].to_pylist())]
+        found = []
+        for u, t in zip(a["u"].to_pylist(), a["text_u"].to_pylist()):
+            own = shingles(split_words(t), width)
+            for v, other in members:
+                if 100 * min(len(own), len(other)) >= percent * max(len(own), len(other)):
+                    common = len(own & other)
+                    if common and 100 * common >= percent * (len(own) + len(other) - common):
+                        found.append((u, v))
+                        break
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return left.groupBy("of_u", "chunk_u").cogroup(right.groupBy("of_v", "chunk_v")).applyInArrow(run, "u long, v long")
+
+
+def _open_members(shared: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, in pairs of parts, with signatures."""
+    named = groups.join(groups.groupBy("component").agg(F.count("*").alias("comp_size")), "component").withColumnRenamed("node", "doc_id")
+    placed = shared.join(named, "doc_id", "left").withColumns({"component": F.coalesce("component", "doc_id"), "comp_size": F.coalesce("comp_size", F.lit(1).cast("long"))})
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
+    members = placed.join(open_keys, "key", "left_semi").withColumn("parts", F.ceil(F.col("size") / PART))
+    own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(F.lit(0))
+    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    members = members.withColumn("part", F.least("own", "other") * F.col("parts") + F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+    members = members.withColumns({"side": side, "band": F.col("key").bitwiseAND(63)})
+    return members.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id").select(*MEMBERS)
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -227,23 +294,19 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     classes = cut(rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     whole = by_size(classes.select(F.col("rep").alias("doc_id")), BROADCAST_IDS)
     reps = rows.filter("set_key is not null").join(whole, "doc_id", "left_semi")
-    banded = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"), F.count("*").alias("size")).filter("centre < last")
-    shared = cut(banded.join(buckets.drop("last"), "key"))
+    banded = reps.select("doc_id", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("size")).filter("size > 1")
+    shared = cut(banded.join(buckets, "key"))
     stars = shared.filter("doc_id > centre").groupBy(F.col("centre").alias("u"), F.col("doc_id").alias("v")).agg(F.count("*").alias("n"))
-    best = stars.filter(F.col("n") >= FIRST_SHARED).groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"))
-    links = cut(confirm(cut(best.select("u", "v")), docs, width, percent))
+    links = cut(confirm(cut(stars.filter(F.col("n") >= FIRST_SHARED).select("u", "v")), docs, width, percent))
     groups = cut(connected_components(links))
-
-    placed = shared.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
-    members = cut(placed.join(open_keys, "key", "left_semi").withColumn("parts", F.ceil(F.col("size") / PART)))
-    own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(F.lit(0))
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    members = members.withColumn("part", F.least("own", "other") * F.col("parts") + F.greatest("own", "other"))
-    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    members = members.withColumn("side", side).join(reps.select("doc_id", "sig"), "doc_id")
-    more = cut(confirm(cut(cross_pairs(members, percent)), docs, width, percent))
+    rest = cut(cross_pairs(_open_members(shared, reps, groups), percent).distinct())
+    pairs = rest.filter("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    asked = rest.filter("v is null").select("u", "component")
+    more = confirm(cut(pairs), docs, width, percent)
+    if asked.limit(1).count():
+        more = more.unionByName(confirm_large(asked, groups, docs, width, percent))
+    more = cut(more)
     if more.limit(1).count():
         groups = cut(connected_components(links.unionByName(more)))
 
