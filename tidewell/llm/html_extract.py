@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import map_texts
+
 #: Fixed values of HTML: elements without an end tag, elements whose inside is no markup, inline elements, and end tags left out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object head textarea select title canvas audio video".split())
@@ -426,4 +428,4 @@ def extract(pages: DataFrame, training: int = 600, seed: int = 7) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return read.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+    return map_texts(read, run, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))

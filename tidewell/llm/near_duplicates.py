@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import by_size, cut
+from tidewell.llm.common import by_size, cut, map_texts
 from tidewell.llm.components import connected_components
 
 BINS, BAND, SEED = 256, 5, 11
@@ -142,7 +142,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "sig", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SKETCH)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -166,7 +166,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["u", "v"])
 
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+    return map_texts(both.select("u", "v", "text_u", "text_v"), run, "u long, v long")
 
 
 MEMBERS = ["key", "part", "side", "band", "doc_id", "component", "comp_size", "n_shingles", "sig"]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut
+from tidewell.llm.common import cut, map_texts
 
 #: Pieces that one task packs at most (about), and words whose ids a worker keeps.
 BLOCK_ROWS = 16_384
@@ -107,7 +107,7 @@ def token_pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, tokenizer_f
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), run, PIECES)
 
 
 class Capacities:

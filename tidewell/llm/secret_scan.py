@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidewell.llm.common import map_texts
+
 #: Kind, regex, least length of the match, least length of the value after the separator (0: not looked at).
 #: The first three are the contract's; hex has its least length in the pattern, which cuts the same runs.
 RULES = (
@@ -310,7 +312,7 @@ def find_secrets(docs: DataFrame, rules: tuple = RULES, text: str = "text") -> D
                 spans = [[{"kind": rules[r][0], "start": s, "end": e} for r, s, e in x] for x in scan_texts(scanner, texts)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, kind)], names=[*part.schema.names, "spans"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(SPANS).fields]))
+    return map_texts(docs, run, StructType([*docs.schema.fields, *StructType.fromDDL(SPANS).fields]))
 
 
 def digest(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
@@ -350,4 +352,4 @@ def redact(docs: DataFrame, rules: tuple = RULES, mark: str = "[SECRET]") -> Dat
                 arrays[where] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import map_texts
+
 MARK = "▁"
 CHUNK = 1 << 16
 #: Words and states that a worker keeps before it begins anew.
@@ -201,5 +203,5 @@ def count_tokens(docs: DataFrame, model_file: str | None = None, text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], names=["doc_id", "n_bytes", "n_tokens"])
 
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("n_bytes"), F.col(text).alias("text")).mapInArrow(run, schema)
+    rows = map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("n_bytes"), F.col(text).alias("text")), run, schema)
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)
