@@ -169,18 +169,19 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return map_texts(both.select("u", "v", "text_u", "text_v"), run, "u long, v long")
 
 
-MEMBERS = ["key", "part", "side", "band", "doc_id", "component", "comp_size", "n_shingles", "sig"]
+MEMBERS = ["key", "part", "side", "band", "doc_id", "component", "comp_size", "n_shingles", "bands", "sig"]
 
 
 def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     """``u, v, component``: pairs of one bucket but different components that size and signature don't rule out.
 
-    Every pair comes once, in the first bucket that it shares, where the larger component is small; a large one stands for its
-    members: ``v`` is then null and ``component`` names it.
+    Every pair comes once, in the first bucket that it shares by the bucket keys themselves (signature bytes may agree by chance
+    where keys differ), where the larger component is small; a large one stands for its members: ``v`` is then null and
+    ``component`` names it.
     ``members`` are dealt by key and part and sorted, so groups are runs of rows.
     """
 
-    def compare(group, side, band, doc, comp, comp_size, size, sig):
+    def compare(group, side, band, doc, comp, comp_size, size, bands, sig):
         """``group`` numbers runs of rows; rows ``d`` apart are compared for each ``d`` that a run is long enough for."""
         rows, d, out = np.arange(len(group)), 0, []
         while True:
@@ -196,10 +197,9 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
             i, j = i[on], j[on]
             for low in range(0, i.size, 20_000):
                 x, y = i[low : low + 20_000], j[low : low + 20_000]
-                equal = sig[x] == sig[y]
-                near = equal.mean(axis=1) >= LEAST_MATCH
-                x, y, equal = x[near], y[near], equal[near]
-                first = equal[:, : BANDS * BAND].reshape(-1, BANDS, BAND).all(axis=2).argmax(axis=1) == band[x]
+                near = (sig[x] == sig[y]).mean(axis=1) >= LEAST_MATCH
+                x, y = x[near], y[near]
+                first = (bands[x] == bands[y]).argmax(axis=1) == band[x]
                 x, y = x[first], y[first]
                 swap = comp_size[x] > comp_size[y]
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
@@ -225,7 +225,8 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(MEMBERS) - 1)]
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(MEMBERS) - 2)]
+            columns.append(batch.column(len(MEMBERS) - 2).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS))
             columns.append(np.frombuffer(b"".join(batch.column(len(MEMBERS) - 1).to_pylist()), dtype=np.uint8).reshape(-1, BINS))
             columns = columns if rest is None else [np.concatenate(x) for x in zip(rest, columns)]
             same = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])
@@ -284,7 +285,7 @@ def _open_members(shared: DataFrame, reps: DataFrame, groups: DataFrame) -> Data
     members = members.withColumn("part", F.least("own", "other") * F.col("parts") + F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
     members = members.withColumns({"side": side, "band": F.col("key").bitwiseAND(63)})
-    return members.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id").select(*MEMBERS)
+    return members.join(reps.select("doc_id", "n_shingles", "bands", "sig"), "doc_id").select(*MEMBERS)
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
