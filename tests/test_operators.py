@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import alerts, clinical_docs, features, grid, impute, labels, quality, split
+from tidewell.operators import alerts, clinical_docs, drift, features, grid, impute, labels, quality, split
 from tidewell.schemas import ENTITY, HOUR
 
 
@@ -89,6 +89,35 @@ def test_cooldown_is_sequential(spark):
     assert sorted(r["ts"].timestamp() for r in alerts.cool_down(df).collect()) == [0, 600, 1300]
 
 
+def test_cooldown_of_one_clock_is_spread_and_equals_a_plain_fold(spark, monkeypatch):
+    monkeypatch.setattr(alerts, "BLOCK_COOLDOWNS", 3)
+    monkeypatch.setattr(alerts, "BLOCK_SECONDS", 1)
+    rng = random.Random(4)
+    rows = [(r, c, rng.randint(1, 30), 1_000_000 + rng.randint(0, 900) * step) for r, c, step in (("dense", 20, 1), ("sparse", 7, 50), ("none", 0, 1), (None, 9, 3)) for _ in range(800)]
+    df = spark.createDataFrame(rows, "rule string, cooldown int, patient_id long, t long").withColumn("ts", F.timestamp_seconds("t"))
+    got = alerts.cool_down(df)
+    want, last = [], {}
+    for r, c, p, t in sorted(rows, key=lambda x: (str(x[0]), x[3], x[2])):
+        if r not in last or t - last[r] >= c:
+            last[r] = t
+            want.append((str(r), p, t))
+    assert sorted((str(r["rule"]), r["patient_id"], int(r["ts"].timestamp())) for r in got.collect()) == sorted(want)
+    own = alerts.cool_down(df, ("rule", "patient_id"))
+    assert own.columns == ["rule", "patient_id", "ts"] and own.count() > len(want)
+    assert "collect_list" not in got._jdf.queryExecution().toString() and got.rdd.getNumPartitions() > 1
+
+
+def test_ks_is_exact_and_its_running_sums_are_not_in_one_task(spark):
+    rng = random.Random(6)
+    a, b = ([rng.choice([round(rng.gauss(m, 1), 1), rng.gauss(m, 1)]) for _ in range(700)] for m in (0, 0.3))
+    frames = [spark.createDataFrame([(v,) for v in [*x, None]], "x double") for x in (a, b)]
+    df = drift.ks_statistic(*frames, "x")
+    values = sorted({*a, *b})
+    assert df.first()["ks"] == round(max(abs(sum(v <= x for v in a) / len(a) - sum(v <= x for v in b) / len(b)) for x in values), 6)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(x#" not in plan and "windowspecdefinition(part#" in plan
+
+
 def test_hl7_frames_and_broken_messages(spark):
     text = "\x0bMSH|^~\\&|A|B|C|D|20240101||ORU^R01|MSG001|P|2.5\nPID|1||12345^^^H||X||19850322|F\nOBX|1|NM|8867-4^heart_rate^LN||88\nOBX|2|NM|9279-1^rr^LN||n/a\x1c\r"
     out = clinical_docs.acknowledgement(clinical_docs.parse_hl7(spark.createDataFrame([(text,), ("junk",)], "message string")))
