@@ -30,6 +30,8 @@ from pyspark.sql.types import StructType
 
 from tidewell.llm.common import map_texts
 
+#: A private key's first line and what its body holds: base64, line ends (also escaped ones) and indentation behind them.
+PEM, BODY = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", r"(?:[A-Za-z0-9+/=\\]|[\r\n][\x20\t]*)"
 #: Kind, regex, least length of the match, least length of the value after the separator (0: not looked at).
 #: The first three are the contract's; hex has its least length in the pattern, which cuts the same runs.
 RULES = (
@@ -40,7 +42,8 @@ RULES = (
     ("slack", r"xox[abprs]-[A-Za-z0-9-]+", 20, 0),
     ("google", r"AIza[A-Za-z0-9_-]+", 35, 0),
     ("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]+", 24, 0),
-    ("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 0),
+    ("pem", rf"{PEM}{BODY}*", 0, 0),
+    ("pem_headed", rf"{PEM}[\x20\t]*\r?\n(?:[\x20\t]*[A-Za-z0-9-]+:[^\r\n]*\r?\n)+[\x20\t]*\r?\n{BODY}+", 0, 0),
 )
 BASE = 3
 VALUE = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
