@@ -28,7 +28,10 @@ from tidewell.llm.common import map_texts
 
 #: Fixed values of HTML: elements without an end tag, elements whose inside is no markup, inline elements, and end tags left out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object head textarea select title canvas audio video".split())
+RAW = frozenset("script style noscript template iframe svg object head textarea select title canvas audio video annotation annotation-xml".split())
+#: Of these, what stands without an end tag takes the rest of the page; the others are then ordinary open elements.
+TO_THE_END = frozenset("script style textarea title".split())
+MATH = frozenset("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -113,7 +116,7 @@ def parse(html: str) -> Page:
     def close(depth: int) -> None:
         del open_tags[depth:], path[depth:]
 
-    at, scan, size = 0, TOKEN.search, len(html)
+    at, scan, size, unclosed = 0, TOKEN.search, len(html), set()
     while at < size:
         m = scan(html, at)
         if m is None:
@@ -129,24 +132,27 @@ def parse(html: str) -> Page:
         if name is None:  # comment, doctype or instruction
             continue
         name = name.lower()
-        if name in INLINE:
+        if name in INLINE or name in MATH:
             if name == "a":
                 links = 0 if m[1] else 1
             continue
         if name == "br":
             pieces.append(" ")
             continue
-        if name in RAW:
+        if name in RAW and (name not in unclosed or m[1] or m[3].endswith("/")):
             if not m[1] and not m[3].endswith("/"):
                 end = re.compile(rf"</{name}\s*>|<body[\s>]" if name == "head" else rf"</{name}\s*>", re.I).search(html, at)
                 if name == "head" and end is not None and end[0][1] != "/":
                     at = end.start()
                 elif end is not None:
                     at = end.end()
-                elif name != "head":
+                elif name in TO_THE_END:
                     at = size
+                elif name != "head":
+                    unclosed.add(name)
             pieces.append(" ")
-            continue
+            if name not in unclosed or m[1] or m[3].endswith("/"):
+                continue
         end_run()
         links = 0
         if m[1]:
