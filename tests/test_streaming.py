@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.plans import catalogue
 from tidewell.streaming import jobs
 
 DAY = 1_704_067_200
@@ -24,3 +25,13 @@ def test_duplicates_and_cooldown_state(spark, tmp_path):
     assert once.count() == 3
     passed = jobs.run_to_table(jobs.cool_down(stream, ["rule"]), str(tmp_path), "passed", "append")
     assert sorted(r["ts"].timestamp() for r in passed.collect()) == [DAY, DAY + 700]
+
+
+def test_hourly_windows_read_a_folder_of_parts_and_keep_the_driver_out(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    query = catalogue.queries()["st01_hourly_windows"]
+    got = query(spark, str(tmp_path))
+    assert sorted(map(str, got.collect())) == sorted(map(str, query(spark, sf).collect())) and got.count() > 0
+    assert "parquet" in got._jdf.queryExecution().executedPlan().toString().lower()
+    spark.read.parquet(f"{sf}/events.parquet").limit(0).write.parquet(str(tmp_path / "none" / "events.parquet"))
+    assert query(spark, str(tmp_path / "none")).count() == 0

@@ -85,7 +85,7 @@ def k06_split_round_trip(spark, sf_dir) -> DataFrame:
 def st01_hourly_windows(spark, sf_dir) -> DataFrame:
     """A stream over the event files with a watermark and tumbling windows."""
     schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     out = jobs.hourly(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value", "40 days")
-    got = jobs.run_to_table(out, scratch(spark, "stream"), f"hourly_{uuid.uuid4().hex}")
+    got = jobs.run_to_files(out, scratch(spark, "stream"))
     return got.select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.round("mean", 6).alias("mean"), "low", "high")

@@ -93,3 +93,19 @@ def run_to_table(stream: DataFrame, folder: str, name: str, mode: str = "complet
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_files(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Runs over what is there and returns the rows from Parquet files in ``folder``; none of them goes through the driver.
+
+    In complete mode each batch replaces what the one before it wrote; else batches are kept side by side.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={0 if mode == 'complete' else number}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.lastProgress is None:  # there was nothing to read
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows/batch=*")
