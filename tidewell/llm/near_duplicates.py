@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import by_size, cut, map_texts
+from tidewell.llm.common import by_size, cut, map_texts, words
 from tidewell.llm.components import connected_components
 
 BINS, BAND, SEED = 256, 5, 11
@@ -203,12 +203,13 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
                 x, y = x[first], y[first]
                 swap = comp_size[x] > comp_size[y]
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
-                out.append((doc[x], np.where(comp_size[y] > SMALL, -1, doc[y]), np.where(comp_size[y] > SMALL, comp[y], -1)))
-        found = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 3
+                whole = comp_size[y] > SMALL
+                out.append((doc[x], np.where(whole, comp[y], doc[y]), whole))
+        found = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
         if len(found[0]):
-            large = np.flatnonzero(found[2] >= 0)  # one row stands for all members of a large component
-            once = large[np.unique(np.column_stack([found[0][large], found[2][large]]), axis=0, return_index=True)[1]]
-            keep = np.concatenate([np.flatnonzero(found[2] < 0), once])
+            large = np.flatnonzero(found[2])  # one row stands for all members of a large component
+            once = large[np.unique(np.column_stack([found[0][large], found[1][large]]), axis=0, return_index=True)[1]]
+            keep = np.concatenate([np.flatnonzero(~found[2]), once])
             found = [c[keep] for c in found]
         return found
 
@@ -218,8 +219,8 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
         def result(columns, upto: int) -> pa.RecordBatch:
             key, part, *other = (c[:upto] for c in columns)
             change = np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])] if upto else np.zeros(0, bool)
-            u, v, comp = compare(np.cumsum(change), *other)
-            v, comp = pa.array(v, pa.int64(), mask=v < 0), pa.array(comp, pa.int64(), mask=comp < 0)
+            u, v, whole = compare(np.cumsum(change), *other)
+            v, comp = pa.array(v, pa.int64(), mask=whole), pa.array(v, pa.int64(), mask=~whole)
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), v, comp], names=["u", "v", "component"])
 
         for batch in batches:
@@ -318,9 +319,21 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without the near copies: of each class the document with the smallest id, once."""
-    judged = cut(link(docs, width, percent))
-    gone = judged.filter(~F.col("kept")).select("doc_id").distinct()
-    out = docs.join(by_size(cut(gone), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
-    again = judged.filter("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
-    return out.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else out
+    """The rows of ``docs`` without the near copies: of each class the document with the smallest id, once.
+
+    Where ids repeat, an id and its text together are a document. Rows without an id or without words all stay.
+    """
+    own = F.col("doc_id").cast("long")
+    if not docs.filter(own.isNotNull()).groupBy(own).count().filter("count > 1").limit(1).count():
+        gone = link(docs, width, percent).filter(~F.col("kept")).select("doc_id")
+        return docs.join(by_size(cut(gone), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_doc"), own.alias("_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text"))
+    # numbers of pairs of id and text, in the order of the ids
+    names = rows.filter("_id is not null").select("_id", "_text").distinct().orderBy("_id", "_text")
+    names = cut(names.withColumn("doc_id", F.monotonically_increasing_id()))
+    rows = rows.join(names, ["_id", "_text"], "left").select("doc_id", F.col("_doc.text").alias("text"), "_doc")
+    gone = link(rows, width, percent).filter(~F.col("kept")).select("doc_id").distinct()
+    rows = rows.join(by_size(cut(gone), BROADCAST_IDS), "doc_id", "left_anti")
+    once = F.col("doc_id").isNotNull() & (F.size(words(F.col("text"))) > 0)
+    out = rows.filter(once).dropDuplicates(["doc_id"]).unionByName(rows.filter(~once))
+    return out.select(*[F.col("_doc")[n].alias(n) for n in docs.columns])
