@@ -3,7 +3,9 @@
 A source's share of all tokens, raised to an exponent and normalised, is its weight; 1 keeps the shares, 0 makes sources
 equal. The exponent is the smallest (most even) one at which the weights' entropy is at most the target and no source is
 repeated more often than the limit; both fall as it grows, so it is bisected, four bits of it in each pass over the table of
-sources. A source's budget is its weight's part of the whole budget. Each source is dealt into blocks; blocks in the order of
+sources. It is looked for between 0 and 1, as mixing only evens shares out: sources whose shares are already more even than
+the target, or where even 1 exceeds the limit, keep their shares (exponent 1), and the entropy is then above the target; without
+a given budget each document is copied once. A source's budget is its weight's part of the whole budget. Each source is dealt into blocks; blocks in the order of
 their keys, documents within in the order of theirs, are a permutation of the source. Every pass over the budget that covers
 the source gives each document a copy; the rest of the budget gives one more to the blocks at the front and to the front of
 the block at the border. So a decision needs a few numbers for each source, no sorted source, and texts are never shuffled.
