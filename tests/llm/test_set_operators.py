@@ -111,23 +111,6 @@ def test_densified_signatures_estimate_similarity():
     assert all((s != 0).all() for s in small)
 
 
-def test_pair_whose_bytes_agree_in_a_band_it_does_not_share_is_found(spark):
-    rng = np.random.default_rng(6)
-    while True:
-        both = rng.integers(0, 2**64, 300, dtype=np.uint64)
-        sigs = [near_duplicates.signature(np.unique(h)) for h in (both[:270], both[30:])]
-        keys = [near_duplicates.band_keys(s) for s in sigs]
-        low = [s.astype(np.uint8) for s in sigs]
-        bytes_agree = (low[0] == low[1])[: near_duplicates.BANDS * near_duplicates.BAND].reshape(near_duplicates.BANDS, -1).all(axis=1)
-        shared = np.flatnonzero(keys[0] == keys[1])
-        if shared.size and bytes_agree.argmax() != shared[0] and (low[0] == low[1]).mean() >= near_duplicates.LEAST_MATCH:
-            break
-    rows = [(int(keys[0][b]), 0, 2, int(b), k, k, 1, 270, keys[k].tolist(), bytearray(low[k])) for b in shared for k in (0, 1)]
-    schema = "key long, part long, side int, band long, doc_id long, component long, comp_size long, n_shingles long, bands array<long>, sig binary"
-    got = near_duplicates.cross_pairs(spark.createDataFrame(rows, schema), 80).collect()
-    assert [(r["u"], r["v"], r["component"]) for r in got] == [(0, 1, None)]
-
-
 # nearest neighbours
 
 

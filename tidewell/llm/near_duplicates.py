@@ -7,10 +7,12 @@ texts, is followed to the first filled one. Bands of five bins are bucket keys.
 
 Texts with equal sets are one class from the start. Within a bucket, candidates form a star round its smallest member, so a
 bucket of n gives n - 1 pairs. Star pairs that share several buckets are confirmed first, on the full sets of words.
-Components of confirmed links settle nearly all buckets. In the buckets that still hold several components, and in those
-alone, every pair from different components is looked at: sizes and signatures, compared in whole columns, rule out pairs far below the limit, and the rest are confirmed,
-against large components member by member within a task. So no link is lost to the star's choice of centre, no bucket is
-capped, and large groups of near copies never give all their pairs as rows.
+Components of confirmed links settle nearly all buckets. Documents of buckets that still hold several components are compared
+exactly: shingles are ordered by how many of these documents hold them, rarest first, and two documents can only be similar if
+the first shingle that they have in common stands near the front of both and leaves enough behind it. So pages of one template,
+which differ in their own rare words, never meet, and what does meet is ruled out by four whole numbers a row before any text
+is read. What is left is confirmed on the full sets, against large components chunk by chunk within a task. No link is lost to
+the star's choice of centre, no estimate discards a pair, no bucket is capped, and large groups never give all pairs as rows.
 
 Defined cases: null and blank texts have no shingles and are linked with nothing; with fewer words than a shingle has, the
 whole sequence is one shingle; repeated rows give repeated results; rows without an id take no part (no class, kept); an empty
@@ -26,24 +28,24 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import by_size, cut, map_texts, words
+from tidewell.llm.common import by_size, cut, map_texts, store, words
 from tidewell.llm.components import connected_components
 
 BINS, BAND, SEED = 256, 5, 11
 BANDS = BINS // BAND
-#: Share of equal signature bytes below which a pair isn't confirmed: over five standard errors below the limit.
-LEAST_MATCH = 0.66
 #: Buckets shared for a star pair to be confirmed in the first turn; what pairs with fewer hold is found in the second.
 FIRST_SHARED = 4
-#: Members of a bucket that one task compares with as many others; larger buckets go by pairs of such parts.
+#: Rows of one shingle that one task compares with as many others; more go by pairs of such parts.
 PART = 4096
-#: Components of more members are asked about as a whole, their members cut into chunks.
+#: Components of more members are asked about as a whole; their members and the askers are cut into chunks.
 SMALL, CHUNK_MEMBERS = 8, 256
 #: Ids up to which a list of needed documents is broadcast, eight bytes each and the table's overhead.
 BROADCAST_IDS = 1_000_000
+#: A shingle in more than one of this many rows is frequent; so there are at most as many frequent ones, 16 bytes each.
+FREQUENT = 50_000
 KEEP = 300_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -115,32 +117,29 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return (keys & ~np.uint64(63) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """A row for each document: its set's size, a key that equal sets share, signature bytes and bucket keys."""
+    """A row for each document: its set's size, a key that equal sets share, and bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            sizes, keys, sigs, bands = [], [], [], []
+            sizes, keys, bands = [], [], []
             for value in batch.column(1):
                 words = split_words(value.as_py())
                 if not words:
                     sizes.append(0)
                     keys.append(None)
-                    sigs.append(None)
                     bands.append(None)
                     continue
                 own = shingle_hashes(words, width, hashes)
-                sig = signature(own)
                 sizes.append(len(own))
                 keys.append(hashlib.md5(own.tobytes()).digest())
-                sigs.append(sig.astype(np.uint8).tobytes())
-                bands.append(band_keys(sig))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "sig", "bands"])
+                bands.append(band_keys(signature(own)))
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "bands"])
 
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SKETCH)
 
@@ -169,42 +168,73 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return map_texts(both.select("u", "v", "text_u", "text_v"), run, "u long, v long")
 
 
-MEMBERS = ["key", "part", "side", "band", "doc_id", "component", "comp_size", "n_shingles", "bands", "sig"]
+def needed_overlap(percent: int) -> tuple[str, str]:
+    """SQL for the least number of shingles that a set of ``n_shingles`` has in common with a similar smaller set, and larger one."""
+    up = lambda a, b: f"((n_shingles * {a} + {b} - 1) div {b})"
+    return up(percent, 100), up(2 * percent, 100 + percent)
 
 
-def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """``u, v, component``: pairs of one bucket but different components that size and signature don't rule out.
+def front_shingles(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """For each of ``members`` (``doc_id, n_shingles`` and more) the shared shingles near the front of its set, as ``key``.
 
-    Every pair comes once, in the first bucket that it shares by the bucket keys themselves (signature bytes may agree by chance
-    where keys differ), where the larger component is small; a large one stands for its members: ``v`` is then null and
-    ``component`` names it.
-    ``members`` are dealt by key and part and sorted, so groups are runs of rows.
+    Sets are ordered by frequency among ``members``, rarest first; ``place`` counts from 0. Shingles that no other member has
+    take places but are left out. ``first`` tells whether a similar set of this size or more must have its first common shingle
+    with this set here.
     """
 
-    def compare(group, side, band, doc, comp, comp_size, size, bands, sig):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in batches:
+            sets = [shingle_hashes(split_words(t.as_py()), width, hashes).view(np.int64) for t in batch.column(1)]
+            if sets:
+                ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["doc_id", "key"])
+
+    rows = store(map_texts(docs.join(by_size(members.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi"), run, "doc_id long, key long"))
+    counts = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    many = max(1000, rows.count() // FREQUENT)
+    frequent = F.broadcast(counts.filter(F.col("n") > many))  # no more than FREQUENT rows, as their counts add up to all rows
+    # frequent shingles, the hot keys, get their counts from the broadcast list; no other key has more than `many` rows
+    shared = rows.join(frequent, "key").unionByName(rows.join(frequent, "key", "left_anti").join(counts.filter(F.col("n") <= many), "key"))
+    own = Window.partitionBy("doc_id")
+    placed = shared.repartition("doc_id").dropDuplicates(["doc_id", "key"]).join(members, "doc_id")
+    back = F.count("*").over(own) - F.row_number().over(own.orderBy("n", "key"))
+    placed = placed.withColumn("place", F.col("n_shingles") - 1 - back)
+    smaller, larger = needed_overlap(percent)
+    placed = placed.filter(f"n_shingles - place >= {smaller}")
+    return placed.withColumn("first", F.expr(f"n_shingles - place >= {larger}")).drop("n")
+
+
+MEMBERS = ["key", "part", "side", "doc_id", "component", "comp_size", "n_shingles", "place", "first"]
+
+
+def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """``u, v, component``: pairs from different components, in one row of a shingle they share, that its places don't rule out.
+
+    If the shingle is the first that two sets share, they have at most as many in common as the shorter rest of the two holds.
+    The larger component, if it isn't small, stands for its members: ``v`` is then null and ``component`` names it.
+    ``rows`` are dealt by shingle and part and sorted by size, so groups are runs of rows.
+    """
+
+    def compare(group, side, doc, comp, comp_size, size, place, first):
         """``group`` numbers runs of rows; rows ``d`` apart are compared for each ``d`` that a run is long enough for."""
-        rows, d, out = np.arange(len(group)), 0, []
+        rows, d, out = np.flatnonzero(first), 0, []
         while True:
             d += 1
             rows = rows[rows + d < len(group)]
-            rows = rows[group[rows] == group[rows + d]]
+            # sizes grow along a run, so what is too small here is too small for all that follow
+            rows = rows[(group[rows] == group[rows + d]) & (100 * size[rows] >= percent * size[rows + d])]
             if not rows.size:
                 break
             i, j = rows, rows + d
-            few, many = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            room = np.minimum(size[i] - place[i], size[j] - place[j])
             # of two different parts, only pairs across them: those within come up in the part's own group
-            on = (comp[i] != comp[j]) & (100 * few >= percent * many) & ((side[i] != side[j]) | (side[i] == 2))
-            i, j = i[on], j[on]
-            for low in range(0, i.size, 20_000):
-                x, y = i[low : low + 20_000], j[low : low + 20_000]
-                near = (sig[x] == sig[y]).mean(axis=1) >= LEAST_MATCH
-                x, y = x[near], y[near]
-                first = (bands[x] == bands[y]).argmax(axis=1) == band[x]
-                x, y = x[first], y[first]
-                swap = comp_size[x] > comp_size[y]
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                whole = comp_size[y] > SMALL
-                out.append((doc[x], np.where(whole, comp[y], doc[y]), whole))
+            on = (comp[i] != comp[j]) & ((100 + percent) * room >= percent * (size[i] + size[j])) & ((side[i] != side[j]) | (side[i] == 2))
+            x, y = i[on], j[on]
+            swap = comp_size[x] > comp_size[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            whole = comp_size[y] > SMALL
+            out.append((doc[x], np.where(whole, comp[y], doc[y]), whole))
         found = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
         if len(found[0]):
             large = np.flatnonzero(found[2])  # one row stands for all members of a large component
@@ -226,9 +256,7 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(MEMBERS) - 2)]
-            columns.append(batch.column(len(MEMBERS) - 2).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS))
-            columns.append(np.frombuffer(b"".join(batch.column(len(MEMBERS) - 1).to_pylist()), dtype=np.uint8).reshape(-1, BINS))
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             columns = columns if rest is None else [np.concatenate(x) for x in zip(rest, columns)]
             same = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])
             upto = len(same) - int(same.sum())  # the last group may go on
@@ -238,26 +266,28 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
         if rest is not None:
             yield result(rest, len(rest[0]))
 
-    dealt = members.select(*MEMBERS).repartition("key", "part").sortWithinPartitions("key", "part", "n_shingles", "doc_id")
+    dealt = rows.select(*MEMBERS).repartition("key", "part").sortWithinPartitions("key", "part", "n_shingles", "doc_id")
     return dealt.mapInArrow(run, "u long, v long, component long")
 
 
 def confirm_large(asked: DataFrame, groups: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v) of each document ``u`` with the first similar member of ``component``, if there is one.
+    """Links (u, v) of each document ``u`` with the first similar member of ``component``, if there is one, in each chunk.
 
-    A component's members are cut into chunks; the documents that ask about it go to each chunk. So no row stands for a pair.
+    A component's members and the documents that ask about it are cut into chunks, and each chunk of the one meets each of the
+    other. So no row stands for a pair, and neither side of a large component is in one task.
     """
-    size = groups.groupBy("component").agg(F.ceil(F.count("*") / CHUNK_MEMBERS).alias("chunks"))
-    asked = asked.join(size, "component").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    wanted = asked.select("component").distinct()
-    inside = groups.join(wanted, "component", "left_semi").join(size, "component").select(F.col("node").alias("v"), "component", chunk.alias("chunk"))
-    asked, inside = cut(asked.select("u", "component", "chunk")), cut(inside)
+    wanted = asked.groupBy("component").agg(F.ceil(F.count("*") / CHUNK_MEMBERS).alias("down"))
+    size = groups.join(wanted, "component").groupBy("component", "down").agg(F.ceil(F.count("*") / CHUNK_MEMBERS).alias("across"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    asked = cut(asked.join(size, "component").select("u", "component", deal("u", "down").alias("down"), each("across").alias("across")))
+    inside = cut(groups.join(size, "component").select(F.col("node").alias("v"), "component", deal("node", "across").alias("across"), each("down").alias("down")))
     ids = cut(asked.select(F.col("u").alias("doc_id")).unionByName(inside.select(F.col("v").alias("doc_id"))).distinct())
     texts = docs.join(by_size(ids, BROADCAST_IDS), "doc_id", "left_semi")
     named = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    left = asked.join(named("u"), "u").select("u", F.col("component").alias("of_u"), F.col("chunk").alias("chunk_u"), "text_u")
-    right = inside.join(named("v"), "v").select("v", F.col("component").alias("of_v"), F.col("chunk").alias("chunk_v"), "text_v")
+    keys = ("component", "down", "across")
+    left = asked.join(named("u"), "u").select("u", *[F.col(k).alias(f"{k}_u") for k in keys], "text_u")
+    right = inside.join(named("v"), "v").select("v", *[F.col(k).alias(f"{k}_v") for k in keys], "text_v")
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         members = [(v, shingles(split_words(t), width)) for v, t in zip(b["v"].to_pylist(), b["text_v"].to_pylist())]
@@ -272,21 +302,29 @@ def confirm_large(asked: DataFrame, groups: DataFrame, docs: DataFrame, width: i
                         break
         return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    return left.groupBy("of_u", "chunk_u").cogroup(right.groupBy("of_v", "chunk_v")).applyInArrow(run, "u long, v long")
+    asking, members = left.groupBy(*[f"{k}_u" for k in keys]), right.groupBy(*[f"{k}_v" for k in keys])
+    return asking.cogroup(members).applyInArrow(run, "u long, v long")
 
 
-def _open_members(shared: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components, in pairs of parts, with signatures."""
+def _open_documents(shared: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
+    """``doc_id, component, comp_size, n_shingles`` of the documents in buckets that hold several components."""
     named = groups.join(groups.groupBy("component").agg(F.count("*").alias("comp_size")), "component").withColumnRenamed("node", "doc_id")
-    placed = shared.join(named, "doc_id", "left").withColumns({"component": F.coalesce("component", "doc_id"), "comp_size": F.coalesce("comp_size", F.lit(1).cast("long"))})
+    placed = shared.select("doc_id", "key").join(named, "doc_id", "left")
+    placed = placed.withColumns({"component": F.coalesce("component", "doc_id"), "comp_size": F.coalesce("comp_size", F.lit(1).cast("long"))})
     open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
-    members = placed.join(open_keys, "key", "left_semi").withColumn("parts", F.ceil(F.col("size") / PART))
+    open_docs = placed.join(open_keys, "key", "left_semi").select("doc_id", "component", "comp_size").distinct()
+    return open_docs.join(reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id")
+
+
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """``rows`` of the shingles that several components share, in pairs of parts."""
+    keys = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count("*") / PART).alias("parts"))
+    members = rows.join(keys.filter("a < b").select("key", "parts"), "key")
     own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(F.lit(0))
     members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     members = members.withColumn("part", F.least("own", "other") * F.col("parts") + F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    members = members.withColumns({"side": side, "band": F.col("key").bitwiseAND(63)})
-    return members.join(reps.select("doc_id", "n_shingles", "bands", "sig"), "doc_id").select(*MEMBERS)
+    return members.withColumn("side", side).select(*MEMBERS)
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -302,7 +340,8 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     stars = shared.filter("doc_id > centre").groupBy(F.col("centre").alias("u"), F.col("doc_id").alias("v")).agg(F.count("*").alias("n"))
     links = cut(confirm(cut(stars.filter(F.col("n") >= FIRST_SHARED).select("u", "v")), docs, width, percent))
     groups = cut(connected_components(links))
-    rest = cut(cross_pairs(_open_members(shared, reps, groups), percent).distinct())
+    fronts = cut(front_shingles(cut(_open_documents(shared, reps, groups)), docs, width, percent))
+    rest = cut(cross_pairs(_in_parts(fronts), percent).distinct())
     pairs = rest.filter("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     asked = rest.filter("v is null").select("u", "component")
     more = confirm(cut(pairs), docs, width, percent)
