@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from tidewell.llm.mixing import BITS, BLOCK_ROWS, EVENNESS, MOST_REPEATS, ROUNDS
-from tidewell.llm.quality import FENCES, LEAST_ROWS
+from tidewell.llm.quality import FENCES, LEAST_ROWS, MANTISSA, STEP_BITS
 
 _SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _bucket(value: str) -> str:
+    """The value cut to its grid step, and that to its upper bits."""
+    steps = f"CAST(floor(({value}) * {1 << STEP_BITS}) AS BIGINT)"
+    spare = f"greatest(length(bin({steps})) - {MANTISSA}, 0)"
+    return f"(({steps} >> {spare}) << {spare}) / {float(1 << STEP_BITS)}"
+
+
 def _fence(name: str) -> str:
     f = FENCES[name]
-    bound = lambda sign, times: f"quantile_disc({name}, 0.5) {sign} {float(times)} * greatest(quantile_disc({name}, 0.5) - quantile_disc({name}, 0.25), {f.least})"
+    at = lambda p: f"quantile_disc({_bucket(name)}, {p})"
+    bound = lambda sign, times: f"{at(0.5)} {sign} {float(times)} * greatest({at(0.5)} - {at(0.25)}, {f.least})"
     return f"{bound('+', f.high)} AS {name}_high, {bound('-', f.low) if f.low is not None else 'CAST(NULL AS DOUBLE)'} AS {name}_low"
 
 

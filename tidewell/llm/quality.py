@@ -1,25 +1,29 @@
 """Quality rules with thresholds that adapt to each language and source. DataFrame functions only.
 
-Signals are computed inside each row. Their quantiles come from mergeable sketches (KLL): one per language and source, merged
-upward to one per language and one for all; a group with few rows takes the thresholds of the next larger one. A fence is the
-median plus or minus a multiple of the lower half's spread, so up to half of a group may be junk without moving it far. Fences
-and documents are then joined and compared.
+Signals are computed inside each row. Their quantiles come from mergeable sketches: a signal's value falls into a bucket of a
+fixed grid (steps of 2**-16, and above 2**12 of them a relative width of 2**-11 at most), and a sketch is its buckets' counts.
+Sketches merge by adding up counts, so they don't depend on the order of rows, files or tasks, and two runs agree. There is one
+for each language and source, merged upward to one for each language and one for all; a group with few rows takes the
+thresholds of the next larger one. A fence is the median plus or minus a multiple of the lower half's spread, so up to half of
+a group may be junk without moving it far. Fences and documents are then joined and compared.
 
 Defined cases: a null text has no words and fails the base rules; a null language or source is a group of its own; repeated
 rows count and are judged each; documents that fail the base rules don't enter the sketches; a group that is as hot as a third
-of all rows is one small sketch per task; an empty table gives an empty result. Clashing extra columns are replaced.
+of all rows is pre-aggregated to its buckets in each task; an empty table gives an empty result. Clashing extra columns are
+replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import by_size, cut, words
+from tidewell.llm.common import by_size, cut, store, words
 
-SKETCH_K = 4096
+#: A grid step is 2**-STEP_BITS; a bucket keeps the upper MANTISSA bits of a value's number of steps.
+STEP_BITS, MANTISSA = 16, 12
 #: Groups with fewer rows that pass the base rules take the next larger group's fences.
 LEAST_ROWS = 30
 #: Groups (of language and source) up to which the table of fences is broadcast, some hundred bytes each.
@@ -80,32 +84,43 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def bucket(value: str) -> str:
+    """SQL for the lower end of the bucket that ``value`` (not negative) falls into, in grid steps."""
+    steps = f"cast(floor(({value}) * {1 << STEP_BITS}) as bigint)"
+    spare = f"greatest(length(bin({steps})) - {MANTISSA}, 0)"
+    return f"shiftleft(shiftright({steps}, {spare}), {spare})"
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """``level, lang, source, signal, bucket, n``: the sketches of each language and source (level 0), language (1) and all (2)."""
+    seen = F.array(*[F.struct(F.lit(n).alias("signal"), F.expr(bucket(f.value)).alias("bucket")) for n, f in FENCES.items()])
+    leaf = rows.filter(~F.col("base_failed")).select("lang", "source", F.inline(seen)).groupBy("lang", "source", "signal", "bucket").agg(F.count("*").alias("n"))
+    levels = cut(leaf).select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("level"))
+    key = lambda c, upto: F.when(F.col("level") <= upto, F.col(c)).alias(c)
+    merged = levels.select("level", key("lang", 1), key("source", 0), "signal", "bucket", "n")
+    return merged.groupBy("level", "lang", "source", "signal", "bucket").agg(F.sum("n").alias("n"))
+
+
 def fences(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """A row for each language and source of ``rows`` with bounds ``{signal}_low`` and ``{signal}_high``; small to read."""
-    names = list(FENCES)
-    passed = lambda n: F.when(~F.col("base_failed"), F.expr(FENCES[n].value).cast("double"))
-    count = F.count_if(~F.col("base_failed")).alias("n")
-    leaf = cut(rows.groupBy("lang", "source").agg(count, *[F.kll_sketch_agg_double(passed(n), F.lit(SKETCH_K)).alias(n) for n in names]))
-
-    def merged(frame: DataFrame, keys: list[str], tag: str) -> DataFrame:
-        sketches = [F.kll_merge_agg_double(n, F.lit(SKETCH_K)).alias(n) for n in names]
-        out = frame.groupBy(*keys).agg(F.sum("n").alias("n"), *sketches)
-        return out.select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], *bounds(tag))
-
-    def bounds(tag: str) -> list[Column]:
-        out = [F.col("n").alias(f"{tag}_n")]
-        for n, f in FENCES.items():
-            q = lambda p, n=n: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(n, F.lit(p)))
-            spread = F.greatest(q(0.5) - q(0.25), F.lit(f.least))
-            out.append((q(0.5) + f.high * spread).alias(f"{tag}_{n}_high"))
-            out.append((q(0.5) - f.low * spread if f.low is not None else F.lit(None).cast("double")).alias(f"{tag}_{n}_low"))
-        return out
-
-    own = leaf.select("lang", "source", *bounds("own"))
-    by_lang, whole = merged(leaf, ["lang"], "lang"), merged(leaf, [], "all")
-    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("lang_lang")), "left").join(F.broadcast(whole))  # `whole` is one row
-    pick = lambda c: F.when(F.col("own_n") >= least_rows, F.col(f"own_{c}")).when(F.col("lang_n") >= least_rows, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
-    return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[pick(f"{n}_{side}").alias(f"_{n}_{side}") for n in names for side in ("low", "high")])
+    group, signal = ["level", "lang", "source"], Window.partitionBy("level", "lang", "source", "signal")
+    # a sketch has at most as many buckets as the grid has between its ends, however many rows it stands for
+    counted = sketches(rows).withColumns({"upto": F.sum("n").over(signal.orderBy("bucket")), "all": F.sum("n").over(signal)})
+    at = lambda n, part: (F.min(F.when((F.col("signal") == n) & (part * F.col("upto") >= F.col("all")), F.col("bucket"))) / F.lit(float(1 << STEP_BITS)))
+    points = counted.groupBy(*group).agg(F.max("all").alias("n"), *[at(n, p).alias(f"{n}_{p}") for n in FENCES for p in (2, 4)])
+    bounds = []
+    for n, f in FENCES.items():
+        median = F.col(f"{n}_2")
+        spread = F.greatest(median - F.col(f"{n}_4"), F.lit(f.least))
+        bounds.append((median - f.low * spread if f.low is not None else F.lit(None).cast("double")).alias(f"_{n}_low"))
+        bounds.append((median + f.high * spread).alias(f"_{n}_high"))
+    limits = cut(points.select(*group, "n", *bounds))
+    # each group looks itself, its language and the whole up, and takes the first with enough rows
+    asked = limits.filter("level = 0").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.explode(F.array(*map(F.lit, range(3)))).alias("_level"))
+    on = (F.col("level") == F.col("_level")) & F.col("lang").eqNullSafe(F.when(F.col("_level") < 2, F.col("_lang"))) & F.col("source").eqNullSafe(F.when(F.col("_level") < 1, F.col("_source")))
+    names = [f"_{n}_{side}" for n in FENCES for side in ("low", "high")]
+    found = asked.join(limits.filter((F.col("n") >= least_rows) | (F.col("level") == 2)), on)
+    return found.groupBy("_lang", "_source").agg(F.min_by(F.struct(*names), "_level").alias("b")).select("_lang", "_source", "b.*")
 
 
 def judge(rows: DataFrame, limits: DataFrame) -> DataFrame:
@@ -126,11 +141,10 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. Signals are computed twice, so texts needn't be stored or shuffled."""
-    names = docs.columns
-    given = docs.select(F.struct("*").alias("_doc"), "lang", "source", "text")
-    limits = fences(signals(docs.select("lang", "source", "text")).drop("text"))
-    # the partition's number counts as non-deterministic, so Spark doesn't push the filter below the signals, which would repeat
-    # their expressions inside each other
-    judged = judge(signals(given).withColumn("_pin", F.spark_partition_id()), limits)
-    return judged.filter("kept and _pin >= 0").select(*[F.col("_doc")[n].alias(n) for n in names])
+    """The rows of ``docs`` that are kept, with their columns.
+
+    Documents are written once beside their signals; the sketches then read the signals' columns alone.
+    """
+    rows = store(signals(docs.select(F.struct("*").alias("_doc"), "lang", "source", "text")).drop("text"))
+    judged = judge(rows, fences(rows.drop("_doc")))
+    return judged.filter("kept").select(*[F.col("_doc")[n].alias(n) for n in docs.columns])
