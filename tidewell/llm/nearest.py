@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_TILE, CANDIDATE_TILE = 4096, 16_384
-#: Rows of a product that are in memory at once.
-STRIP = 256
+QUERY_TILE, CANDIDATE_TILE = 16_384, 16_384
+#: Rows of a product that are in memory at once, and numbers of recomputed pairs.
+STRIP, NUMBERS = 128, 1 << 21
 OUT = "query_id long, vec_id long, score double"
 
 
@@ -47,7 +47,7 @@ def tile_pair(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
     parts = range(0, q.shape[1], 1024)
     qf, cf = qc.astype(np.float32), cc.astype(np.float32)
     qn, cn = (qc.astype(np.float64) ** 2).sum(axis=1) * qs**2, (cc.astype(np.float64) ** 2).sum(axis=1) * cs**2
-    out = []
+    out, step = [], max(1, NUMBERS // q.shape[1])
     for low in range(0, len(q), STRIP):
         rows = slice(low, low + STRIP)
         product = sum((qf[rows, p : p + 1024] @ cf[:, p : p + 1024].T).astype(np.float64) for p in parts)
@@ -58,7 +58,9 @@ def tile_pair(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
         upper = np.where(same, np.inf, near + slack)
         bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if k <= upper.shape[1] else np.full(len(upper), np.inf)
         r, j = np.nonzero((near - slack <= bound[:, None]) & ~same)
-        score = exact(q[rows][r], c[j])
+        score = np.empty(len(r))
+        for a in range(0, len(r), step):  # many survivors (ties) are recomputed by parts
+            score[a : a + step] = exact(q[low + r[a : a + step]], c[j[a : a + step]])
         ends = np.searchsorted(r, np.arange(len(upper) + 1))
         for i in range(len(upper)):
             found = zip(score[ends[i] : ends[i + 1]].tolist(), c_ids[j[ends[i] : ends[i + 1]]].tolist())
@@ -71,7 +73,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, vector: str = "em
     v = F.col(vector)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = v.isNotNull() & F.forall(v, finite) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & usable)
     rows = rows.withColumn("dim", F.size("v"))
     queries = rows.filter(F.col("vec_id") % every == 0)
     n, m = rows.count(), queries.count()
@@ -84,7 +86,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, vector: str = "em
     right = rows.withColumn("across", spread(across)).withColumn("down", every_tile(down))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        parts = [(t["vec_id"].to_numpy(), np.array(t["v"].combine_chunks().flatten()).reshape(t.num_rows, -1)) if t.num_rows else (np.empty(0, np.int64), np.empty((0, 0))) for t in (a, b)]
+        parts = [(t["vec_id"].to_numpy(), np.array(t["v"].combine_chunks().flatten(), dtype=np.float64).reshape(t.num_rows, -1)) if t.num_rows else (np.empty(0, np.int64), np.empty((0, 0))) for t in (a, b)]
         found = tile_pair(*parts[0], *parts[1], k)
         columns = list(zip(*found)) or [[]] * 3
         return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
