@@ -104,6 +104,7 @@ def plan(sized: DataFrame, evenness: float = EVENNESS, most_repeats: float = MOS
     on = F.col("source").eqNullSafe(F.col("_s"))
     inside = dealt.join(by_size(border, BROADCAST_SOURCES), on & (F.col("block_key") == F.col("border_key")))
     upto = Window.partitionBy("source").orderBy("doc_key").rangeBetween(Window.unboundedPreceding, 0)
+    inside = inside.groupBy("source", "doc_key", "left").agg(F.sum("n_tokens").alias("n_tokens"))  # rows of one id, or without, are one
     last = inside.withColumn("upto", F.sum("n_tokens").over(upto)).filter("upto <= left").groupBy("source").agg(F.max("doc_key").alias("last_key"))
     out = sources.join(border.drop("left"), on, "left").drop("_s")
     return out.join(last.withColumnRenamed("source", "_s"), on, "left").drop("_s")
