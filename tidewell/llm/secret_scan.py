@@ -2,8 +2,9 @@
 
 Rule regexes are parsed to a syntax tree, turned into one nondeterministic automaton, made deterministic by subset
 construction and minimised by partition refinement. The result is a transition array over byte classes. A batch of texts is
-one byte buffer, cut only behind bytes after which every state falls back to the start state, and all pieces advance through
-the array together, so each byte is looked at once for all rules. Transitions that end a match carry the rule's bit; its start
+one byte buffer, cut into lanes anywhere, and all lanes advance through the array together, so each byte is looked at once for
+all rules. A lane begins in a guessed state; where its predecessor ends in another one, its first bytes are read again from
+there until the states agree with those of the first reading. Transitions that end a match carry the rule's bit; its start
 comes from the rule's reversed automaton, run backwards from that end.
 
 Rules must end in a run that takes all it can (``+``, ``{n,}``) or in a fixed end that can't follow itself, as secrets' rules
@@ -15,12 +16,11 @@ columns are carried along untouched; an empty table gives an empty result. Texts
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from re import _constants as rc
-from re import _parser as rp
 
 import numpy as np
 import pyarrow as pa
@@ -63,37 +63,44 @@ class Nfa:
         self.empty.append([])
         return len(self.edges) - 1
 
-    def add(self, tree, start: int, fold: bool, back: bool) -> int:
-        """Append the items of ``tree`` after ``start`` (in reverse order if ``back``); the end state."""
-        for op, arg in reversed(list(tree)) if back else tree:
-            if op in (rc.LITERAL, rc.IN, rc.NOT_LITERAL, rc.ANY):
-                end = self.state()
-                self.edges[start].append((_bytes(op, arg, fold), end))
-            elif op is rc.SUBPATTERN:
-                end = self.add(arg[3], start, fold or bool(arg[1] & rc.SRE_FLAG_IGNORECASE), back)
-            elif op is rc.BRANCH:
-                end = self.state()
-                for choice in arg[1]:
-                    first = self.state()
-                    self.empty[start].append(first)
-                    self.empty[self.add(choice, first, fold, back)].append(end)
-            elif op in (rc.MAX_REPEAT, rc.MIN_REPEAT):
-                low, high, body = arg
-                for _ in range(low):
-                    start = self.add(body, start, fold, back)
-                end = self.state()
-                self.empty[start].append(end)
-                if high is rc.MAXREPEAT:
-                    last = self.add(body, end, fold, back)
-                    self.empty[last].append(end)
-                else:
-                    for _ in range(high - low):
-                        start = self.add(body, start, fold, back)
-                        self.empty[start].append(end)
-            else:
-                raise ValueError(f"this rule syntax isn't supported: {op}")
-            start = end
-        return start
+    def add(self, choices: list, start: int, back: bool) -> int:
+        """Append the choices of a tree (see :func:`parse_rule`) after ``start`` (in reverse order if ``back``); the end state."""
+        ends = []
+        for items in choices:
+            last = start
+            if len(choices) > 1:
+                last = self.state()
+                self.empty[start].append(last)
+            for item, low, high in reversed(items) if back else items:
+                last = self.repeat(item, low, high, last, back)
+            ends.append(last)
+        if len(ends) == 1:
+            return ends[0]
+        end = self.state()
+        for e in ends:
+            self.empty[e].append(end)
+        return end
+
+    def once(self, item, start: int, back: bool) -> int:
+        if isinstance(item, list):
+            return self.add(item, start, back)
+        end = self.state()
+        self.edges[start].append((item, end))
+        return end
+
+    def repeat(self, item, low: int, high: int | None, start: int, back: bool) -> int:
+        if (low, high) == (1, 1):
+            return self.once(item, start, back)
+        for _ in range(low):
+            start = self.once(item, start, back)
+        end = self.state()
+        self.empty[start].append(end)
+        if high is None:
+            self.empty[self.once(item, end, back)].append(end)
+        for _ in range((high or low) - low):
+            start = self.once(item, start, back)
+            self.empty[start].append(end)
+        return end
 
     def closure(self, states) -> frozenset:
         seen, todo = set(states), list(states)
@@ -105,24 +112,70 @@ class Nfa:
         return frozenset(seen)
 
 
-def _bytes(op, arg, fold: bool) -> frozenset:
-    if op is rc.LITERAL:
-        out = {arg}
-    elif op is rc.ANY:
-        out = set(range(255)) - {10}
-    else:
-        items, out = ([(rc.LITERAL, arg), (rc.NEGATE, None)] if op is rc.NOT_LITERAL else arg), set()
-        for kind, x in items:
-            out |= {x} if kind is rc.LITERAL else set(range(x[0], x[1] + 1)) if kind is rc.RANGE else set()
-        if any(kind is rc.NEGATE for kind, _ in items):
-            out = set(range(255)) - out
+ITEM = re.compile(r"\(\?(i?):|(\()|(\))|(\|)|\[(\^?)((?:\\.|[^\]\\])+)\]|(\.)|\\x([0-9a-fA-F]{2})|\\([trn])|\\([^A-Za-z0-9])|([^\\()\[\]{}*+?|.^$])", re.S)
+MEMBER = re.compile(r"(\\x[0-9a-fA-F]{2}|\\.|[^\\])(?:-(\\x[0-9a-fA-F]{2}|\\.|[^\\\]]))?", re.S)
+TIMES = re.compile(r"([*+?])|\{(\d+)(,?)(\d*)\}")
+
+
+def _code(text: str) -> int:
+    """The byte that a pattern's character or escape stands for."""
+    if len(text) == 4:
+        return int(text[2:], 16)
+    return ord({"\\t": "\t", "\\r": "\r", "\\n": "\n"}.get(text, text[-1]))
+
+
+def _bytes(found: set[int], negate: bool, fold: bool) -> frozenset:
+    out = set(range(255)) - found if negate else found
     if fold:
-        out |= {ord(chr(b).swapcase()) for b in out if b < 128 and chr(b).isalpha()}
+        out = out | {ord(chr(b).swapcase()) for b in out if b < 128 and chr(b).isalpha()}
     if max(out) > 254:
         raise ValueError("rules are over bytes below 255")
     return frozenset(out)
 
 
+def parse_rule(pattern: str) -> list:
+    """A tree of ``pattern``: a list of choices, each a list of (bytes or tree, least times, most times or None).
+
+    Rules use literals, escapes, classes, groups ``(...)``, ``(?:...)`` and ``(?i:...)``, choices and greedy repetition.
+    """
+    at, top = 0, [[]]
+    stack = [(top, False)]
+    while at < len(pattern):
+        m = ITEM.match(pattern, at)
+        if m is None:
+            raise ValueError(f"this rule syntax isn't supported: {pattern[at:]}")
+        at, (choices, fold) = m.end(), stack[-1]
+        if m[1] is not None or m[2]:
+            stack.append(([[]], fold or m[1] == "i"))
+            continue
+        if m[4]:
+            choices.append([])
+            continue
+        if m[3]:
+            item = stack.pop()[0]
+            if not stack:
+                raise ValueError(f"unbalanced parenthesis: {pattern}")
+        elif m[6]:
+            members = {b for a, z in MEMBER.findall(m[6]) for b in range(_code(a), _code(z or a) + 1)}
+            item = _bytes(members, bool(m[5]), fold)
+        elif m[7]:
+            item = _bytes({10}, True, False)
+        else:
+            item = _bytes({_code(m[0])}, False, fold)
+        low, high = 1, 1
+        if times := TIMES.match(pattern, at):
+            at = times.end()
+            if times[1]:
+                low, high = {"*": (0, None), "+": (1, None), "?": (0, 1)}[times[1]]
+            else:
+                low = int(times[2])
+                high = int(times[4]) if times[4] else None if times[3] else low
+        stack[-1][0][-1].append((item, low, high))
+    if len(stack) > 1:
+        raise ValueError(f"unbalanced parenthesis: {pattern}")
+    return top
+
+
 @dataclass
 class Dfa:
     """``move[state * n_classes + classes[byte]]``; ``accept[state]`` has a bit for each rule."""
@@ -190,7 +243,6 @@ class Scanner:
     rules: tuple
     dfa: Dfa
     step: np.ndarray  # next state, with the bits of the rules whose match ends here from bit 20 on
-    reset: np.ndarray  # bytes that lead from every state to the start
     back: list
 
 
@@ -199,13 +251,13 @@ def compile_rules(rules: tuple = RULES) -> Scanner:
     nfa = Nfa()
     start, ends, back = nfa.state(), {}, []
     for k, (_, pattern, *_) in enumerate(rules):
-        tree = rp.parse(pattern)
+        tree = parse_rule(pattern)
         first = nfa.state()
         nfa.empty[start].append(first)
-        ends[nfa.add(tree, first, False, False)] = k
+        ends[nfa.add(tree, first, False)] = k
         rev = Nfa()
         begin = rev.state()
-        last = rev.add(tree, begin, False, True)
+        last = rev.add(tree, begin, True)
         d = determinise(rev, begin, {last: 0}, False)
         dead = next((s for s in range(len(d.accept)) if not d.accept[s] and (d.move.reshape(-1, d.n_classes)[s] == s).all()), -1)
         back.append((d.classes.tolist(), d.move.reshape(-1, d.n_classes).tolist(), d.accept.tolist(), dead))
@@ -214,39 +266,52 @@ def compile_rules(rules: tuple = RULES) -> Scanner:
         raise ValueError("too many states")
     move = dfa.move.reshape(-1, dfa.n_classes)
     ended = dfa.accept[:, None] & ~dfa.accept[move]
-    reset = np.zeros(256, dtype=bool)
-    reset[:] = (move == 0).all(axis=0)[dfa.classes]
-    return Scanner(rules, dfa, (move | ended << 20).astype(np.int64).ravel(), reset, back)
+    return Scanner(rules, dfa, (move | ended << 20).astype(np.int64).ravel(), back)
 
 
 def ends_of(scanner: Scanner, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions (exclusive ends) and rule bits of all match ends in ``data``, whose last byte is ``END``."""
-    cls = scanner.dfa.classes[data]
-    stops = np.flatnonzero(scanner.reset[data]) + 1
-    marks = np.linspace(0, len(data), min(LANES, max(1, len(data) // 256)) + 1).astype(np.int64)[1:]
-    cuts = np.unique(stops[np.minimum(np.searchsorted(stops, marks), len(stops) - 1)])
-    begins = np.concatenate([[0], cuts[:-1]])
-    length = cuts - begins
-    order = np.argsort(-length, kind="stable")
-    pos, length = begins[order], length[order]
-    live = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")  # lanes of that length at least
-    state, n, mask = np.zeros(len(pos), dtype=np.int64), scanner.dfa.n_classes, (1 << 20) - 1
-    at, bits = [], []
-    for m in live.tolist():
-        if m < len(pos):
-            pos, state = pos[:m], state[:m]
-        got = scanner.step.take(state * n + cls.take(pos))
-        if got.max() > mask:
-            hit = np.flatnonzero(got > mask)
-            at.append(pos[hit])
-            bits.append(got[hit] >> 20)
-        state = got & mask
-        pos = pos + 1
-    if not at:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    at, bits = np.concatenate(at), np.concatenate(bits)
-    order = np.argsort(at, kind="stable")
-    return at[order], bits[order]
+    lanes = max(1, min(LANES, len(data) // 256))
+    length = -(-len(data) // lanes)
+    n, mask = scanner.dfa.n_classes, (1 << 20) - 1
+    # one row for each step, a column for each lane; ``END`` fills the last lanes up
+    padded = np.full(lanes * length, END, dtype=np.uint8)
+    padded[: len(data)] = data
+    classes = np.ascontiguousarray(scanner.dfa.classes[padded].reshape(lanes, length).T)
+    got = np.empty((length, lanes), dtype=np.int64)
+    state = np.zeros(lanes, dtype=np.int64)
+    for t in range(length):
+        scanner.step.take(state * n + classes[t], out=got[t])
+        state = got[t] & mask
+    begun = np.zeros(lanes, dtype=np.int64)
+    spread = 1
+    while True:
+        ends = got[-1] & mask
+        wanted = np.concatenate([[0], ends[:-1]])
+        wrong = np.flatnonzero(wanted != begun)
+        if not wrong.size:
+            break
+        # a lane that ended in the state it began in tells what the lanes behind it may begin in: these are tried along
+        held = wrong[(wanted[wrong] == ends[wrong - 1]) & (begun[wrong - 1] == ends[wrong - 1]) & (ends[wrong - 1] != 0)]
+        ahead = (held[:, None] + np.arange(1, spread)).ravel()
+        guess = np.repeat(wanted[held], spread - 1)
+        keep = (ahead < lanes) & ~np.isin(ahead, wrong)
+        ahead, first = np.unique(ahead[keep], return_index=True)
+        lane, state = np.concatenate([wrong, ahead]), np.concatenate([wanted[wrong], guess[keep][first]])
+        spread = min(2 * spread, lanes)
+        begun[lane] = state
+        for t in range(length):
+            new = scanner.step.take(state * n + classes[t, lane])
+            state = new & mask
+            on = state != got[t, lane] & mask
+            got[t, lane] = new
+            if not on.all():
+                lane, state = lane[on], state[on]
+                if not lane.size:
+                    break
+    flat = got.T.ravel()[: len(data)]
+    at = np.flatnonzero(flat > mask)
+    return at, flat[at] >> 20
 
 
 def _start(scanner: Scanner, rule: int, text: bytes, end: int, low: int) -> int:
@@ -306,8 +371,10 @@ def find_secrets(docs: DataFrame, rules: tuple = RULES, text: str = "text") -> D
     docs = docs.drop("spans")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
+    shipped = docs.sparkSession.sparkContext.broadcast(compile_rules(rules))  # a few megabytes, whatever the data
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = compile_rules(rules)
+        scanner = shipped.value
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)
@@ -336,8 +403,10 @@ def redact(docs: DataFrame, rules: tuple = RULES, mark: str = "[SECRET]") -> Dat
     columns = docs.columns
     where = columns.index("text")
 
+    shipped = docs.sparkSession.sparkContext.broadcast(compile_rules(rules))  # a few megabytes, whatever the data
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = compile_rules(rules)
+        scanner = shipped.value
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)
