@@ -7,7 +7,8 @@ content marginal exceeds one half are the text. All potentials are counted from
 
 Defined cases: null and empty html give an empty text; broken markup is read as far as it goes (open elements end with the
 page, stray end tags are ignored); repeated rows are read each; other columns are dropped; an empty table gives an empty
-result. Pages have no length limit and nothing is cut.
+result. Pages have no length limit, nothing is cut, and reading takes time in proportion to a page's length: a tag ends at the
+first ``>`` outside quotes, or, where quotes don't close or are more than a thousand, at the first one.
 """
 
 from __future__ import annotations
@@ -52,9 +53,13 @@ HINTS = {
 }
 WORD_HINT = {w: k for k, v in HINTS.items() for w in v.split()}
 PHRASE = re.compile(r"©|&copy;|\bcopyright\b|all rights reserved|\bcookies?\b|\bsubscribe\b|\bsign up\b|\blog ?in\b|\bshare (this|on)\b|\breply\b|\bcomments?\b|\badvertisement\b|\bsponsored\b", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*+>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,2000}+|[^>]*+)>|<[!?][^>]*+>", re.S)
+#: Numeric references that stand for no character; they may have any number of digits.
+FAR_REFERENCE = re.compile(r"&#(?:0*[1-9][0-9]{7,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{6,});?")
+ZEROS = re.compile(r"(&#[xX]?)0{9,}(?=[0-9a-fA-F])")
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+RAW_END = {n: re.compile(rf"</{n}\s*>" + (r"|<body[\s>]" if n == "head" else ""), re.I) for n in RAW}
 LABEL = re.compile(r"data-label=\"([01])\"")
 
 CONTENT, BOILER, MIXED = 0, 1, 2
@@ -92,10 +97,18 @@ def shape(text: str, linked: int) -> tuple:
     return TEXT, size, links, text[-1] in ".!?…。\"”»", size < 3 and PHRASE.search(text) is not None
 
 
+def decoded(raw: str) -> str:
+    """``raw`` with character references decoded."""
+    if "&#" in raw:
+        raw = FAR_REFERENCE.sub("\ufffd", ZEROS.sub(r"\1", raw))
+    return unescape(raw) if "&" in raw else raw
+
+
 def parse(html: str) -> Page:
     """The tree of block elements and runs; elements without text inside are left out."""
     page = Page()
     open_tags: list[str] = ["#page"]
+    opened: Counter = Counter()  # names among them
     path: list[int] = [0]
     pieces: list[str] = []
     links = linked = 0
@@ -104,7 +117,7 @@ def parse(html: str) -> Page:
         nonlocal pieces, linked
         if pieces:
             raw = "".join(pieces)
-            text = " ".join((unescape(raw) if "&" in raw else raw).split())
+            text = " ".join(decoded(raw).split())
             if text:
                 page.parent.append(path[-1])
                 page.kind.append(shape(text, linked))
@@ -113,12 +126,15 @@ def parse(html: str) -> Page:
             pieces = []
         linked = 0
 
-    def close(depth: int) -> None:
-        del open_tags[depth:], path[depth:]
+    def close() -> str:
+        path.pop()
+        opened[open_tags[-1]] -= 1
+        return open_tags.pop()
 
     at, scan, size, unclosed = 0, TOKEN.search, len(html), set()
+    last = html.rfind(">") + 1  # no tag ends behind it
     while at < size:
-        m = scan(html, at)
+        m = scan(html, at, last)
         if m is None:
             pieces.append(html[at:])
             break
@@ -130,6 +146,8 @@ def parse(html: str) -> Page:
         at = m.end()
         name = m[2]
         if name is None:  # comment, doctype or instruction
+            if html.startswith("<!--", start) and not html.endswith("-->", start, at):
+                at = size
             continue
         name = name.lower()
         if name in INLINE or name in MATH:
@@ -141,14 +159,14 @@ def parse(html: str) -> Page:
             continue
         if name in RAW and (name not in unclosed or m[1] or m[3].endswith("/")):
             if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\s*>|<body[\s>]" if name == "head" else rf"</{name}\s*>", re.I).search(html, at)
+                end = RAW_END[name].search(html, at)
                 if name == "head" and end is not None and end[0][1] != "/":
                     at = end.start()
                 elif end is not None:
                     at = end.end()
                 elif name in TO_THE_END:
                     at = size
-                elif name != "head":
+                else:
                     unclosed.add(name)
             pieces.append(" ")
             if name not in unclosed or m[1] or m[3].endswith("/"):
@@ -156,18 +174,20 @@ def parse(html: str) -> Page:
         end_run()
         links = 0
         if m[1]:
-            if name in open_tags:
-                close(len(open_tags) - 1 - open_tags[::-1].index(name))
+            if opened[name]:
+                while close() != name:
+                    pass
             continue
         gone = CLOSES.get(name, CLOSES["p"])
         while open_tags[-1] in gone:
-            close(-1)
+            close()
         page.parent.append(path[-1])
         page.kind.append((name, hint(m[3]) if m[3] else ""))
         page.text.append(None)
         page.label.append(int(x[1]) if (x := LABEL.search(m[3])) else None)
         if name not in VOID and not m[3].endswith("/"):
             open_tags.append(name)
+            opened[name] += 1
             path.append(len(page.parent) - 1)
     end_run()
     return prune(page)
