@@ -41,13 +41,27 @@ def test_counts_equal_the_library_on_random_texts(sentencepiece_model):
         assert token_counts.count_text(text, counts, rng.choice([1, 2, 3, 5, 1000])) == len(sentencepiece_model.encode(text)), repr(text)
 
 
-def test_state_maps_compose_associatively():
+def test_state_maps_compose_associatively_at_any_cut():
     counts = token_counts.Counts(token_counts.load(token_counts.default_model()))
     rng = random.Random(3)
     for _ in range(300):
-        a, b, c = (token_counts.chunk_map("".join(rng.choice("▁▁ab\n") for _ in range(rng.randint(1, 6))), counts) for _ in range(3))
-        merge = lambda x, y: token_counts.compose(x, y, counts)
-        assert merge(merge(a, b), c) == merge(a, merge(b, c))
+        text = "".join(rng.choice("▁▁abertionth\n") for _ in range(rng.randint(3, 300)))
+        i, j = sorted(rng.sample(range(len(text)), 2))
+        a, b, c = (token_counts.chunk_map(x, counts) for x in (text[:i], text[i:j], text[j:]))
+        before = counts.transducer.run("".join(rng.choice("▁abert") for _ in range(5)))[0]
+        want = counts.transducer.run(text, before)[1]
+        for whole in (token_counts.compose(token_counts.compose(a, b), c), token_counts.compose(a, token_counts.compose(b, c))):
+            assert whole(before)[1] == want and whole(token_counts.START)[1] == counts.transducer.run(text)[1]
+
+
+def test_states_stay_bounded_within_a_word(monkeypatch, sentencepiece_model):
+    monkeypatch.setattr(token_counts, "KEEP_STATES", 500)
+    counts = token_counts.Counts(token_counts.load(token_counts.default_model()))
+    counts.transducer.clear()
+    rng = random.Random(5)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    assert token_counts.count_text(word, counts) == len(sentencepiece_model.encode(word)) == token_counts.count_text(word, counts, 777)
+    assert len(counts.transducer.states) <= 502
 
 
 def test_token_query_on_edge_texts(spark, sentencepiece_model):

@@ -5,18 +5,22 @@ neighbouring pair is. So reading a character only needs, for each suffix that ma
 that suffix and its distance in tokens. These tuples are the states of a deterministic transducer; a transition carries the
 number of tokens that the longer prefix has more. States are made when first met and kept, as in lazy determinisation.
 
-No piece holds a space mark behind another character, so the transducer is in one known state at each such boundary. A chunk's
-state map is therefore (text up to its first boundary, tokens of the whole words between, text after its last boundary):
-such maps compose associatively, and a text's chunks are composed pairwise, level by level, like a parallel prefix scan.
+A chunk's state map is a function from the state before the chunk to the state behind it and the tokens gained. It is held as
+what was read from the start state, with the states passed on the way: from another state only the first characters are read
+again, until both readings are in one state. No piece holds a space mark behind another character, so each such boundary is one
+known state for all readings, and a map is constant from its first boundary on. Maps compose associatively at any cut point,
+also inside words, and a text's chunks are composed pairwise, level by level, as in a parallel prefix scan.
 
 Defined cases: null and empty texts have 0 tokens; repeated rows are counted each; other columns of the input are dropped;
-an empty table gives an empty result. Texts have no length limit; a word's cost is linear in its length.
+an empty table gives an empty result. Texts have no length limit; a word's cost is linear in its length, and states made are
+dropped beyond a fixed number, also within a word.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,8 +31,13 @@ from tidewell.llm.common import map_texts
 
 MARK = "▁"
 CHUNK = 1 << 16
-#: Words and states that a worker keeps before it begins anew.
-KEEP = 500_000
+#: Words and merges, and states and transitions, that a worker keeps before it begins anew.
+KEEP, KEEP_STATES, KEEP_MOVES = 500_000, 200_000, 800_000
+#: Characters between the states that a map remembers.
+STEP = 64
+#: A state: for each suffix that is empty or begins a piece, (suffix, token before it, tokens up to there, relative).
+State = tuple[tuple[str, str, int], ...]
+START: State = (("", "", 0),)
 #: A word; between two of them lies a boundary, before a mark that follows another character.
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -46,11 +55,18 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        #: A state: for each suffix that is empty or begins a piece, (suffix, token before it, tokens up to there, relative).
-        self.start = (("", "", 0),)
-        self.ids: dict[tuple, int] = {self.start: 0}
-        self.states = [self.start]
+        self.ids: dict[State, int] = {START: 0}
+        self.states = [START]
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
+        self.compiled = 0
+
+    def number(self, state: State) -> int:
+        got = self.ids.get(state)
+        if got is None:
+            got = self.ids[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+        return got
 
     def fits(self, left: str, token: str) -> bool:
         """Whether greedy merging of ``left + token`` ends in these two: again and again the best-scored neighbouring pair
@@ -95,21 +111,24 @@ class Transducer:
         else:
             raise AssertionError("greedy merging gives each prefix a last token")
         new = (("", token, 0), *[(s + char, before, count - gained) for s, before, count in entries if s + char in prefixes])
-        number = self.ids.get(new)
-        if number is None:
-            number = self.ids[new] = len(self.states)
-            self.states.append(new)
-            self.moves.append({})
-        move = self.moves[state][char] = (number, gained)
+        move = self.moves[state][char] = (self.number(new), gained)
+        self.compiled += 1
         return move
 
-    def run(self, text: str, state: int = 0) -> tuple[int, int]:
+    def run(self, text: str, state: State = START) -> tuple[State, int]:
         """Reads ``text``; the state reached and the tokens gained."""
-        total, moves = 0, self.moves
+        total, at, moves = 0, self.number(state), self.moves
         for char in text:
-            state, gained = moves[state].get(char) or self.compile(state, char)
+            move = moves[at].get(char)
+            if move is None:
+                if len(self.states) > KEEP_STATES or self.compiled > KEEP_MOVES:
+                    state = self.states[at]
+                    self.clear()
+                    at, moves = self.number(state), self.moves
+                move = self.compile(at, char)
+            at, gained = move
             total += gained
-        return state, total
+        return self.states[at], total
 
 
 class Counts(dict):
@@ -122,8 +141,6 @@ class Counts(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > KEEP:
             self.clear()
-        if len(self.transducer.states) > KEEP:
-            self.transducer.clear()
         if "\n" in word and self.transducer.line_alone:  # a line feed is in no piece, so nothing merges across it
             return word.count("\n") * self.transducer.width("\n") + sum(self[x] for x in word.split("\n") if x)
         n = self.transducer.run(word)[1]
@@ -132,41 +149,75 @@ class Counts(dict):
         return n
 
 
-#: A chunk's state map: (head, tokens of whole words, tail), or (text, None, "") if it has no boundary.
-Map = tuple[str, int | None, str]
+class Reading:
+    """The map of a stretch without a boundary: what is read from the start state, with the states passed each ``STEP``."""
+
+    def __init__(self, text: str, transducer: Transducer) -> None:
+        self.text, self.transducer, self.passed, self.total, self.exit = text, transducer, [], 0, START
+        for i in range(0, len(text), STEP):
+            self.exit, n = transducer.run(text[i : i + STEP], self.exit)
+            self.total += n
+            self.passed.append((self.exit, self.total))
+
+    def __call__(self, state: State) -> tuple[State, int]:
+        if state == START:
+            return self.exit, self.total
+        total = 0
+        for k, (known, upto) in enumerate(self.passed):
+            state, n = self.transducer.run(self.text[k * STEP : (k + 1) * STEP], state)
+            total += n
+            if state == known:
+                return self.exit, total + self.total - upto
+        return state, total
+
+
+@dataclass(frozen=True)
+class Map:
+    """From the state before a chunk to the state behind it and the tokens gained: the readings up to the first boundary, and
+    if there is one (``exit`` isn't None), the tokens from there on and the state at the end."""
+
+    head: tuple[Reading, ...]
+    tokens: int = 0
+    exit: State | None = None
+
+    def __call__(self, state: State) -> tuple[State, int]:
+        total = self.tokens
+        for reading in self.head:
+            state, n = reading(state)
+            total += n
+        return (state if self.exit is None else self.exit), total
 
 
 def chunk_map(text: str, counts: Counts) -> Map:
     """``text`` has space marks for spaces."""
     units = UNIT.findall(text)
-    if len(units) < 2:
-        return text, None, ""
-    return units[0], sum(map(counts.__getitem__, units[1:-1])), units[-1]
+    if not units:
+        return Map(())
+    head = (Reading(units[0], counts.transducer),)
+    if len(units) == 1:
+        return Map(head)
+    end, last = counts.transducer.run(units[-1])
+    return Map(head, sum(map(counts.__getitem__, units[1:-1])) + last, end)
 
 
-def compose(a: Map, b: Map, counts: Counts) -> Map:
-    """First ``a``, then ``b``. ``a``'s tail and ``b``'s head meet; a boundary lies between if marks follow a character."""
-    (ha, na, ta), (hb, nb, tb) = a, b
-    left = ta if na is not None else ha
-    split = bool(left) and left[-1] != MARK and hb.startswith(MARK)
-    if na is None and nb is None:
-        return (ha, 0, hb) if split else (ha + hb, None, "")
-    if na is None:
-        return (ha, nb + counts[hb], tb) if split else (ha + hb, nb, tb)
-    if nb is None:
-        return (ha, na + counts[ta], hb) if split else (ha, na, ta + hb)
-    return (ha, na + nb + (counts[ta] + counts[hb] if split else counts[ta + hb]), tb)
+def compose(a: Map, b: Map) -> Map:
+    """First ``a``, then ``b``."""
+    if a.exit is None:
+        return Map(a.head + b.head, a.tokens + b.tokens, b.exit)
+    end, n = b(a.exit)
+    return Map(a.head, a.tokens + n, end)
 
 
 def count_text(text: str | None, counts: Counts, chunk: int = CHUNK) -> int:
     if not text:
         return 0
     text = MARK + text.replace(" ", MARK)
+    if len(text) <= chunk:
+        return sum(map(counts.__getitem__, UNIT.findall(text)))
     maps = [chunk_map(text[i : i + chunk], counts) for i in range(0, len(text), chunk)]
     while len(maps) > 1:  # one level of the scan: neighbours compose, whatever stands before them
-        maps = [compose(*maps[i : i + 2], counts) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    head, n, tail = maps[0]
-    return sum(counts[x] for x in (head, tail) if x) + (n or 0)
+        maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0](START)[1]
 
 
 @lru_cache(maxsize=2)
