@@ -1,7 +1,8 @@
 """Reproducible shuffle into shards by a keyed permutation of global row numbers.
 
-Rows get numbers 0 to n-1 that depend on their keys alone, not on files, partitions or cluster size: rows are ranked within
-hash buckets, and the buckets' counts, summed up, give each bucket's first number. A Feistel network over the next power of
+Rows get numbers 0 to n-1 that depend on their keys alone, not on files, partitions or cluster size: equal rows are counted
+first, keys are ranked within hash buckets whose number grows with the table, and the buckets' counts, summed up, give each
+bucket's first number. Equal rows come as one row with a count through all shuffles. A Feistel network over the next power of
 four permutes these numbers; values of n and above walk on along their cycle until they fall below n. Shard and slot follow
 by arithmetic: place % shards and place // shards. Shard sizes in rows differ by one at most (law ``rows``), and slots are
 gapless. Only ids, sizes and checksums are shuffled, never texts.
@@ -18,12 +19,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
-from tidewell.llm.common import cut
+from tidewell.llm.common import by_size, cut
 
-#: Hash buckets that row numbers are counted in; each bucket is ranked by one task, so there are many more than cores.
-BUCKETS = 4096
+#: Hash buckets that keys are ranked in, at least, and rows for which there is one more; their table of counts is one task's.
+BUCKETS, BUCKET_ROWS = 4096, 1_000_000
+#: Equal rows that one task writes out; more are dealt to several tasks.
+EQUAL_ROWS = 100_000
 ROUNDS = 4
+#: Buckets up to which their table is broadcast, 16 bytes each.
+BROADCAST_BUCKETS = 1_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -53,22 +59,28 @@ def permute(numbers: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def number_rows(rows: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """``rows`` with ``row_number`` from 0, by hash bucket of the keys, then the keys. Rows with equal keys tie arbitrarily."""
-    placed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    counts = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    # at most `buckets` rows, so one task may sum them and every executor may hold them
+def number_rows(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (``n`` of them) with ``row_number`` from 0, by hash bucket, then by all columns."""
+    keys = rows.columns
+    buckets = max(BUCKETS, n // BUCKET_ROWS)
+    distinct = rows.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    distinct = cut(distinct)
+    counts = distinct.groupBy("_bucket").agg(F.sum("_n").alias("_n"))
     first = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_first"))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys)) - 1
-    ranked = placed.withColumn("_rank", rank)
-    return ranked.join(F.broadcast(first), "_bucket").withColumn("row_number", F.col("_first") + F.col("_rank")).drop("_bucket", "_first", "_rank")
+    before = F.sum("_n").over(Window.partitionBy("_bucket").orderBy(*keys)) - F.col("_n")
+    placed = distinct.withColumn("_before", before).join(by_size(first, BROADCAST_BUCKETS), "_bucket").withColumn("_first", F.col("_first") + F.col("_before"))
+    part = lambda d, k: d.withColumn("row_number", F.explode(F.sequence(F.col("_first") + k, F.col("_first") + F.least(k + EQUAL_ROWS, "_n") - 1)))
+    few = part(placed.filter(F.col("_n") <= EQUAL_ROWS), F.lit(0).cast("long"))
+    many = placed.filter(F.col("_n") > EQUAL_ROWS).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(EQUAL_ROWS).cast("long"))))
+    many = part(many.repartition(*keys, "_k"), F.col("_k"))
+    return few.select(*keys, "row_number").unionByName(many.select(*keys, "row_number"))
 
 
-def shard_rows(rows: DataFrame, keys: list[str], shards: int, seed: int = 42) -> DataFrame:
-    """``rows`` with ``row_number``, ``shard`` and ``slot``."""
+def shard_rows(rows: DataFrame, shards: int, seed: int = 42) -> DataFrame:
+    """``rows`` with ``row_number``, ``shard`` and ``slot``. All columns are the key, so they should be few and small."""
     rows = cut(rows.drop("row_number", "shard", "slot"))
     n = rows.count()
-    numbered = number_rows(rows, keys)
+    numbered = number_rows(rows, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,8 +88,6 @@ def shard_rows(rows: DataFrame, keys: list[str], shards: int, seed: int = 42) ->
             shard, slot = pa.array((place % shards).astype(np.int32)), pa.array(place // shards)
             yield pa.RecordBatch.from_arrays([*batch.columns, shard, slot], names=[*batch.schema.names, "shard", "slot"])
 
-    from pyspark.sql.types import IntegerType, LongType, StructType
-
     schema = StructType([*numbered.schema.fields]).add("shard", IntegerType()).add("slot", LongType())
     return numbered.mapInArrow(run, schema)
 
@@ -86,5 +96,5 @@ def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 42) -> DataFr
     """The contract's columns; law ``rows``, so there is no ``grown_shard``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = shard_rows(sized, ["doc_id", "text_crc32", "size"], shards, seed)
+    out = shard_rows(sized.select("doc_id", "text_crc32", "size"), shards, seed)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
