@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidewell.llm.mixing import BITS, BLOCK_ROWS, EVENNESS, MOST_REPEATS, ROUNDS
 from tidewell.llm.quality import FENCES, LEAST_ROWS, MANTISSA, STEP_BITS
+from tidewell.llm.url_filter import RULES
 
 _SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -91,4 +92,28 @@ k3 AS (SELECT *, md5('42:' || coalesce(source, '') || ':' || block) AS block_key
 u AS (SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY source ORDER BY block_key, doc_key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto FROM k3)
 SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, CAST(passes + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies, block, block_key, doc_key FROM u"""
 
-ORACLES = {"op10_temperature_mixing": _MIXING, "op4_adaptive_quality": _QUALITY, "op5_near_duplicates": _NEAR, "op6_nearest": _NEAREST}
+_REST = "CASE WHEN instr({0}, '://') > 0 THEN substr({0}, instr({0}, '://') + 3) END"
+_HOST = "translate(regexp_extract({0}, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RULES = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)
+_RULE = "list(struct_pack(size := len(r.h) + len(r.p), rule := r.h || r.p, verdict := r.v) ORDER BY len(r.h) + len(r.p) DESC, len(r.h) DESC)[1]"
+_FITS = "({0}.host = r.h OR ends_with({0}.host, '.' || r.h)) AND starts_with({0}.path, r.p)"
+
+#: Canonical links to whole urls, without ``..`` in them, as tables have them if they have any; closed by recursion.
+_URLS = f"""
+WITH RECURSIVE rules(h, p, v) AS (VALUES {_RULES}),
+a AS (SELECT row_number() OVER () AS row, page_id, html, {_REST.format("url")} AS rest FROM pages),
+b AS (SELECT *, coalesce({_HOST.format("rest")}, '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+  {_HOST.format("rest")} || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS key FROM a),
+l AS (SELECT key AS u, {_REST.format("t")} AS t FROM (SELECT key, nullif(regexp_extract(html, '<link rel="canonical" href="(https?://[^"]*)"', 1), '') AS t FROM b) WHERE t IS NOT NULL AND key IS NOT NULL),
+k AS (SELECT u, {_HOST.format("t")} || regexp_extract(t, '^[^/?#]*([^#]*)', 1) AS v FROM l),
+both_ways AS (SELECT u, v FROM k WHERE u <> v UNION ALL SELECT v, u FROM k WHERE u <> v),
+r AS (SELECT u, v FROM both_ways UNION SELECT r.u, w.v FROM r JOIN both_ways w ON r.v = w.u),
+m AS (SELECT u AS key, least(u, min(v)) AS component FROM r GROUP BY u),
+n AS (SELECT *, regexp_extract(key, '^[^/?#]*', 0) AS host, regexp_extract(key, '^[^/?#]*([^?#]*)', 1) AS path FROM m),
+o AS (SELECT n.component, n.key, {_RULE} AS best FROM n JOIN rules r ON {_FITS.format("n")} GROUP BY ALL),
+c AS (SELECT component, CASE WHEN bool_or(best.verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict FROM o GROUP BY component),
+own AS (SELECT b.row, {_RULE} AS best FROM b JOIN rules r ON {_FITS.format("b")} GROUP BY b.row)
+SELECT b.page_id, b.host, b.path, own.best.rule AS rule, coalesce(own.best.verdict, c.verdict, 'allow') AS verdict, c.component AS alias_class
+FROM b LEFT JOIN own USING (row) LEFT JOIN m USING (key) LEFT JOIN c ON c.component = m.component"""
+
+ORACLES = {"op1_url_filter": _URLS, "op10_temperature_mixing": _MIXING, "op4_adaptive_quality": _QUALITY, "op5_near_duplicates": _NEAR, "op6_nearest": _NEAREST}

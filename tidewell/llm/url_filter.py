@@ -7,8 +7,9 @@ block if any member is blocked, else allow. So blocks reach aliases, and an expl
 comes first. Only urls that stand in a link are in the graph; a page's html is read for its links and never shuffled.
 
 Defined cases: null urls and urls without ``://`` have an empty host and path, fit no rule, have no aliases and are allowed;
-null html has no links; repeated rows are judged each; links to the page itself don't count; an empty table gives an empty
-result; other columns are ignored. The list of rules is a parameter and is held in the plan, so it is for thousands of rules.
+null html has no links; links in comments, scripts and styles don't count; a link is resolved against the page's ``<base>``, if
+it names one, else its url, and ``.`` and ``..`` in its path are followed; repeated rows are judged each; links to the page
+itself don't count; an empty table gives an empty result; other columns are ignored. The list of rules is a parameter and is held in the plan, so it is for thousands of rules.
 """
 
 from __future__ import annotations
@@ -72,23 +73,46 @@ def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return found if rules else F.lit(None).cast("struct<size:int,host_size:int,rule:string,verdict:string>")
 
 
+SILENT = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\z)"
+#: The references that stand for characters of urls.
+REFERENCES = (("&(?i:quot|#0*34|#x0*22);?", '"'), ("&(?i:lt|#0*60|#x0*3c);?", "<"), ("&(?i:gt|#0*62|#x0*3e);?", ">"), ("&(?:#0*47|#[xX]0*2[fF]);?", "/"), ("&(?:#0*58|#[xX]0*3[aA]);?", ":"), ("&(?i:amp|#0*38|#x0*26);?", "&"))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, decoded; null without one."""
+    found = F.regexp_extract(tag, rf"(?is)^<[a-z]+\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    value = F.trim(F.regexp_replace(found, "^[\"']|[\"']$", ""))
+    for pattern, char in REFERENCES:
+        value = F.regexp_replace(value, pattern, char)
+    return F.when(value != "", value)
+
+
 def linked_urls(html: Column) -> Column:
-    """The targets of canonical links and refresh redirects, as written."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), F.lit(1))
-    target = lambda t: F.coalesce(
-        F.nullif(F.regexp_extract(t, r"(?is)^<link.*?\bhref\s*=\s*(?:\"\s*([^\"]*?)\s*\"|'\s*[^']*'|[^\s\"'>]+)", 1), F.lit("")),
-        F.nullif(F.regexp_extract(t, r"(?is)^<link.*?\bhref\s*=\s*'\s*([^']*?)\s*'", 1), F.lit("")),
-        F.nullif(F.regexp_extract(t, r"(?is)^<link.*?\bhref\s*=\s*([^\s\"'>]+)", 1), F.lit("")),
-        F.nullif(F.regexp_extract(t, r"(?is)^<meta.*?\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1), F.lit("")),
-    )
-    return F.array_compact(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.replace(target(t), F.lit("&amp;"), F.lit("&"))))
+    """The targets of canonical links and refresh redirects, and the page's base, as written: ``(to, base)``."""
+    read = F.regexp_replace(html, SILENT, " ")
+    tags = F.regexp_extract_all(read, F.lit(r"(?is)(<(?:link|meta|base)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)"), F.lit(1))
+    canonical = lambda t: F.when(attribute(t, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)"), attribute(t, "href"))
+    refresh = lambda t: F.when(F.lower(attribute(t, "http-equiv")) == "refresh", F.nullif(F.regexp_extract(attribute(t, "content"), r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1), F.lit("")))
+    to = F.array_compact(F.transform(tags, lambda t: F.when(t.rlike("(?i)^<link"), canonical(t)).when(t.rlike("(?i)^<meta"), refresh(t))))
+    base = F.get(F.array_compact(F.transform(tags, lambda t: F.when(t.rlike("(?i)^<base"), attribute(t, "href")))), 0)
+    return F.struct(to.alias("to"), base.alias("base"))
+
+
+def followed(rest: Column) -> Column:
+    """``rest`` (host, path and more) without ``.`` and ``..`` steps in its path."""
+    host, path, more = host_of(rest), path_of(rest), F.regexp_extract(rest, r"^[^?#]*(.*)", 1)
+    steps = F.split(F.substring(path, 2, 1 << 30), "/")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(steps, none, lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))))
+    ended = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(host, F.lit("/"), F.array_join(ended, "/"), more)).otherwise(rest)
 
 
 def resolved(target: Column, rest: Column) -> Column:
     """``target`` as what follows a scheme, seen from the page at ``rest``; null if it isn't on the web."""
     host, path = host_of(rest), path_of(rest)
     folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"^.*/", 0))
-    return (
+    return followed(
         F.when(target.rlike(r"(?i)^https?://"), after_scheme(target))
         .when(target.startswith("//"), F.substring(target, 3, 1 << 30))
         .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
@@ -102,8 +126,10 @@ def resolved(target: Column, rest: Column) -> Column:
 def page_links(pages: DataFrame) -> DataFrame:
     """``u, v``: nodes of pages and of what they name as themselves."""
     rest = after_scheme(F.col("url"))
-    found = pages.filter(F.col("html").isNotNull()).select(rest.alias("rest"), linked_urls(F.col("html")).alias("to")).filter("rest is not null and size(to) > 0")
-    pairs = found.select("rest", F.explode("to").alias("to")).select(key_of(F.col("rest")).alias("u"), key_of(resolved(F.col("to"), F.col("rest"))).alias("v"))
+    found = pages.filter(F.col("html").rlike(r"(?i)<link|<meta")).select(rest.alias("rest"), linked_urls(F.col("html")).alias("links"))
+    found = found.filter("rest is not null and size(links.to) > 0")
+    pairs = found.select("rest", F.coalesce(resolved(F.col("links.base"), F.col("rest")), "rest").alias("base"), F.explode("links.to").alias("to"))
+    pairs = pairs.select(key_of(F.col("rest")).alias("u"), key_of(resolved(F.col("to"), F.col("base"))).alias("v"))
     return pairs.filter("u is not null and v is not null and u != v")
 
 
