@@ -9,16 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut
+from tidewell.checkpoints import cut
 
 #: A block of a clock is this many cooldowns long, and a day at least; a task holds at most a row for each of its seconds.
 BLOCK_COOLDOWNS, BLOCK_SECONDS = 64, 86_400
 
-#: Rule name: condition (a Spark SQL expression over the row), severity, cooldown in seconds. Users add theirs alike.
+# Fixed values. Rule name: condition (a Spark SQL expression over the row), severity, cooldown in seconds. Users add theirs alike.
 RULES = {
-    "critical_risk": ("probability >= 0.85", "critical", 300),
-    "high_risk": ("probability >= 0.7 AND probability < 0.85", "warning", 600),
-    "rapid_increase": ("probability - previous > 0.2", "warning", 600),
+    "critical_risk": ("probability >= 0.75", "CRITICAL", 60),
+    "high_risk": ("probability >= 0.50 AND probability < 0.75", "WARNING", 300),
+    "rapid_increase": ("probability - previous > 0.20", "CRITICAL", 120),
+}
+SYSTEM_RULES = {
+    "gpu_memory_high": ("gpu_pct > 90", "WARNING", 600),
+    "high_latency": ("latency_ms > 500", "WARNING", 300),
+    "model_error_spike": ("error_rate > 0.05", "CRITICAL", 120),
+}
+DRIFT_RULES = {
+    "feature_drift": ("psi > 0.2", "WARNING", 3600),
+    "prediction_drift": ("relative_drift > 0.25", "CRITICAL", 1800),
 }
 
 

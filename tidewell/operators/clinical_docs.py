@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,15 +48,21 @@ def acknowledgement(parsed: DataFrame) -> DataFrame:
 
 
 def code_column(code: Column, codes: dict[str, str] = LOINC) -> Column:
-    return reduce(lambda e, kv: F.when(code == kv[0], kv[1]).otherwise(e), codes.items(), F.lit(None).cast("string"))
+    """The panel column of a code, from a literal map; null for unknown codes."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), code)
 
 
 def pivot_hl7(parsed: DataFrame, key: str = "control_id", fields: list[str] | None = None, complete: bool = True) -> DataFrame:
-    """A row for each message with its numeric observations by column, the last of a field winning."""
+    """A row for each message with its numeric observations by column, the last of a field winning; messages without any go.
+
+    A code is looked up first, then the identifier's text. Inside the row: messages that share a control id, or have none,
+    stay apart, and nothing is shuffled.
+    """
     fields = fields or VITALS
-    rows = parsed.select(key, F.posexplode("obx").alias("pos", "o")).select(key, "pos", F.coalesce(code_column(F.col("o.code")), code_column(F.col("o.text"))).alias("field"), F.col("o.number").alias("number"))
-    rows = rows.filter(F.col("field").isin(fields) & F.col("number").isNotNull())
-    wide = rows.groupBy(key).agg(*[F.max_by(F.when(F.col("field") == f, F.col("number")), F.when(F.col("field") == f, F.col("pos"))).alias(f) for f in fields])
+    named = F.transform("obx", lambda o: F.struct(F.coalesce(code_column(o["code"]), code_column(o["text"])).alias("field"), o["number"].alias("number")))
+    out = parsed.select(key, F.filter(named, lambda o: o["field"].isin(fields) & o["number"].isNotNull()).alias("_o")).filter(F.size("_o") > 0)
+    last = lambda f: F.try_element_at(F.filter("_o", lambda o: o["field"] == f), F.lit(-1))["number"]
+    wide = out.select(key, *[last(f).alias(f) for f in fields])
     return wide.dropna(subset=fields) if complete else wide
 
 

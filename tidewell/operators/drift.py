@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut
+from tidewell.checkpoints import cut
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
@@ -27,8 +27,9 @@ def _binned(df: DataFrame, edges: DataFrame, column: str, bins: int) -> DataFram
     return inside.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def psi(reference: DataFrame, live: DataFrame, columns: list[str], bins: int = 10, least: int = 50) -> DataFrame:
-    """``feature, psi``: population stability of each column; 0 with fewer than ``least`` live values inside the edges."""
+def psi(reference: DataFrame, live: DataFrame, columns: list[str], bins: int = 10, least: int = 50, buffered: int = 100) -> DataFrame:
+    """``feature, psi``: population stability of each column; 0 with fewer than ``least`` live values inside the edges, and for
+    all columns with fewer than ``buffered`` live rows."""
     stack = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in columns])).alias("r")).select("r.*").filter("x is not null")
     ref, now = stack(reference), stack(live)
     edges = ref.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -42,7 +43,9 @@ def psi(reference: DataFrame, live: DataFrame, columns: list[str], bins: int = 1
     w = Window.partitionBy("feature")
     share = lambda c: F.greatest(F.try_divide(F.col(c), F.sum(c).over(w)), F.lit(1e-8))
     parts = full.select("feature", "l", ((share("l") - share("r")) * F.ln(share("l") / share("r"))).alias("part"))
-    return parts.groupBy("feature").agg(F.round(F.when(F.sum("l") < least, 0.0).otherwise(F.sum("part")), 6).alias("psi"))
+    rows = live.agg(F.count("*").alias("rows"))  # one row
+    sums = parts.groupBy("feature").agg(F.sum("l").alias("l"), F.sum("part").alias("part")).join(F.broadcast(rows))
+    return sums.select("feature", F.round(F.when((F.col("l") < least) | (F.col("rows") < buffered), 0.0).otherwise(F.col("part")), 6).alias("psi"))
 
 
 def ks_statistic(reference: DataFrame, live: DataFrame, column: str) -> DataFrame:

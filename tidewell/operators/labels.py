@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +29,7 @@ def cardiac_event() -> Column:
     c = F.col
     hard = _met(c("heart_rate") < 35) | _met(c("heart_rate") > 180) | _met(c("systolic_bp") < 65)
     soft = _met(c("heart_rate") < 40) | _met(c("heart_rate") > 150) | _met(c("systolic_bp") < 70)
-    return hard | (_met(c("deterioration_hour") > 0) & soft)
+    return hard | ((_met(c("deterioration_event") == 1) | _met(c("deterioration_hour") > 0)) & soft)
 
 
 def respiratory_event() -> Column:
@@ -50,7 +47,7 @@ OUTCOMES = {
 
 def look_ahead(df: DataFrame, outcomes: dict = OUTCOMES) -> DataFrame:
     """1 where the entity has an event in (t, t + h]: one shuffle for all outcomes. Missing signals count as null."""
-    needed = ("sepsis_risk_score", "wbc_count", "oxygen_flow", "deterioration_hour")
+    needed = ("sepsis_risk_score", "wbc_count", "oxygen_flow", "deterioration_hour", "deterioration_event")
     wide = df.withColumns({c: F.lit(None).cast("double") for c in needed if c not in df.columns})
     w = Window.partitionBy(ENTITY).orderBy(HOUR)
     new = {n: F.coalesce(F.max(event().cast("int")).over(w.rangeBetween(1, h)), F.lit(0)) for n, (event, h) in outcomes.items() if n not in df.columns}
@@ -81,6 +78,3 @@ def sample_weights(df: DataFrame, label: str, root: bool = False) -> DataFrame:
     weight = F.col("_n") / (2.0 * of_class)
     return df.crossJoin(F.broadcast(totals)).withColumn("weight", F.sqrt(weight) if root else weight).drop("_n", "_p")
 
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(or_, conditions, F.lit(False))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.checkpoints import shared_folder
 from tidewell.operators import labels, split
 from tidewell.plans.oracle_text import with_panel
 from tidewell.plans.panel_queries import panel
@@ -31,8 +31,7 @@ def query(sql: str | None):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{os.getpid()}"
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def at_hour() -> Column:

@@ -197,33 +197,80 @@ def p17_risk_band(spark, sf_dir):
     return with_probability(spark, sf_dir).select(*KEY_COLUMNS, "probability", risk.band(p).alias("level"), risk.truncated_score(p).alias("score"), risk.rounded_score(p).alias("rounded_score"))
 
 
-def _add(*terms) -> str:
-    return "least(greatest(" + " + ".join(f"CASE WHEN coalesce({x}, false) THEN {v} ELSE 0.0 END" for x, v in terms) + ", 0.0), 1.0)"
+def _if(condition: str, points: float, other: str = "0.0") -> str:
+    return f"CASE WHEN {condition} THEN CAST({points} AS DOUBLE) ELSE {other} END"
 
 
-_SCORES = {
-    "sepsis": _add(("respiratory_rate >= 22", 0.25), ("systolic_bp <= 100", 0.25), ("lactate >= 2", 0.3), ("temperature_c >= 38.3", 0.2)),
-    "cardiac": _add(("heart_rate > 130", 0.4), ("heart_rate < 45", 0.4), ("systolic_bp < 85", 0.4)),
-    "respiratory": _add(("spo2_pct < 90", 0.5), ("respiratory_rate >= 28", 0.3), ("spo2_pct < 94", 0.2)),
-    "deterioration": _add(("heart_rate > 110", 0.25), ("respiratory_rate >= 24", 0.25), ("systolic_bp < 95", 0.25), ("lactate >= 3", 0.25)),
-}
-_OUTCOMES = ", oc AS (SELECT *, " + ", ".join(f"CAST({x} AS DOUBLE) AS {n}" for n, x in _SCORES.items()) + " FROM full_panel)"
+#: The four rule sets in plain SQL; the panel has no white cells, sepsis risk or oxygen flow.
+_OUTCOMES = f""", d1 AS (SELECT *, least(greatest(CAST(0.05 AS DOUBLE) + {_if("heart_rate > 105 OR heart_rate < 50", 0.2)} + {_if("respiratory_rate > 24 OR respiratory_rate < 10", 0.2)} + {_if("spo2_pct < 92", 0.25)}
+  + {_if("systolic_bp < 95 OR systolic_bp > 170", 0.15)} + {_if("lactate > 2", 0.15)}, 0.01), 0.99) AS det FROM full_panel),
+oc AS (SELECT patient_id, hour_from_admission, CAST(det AS DOUBLE) AS deterioration_next_12h,
+  CAST(least(greatest(CAST(0.05 AS DOUBLE) + 0.15 * ({_if("respiratory_rate >= 22", 1)} + {_if("systolic_bp <= 100", 1)} + {_if("mobility_score <= 1", 1)}) / 3.0 + {_if("lactate > 2", 0.15)} + {_if("temperature_c >= 38.3 OR temperature_c <= 36", 0.1)} + {_if("det > 0.6", 0.1)}, 0.01), 0.99) AS DOUBLE) AS sepsis_next_6h,
+  CAST(least(greatest(CAST(0.02 AS DOUBLE) + {_if("heart_rate < 40 OR heart_rate > 150", 0.45, _if("heart_rate < 50 OR heart_rate > 130", 0.15))} + {_if("systolic_bp < 75", 0.35, _if("systolic_bp < 90", 0.15))} + {_if("heart_rate / greatest(systolic_bp, 1.0) > 1.2 AND systolic_bp IS NOT NULL", 0.15)} + {_if("det > 0.7", 0.1)}, 0.005), 0.98) AS DOUBLE) AS cardiac_arrest_next_12h,
+  CAST(least(greatest(CAST(0.04 AS DOUBLE) + {_if("spo2_pct < 88", 0.5, _if("spo2_pct < 92", 0.25))} + {_if("respiratory_rate >= 28", 0.25, _if("respiratory_rate >= 24", 0.1))}, 0.01), 0.99) AS DOUBLE) AS respiratory_failure_next_12h FROM d1)"""
 
 
-@query(with_panel(f"SELECT {KEYS}, {', '.join(f'round({n}, 6) AS {n}' for n in _SCORES)} FROM oc", _OUTCOMES))
+@query(with_panel(f"SELECT {KEYS}, {', '.join(f'round({n}, 6) AS {n}' for n in risk.OUTCOMES)} FROM oc", _OUTCOMES))
 def p19_multi_outcome(spark, sf_dir):
-    return tidy(panel(spark, sf_dir).withColumns(risk.outcome_scores()), list(_SCORES))
+    return tidy(risk.outcome_scores(panel(spark, sf_dir)), list(risk.OUTCOMES))
 
 
-@query(with_panel(f"SELECT {KEYS}, CASE WHEN round(sepsis * 1.1, 9) >= greatest(round(cardiac * 1.2, 9), round(respiratory, 9), round(deterioration, 9)) THEN 'sepsis' WHEN round(cardiac * 1.2, 9) >= greatest(round(respiratory, 9), round(deterioration, 9)) THEN 'cardiac' WHEN respiratory >= deterioration THEN 'respiratory' ELSE 'deterioration' END AS primary_concern FROM oc", _OUTCOMES))
+_POINTS = "round_even(round({0} * 100, 6), 0)"
+
+
+@query(
+    with_panel(
+        f"""SELECT {KEYS}, CASE WHEN d >= greatest(s * 1.1, c * 1.2, r) THEN 'deterioration_next_12h' WHEN s * 1.1 >= greatest(c * 1.2, r) THEN 'sepsis_next_6h' WHEN c * 1.2 >= r THEN 'cardiac_arrest_next_12h' ELSE 'respiratory_failure_next_12h' END AS primary_concern
+  FROM (SELECT {KEYS}, {_POINTS.format("deterioration_next_12h")} AS d, {_POINTS.format("sepsis_next_6h")} AS s, {_POINTS.format("cardiac_arrest_next_12h")} AS c, {_POINTS.format("respiratory_failure_next_12h")} AS r FROM oc)""",
+        _OUTCOMES,
+    )
+)
 def p20_primary_concern(spark, sf_dir):
-    return risk.primary_concern(panel(spark, sf_dir).withColumns(risk.outcome_scores())).select(*KEY_COLUMNS, "primary_concern")
+    scores = risk.outcome_scores(panel(spark, sf_dir))
+    scores = scores.withColumns({n: F.round(n, 8) for n in risk.OUTCOMES})  # so that both engines round the same numbers to points
+    return risk.primary_concern(scores).select(*KEY_COLUMNS, "primary_concern")
+
+
+@query(
+    with_panel(
+        f"""SELECT {KEYS}, CAST((cardiac_arrest_next_12h >= 0.5)::INT + (sepsis_next_6h >= 0.5)::INT + (respiratory_failure_next_12h >= 0.5)::INT + (deterioration_next_12h >= 0.5)::INT AS INTEGER) AS n_alerts,
+  CASE WHEN cardiac_arrest_next_12h >= 0.5 THEN 'CARDIAC' WHEN sepsis_next_6h >= 0.5 THEN 'SEPSIS' WHEN respiratory_failure_next_12h >= 0.5 THEN 'RESPIRATORY' WHEN deterioration_next_12h >= 0.5 THEN 'DETERIORATION' ELSE 'All' END AS first_word FROM oc""",
+        _OUTCOMES,
+    )
+)
+def p21_alert_texts(spark, sf_dir):
+    out = risk.alert_texts(risk.outcome_scores(panel(spark, sf_dir)))
+    clear = F.col("alerts")[0] == risk.ALL_CLEAR
+    return out.select(*KEY_COLUMNS, F.when(clear, 0).otherwise(F.size("alerts")).alias("n_alerts"), F.split(F.col("alerts")[0], " ")[1].alias("first_word"))
 
 
-@query(with_panel(f"SELECT {KEYS}, round(least(greatest(probability + (hour_from_admission % 5) * -0.03 + (patient_id % 3) * 0.01, 0.02), 0.98), 9) AS new_risk, least(greatest(probability + (hour_from_admission % 5) * -0.03 + (patient_id % 3) * 0.01, 0.02), 0.98) - probability <= -0.05 AS recommended FROM pr", _PROB))
+@query(
+    with_panel(
+        f"""SELECT {KEYS}, round(new_risk, 9) AS new_risk, new_risk - probability < -0.05 AS beneficial FROM (SELECT {KEYS}, probability, least(greatest(probability + coalesce((sbp - 120) * -0.003, 0) + coalesce((80 - heart_rate) * 0.002, 0) + coalesce((1 - lactate) * 0.06, 0) + coalesce((spo2_pct - 97) * 0.015, 0), 0.02), 0.98) AS new_risk
+  FROM (SELECT *, systolic_bp AS sbp FROM pr))""",
+        _PROB,
+    )
+)
 def p24_what_if(spark, sf_dir):
-    p = with_probability(spark, sf_dir).withColumns({"heart_rate_change": (F.col(HOUR) % 5).cast("double"), "lactate_change": (F.col(ENTITY) % 3).cast("double")})
-    return risk.what_if(p, "probability", {"heart_rate": -0.03, "lactate": 0.01}).select(*KEY_COLUMNS, "new_risk", "recommended")
+    goals = {"systolic_bp_new": F.lit(120.0), "heart_rate_new": F.lit(80.0), "lactate_new": F.lit(1.0), "spo2_pct_new": F.lit(97.0)}
+    return risk.what_if(with_probability(spark, sf_dir).withColumns(goals), "probability").select(*KEY_COLUMNS, "new_risk", "beneficial")
+
+
+@query(
+    with_panel(
+        f"""SELECT {KEYS}, CAST(row_number() OVER (PARTITION BY patient_id, hour_from_admission ORDER BY abs(v) DESC, k) AS INTEGER) AS rank, feature, v AS contribution, direction, round(100 / (1 + exp(1.2 - sum(v) OVER (PARTITION BY patient_id, hour_from_admission))), 1) AS final_probability FROM (
+  SELECT {KEYS}, 0 AS k, 'Serum Lactate' AS feature, round((lactate - 1.5) * 0.35, 3) AS v, 'risk' AS direction FROM panel WHERE lactate > 2
+  UNION ALL SELECT {KEYS}, 1, 'Heart Rate', round((heart_rate - 80) * 0.012, 3), 'risk' FROM panel WHERE heart_rate > 100
+  UNION ALL SELECT {KEYS}, 2, 'SpO₂', round((95 - spo2_pct) * 0.08, 3), 'risk' FROM panel WHERE spo2_pct < 95
+  UNION ALL SELECT {KEYS}, 3, 'Systolic BP', round((110 - systolic_bp) * 0.025, 3), 'risk' FROM panel WHERE systolic_bp < 100
+  UNION ALL SELECT {KEYS}, 4, 'Respiratory Rate', round((respiratory_rate - 16) * 0.04, 3), 'risk' FROM panel WHERE respiratory_rate > 22
+  UNION ALL SELECT {KEYS}, 5, 'SpO₂ (normal)', CAST(-0.15 AS DOUBLE), 'protective' FROM panel WHERE spo2_pct >= 96
+  UNION ALL SELECT {KEYS}, 6, 'Systolic BP (stable)', CAST(-0.12 AS DOUBLE), 'protective' FROM panel WHERE systolic_bp >= 110
+  UNION ALL SELECT {KEYS}, 7, 'Lactate (normal)', CAST(-0.2 AS DOUBLE), 'protective' FROM panel WHERE lactate <= 1.5)"""
+    )
+)
+def p25_waterfall(spark, sf_dir):
+    return risk.waterfall(panel(spark, sf_dir), KEY_COLUMNS).drop("value")
 
 
 @query(with_panel("SELECT patient_id, arg_max(probability, hour_from_admission) AS probability FROM pr GROUP BY patient_id HAVING arg_max(probability, hour_from_admission) >= 0.4", _PROB))
@@ -276,8 +323,8 @@ def alert_rows(spark, sf_dir) -> DataFrame:
 
 
 _FIRED = f"""{_PROB}, lagged AS (SELECT {KEYS}, probability, lag(probability) OVER (PARTITION BY patient_id ORDER BY hour_from_admission) AS previous FROM pr),
-fired AS (SELECT {KEYS}, 'critical_risk' AS rule, 'critical' AS severity, 300 AS cooldown FROM lagged WHERE probability >= 0.85 UNION ALL SELECT {KEYS}, 'high_risk', 'warning', 600 FROM lagged WHERE probability >= 0.7 AND probability < 0.85
-  UNION ALL SELECT {KEYS}, 'rapid_increase', 'warning', 600 FROM lagged WHERE probability - previous > 0.2)"""
+fired AS (SELECT {KEYS}, 'critical_risk' AS rule, 'CRITICAL' AS severity, 60 AS cooldown FROM lagged WHERE probability >= 0.75 UNION ALL SELECT {KEYS}, 'high_risk', 'WARNING', 300 FROM lagged WHERE probability >= 0.5 AND probability < 0.75
+  UNION ALL SELECT {KEYS}, 'rapid_increase', 'CRITICAL', 120 FROM lagged WHERE probability - previous > 0.2)"""
 
 
 @query(with_panel(f"SELECT {KEYS}, probability, previous FROM lagged WHERE probability - previous > 0.2", _FIRED))
@@ -295,9 +342,9 @@ def a63_alert_stats(spark, sf_dir):
     return alerts.by_severity(alerts.fired(alert_rows(spark, sf_dir)))
 
 
-@query(with_panel("SELECT patient_id, hour_from_admission, rule, severity FROM (SELECT * FROM fired ORDER BY hour_from_admission DESC, patient_id, rule LIMIT 40) WHERE severity = 'warning'", _FIRED))
+@query(with_panel("SELECT patient_id, hour_from_admission, rule, severity FROM (SELECT * FROM fired ORDER BY hour_from_admission DESC, patient_id, rule LIMIT 40) WHERE severity = 'WARNING'", _FIRED))
 def o05_recent_alerts(spark, sf_dir):
-    return alerts.recent(alerts.fired(alert_rows(spark, sf_dir)), 40, "warning").select(*KEY_COLUMNS, "rule", "severity")
+    return alerts.recent(alerts.fired(alert_rows(spark, sf_dir)), 40, "WARNING").select(*KEY_COLUMNS, "rule", "severity")
 
 
 @query(
@@ -384,7 +431,8 @@ def m11_clip_norm(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT k AS round, 1.5 + j * 0.5 AS alpha, 0.01 * 0.01 * (1.5 + j * 0.5) / (2 * 1.1 * 1.1) * 100 AS s FROM range(1, 21) r(k), range(151) o(j))
+    """WITH o AS (SELECT 1 + j / 10 AS alpha FROM range(1, 100) x(j) UNION ALL SELECT j FROM range(12, 64) x(j)),
+a AS (SELECT k AS round, alpha, 0.01 * 0.01 * alpha / (2 * 1.1 * 1.1) * 100 AS s FROM range(1, 21) r(k), o)
 SELECT round, round(min(e), 6) AS epsilon FROM (SELECT round, CAST(sum(s) OVER (PARTITION BY alpha ORDER BY round) AS DOUBLE) + ln(1e5) / (alpha - 1) AS e FROM a) GROUP BY round"""
 )
 def a61_rdp_epsilon(spark, sf_dir):
