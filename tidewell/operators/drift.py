@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.checkpoints import cut
+from tidewell.operators.prefix import running_sums
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
@@ -52,15 +52,9 @@ def ks_statistic(reference: DataFrame, live: DataFrame, column: str) -> DataFram
     """Exact two-sample statistic: the largest gap between the two empirical distributions, from counts by value."""
     tagged = reference.select(F.col(column).alias("x"), F.lit(1).alias("r"), F.lit(0).alias("l")).unionByName(live.select(F.col(column).alias("x"), F.lit(0).alias("r"), F.lit(1).alias("l")))
     counts = tagged.filter("x is not null").groupBy("x").agg(F.sum("r").alias("r"), F.sum("l").alias("l"))
-    # ranges of values, one to a partition; a range's own sums run on from what the ranges before it hold
-    counts = cut(counts.repartitionByRange("x").withColumn("part", F.spark_partition_id()))
-    before, every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    ranges = counts.groupBy("part").agg(F.sum("r").alias("r"), F.sum("l").alias("l"))
-    ranges = ranges.select("part", *[e for c in ("r", "l") for e in (F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before"), F.sum(c).over(every).alias(f"{c}_all"))])
-    w = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    upto = lambda c: (F.sum(c).over(w) + F.col(f"{c}_before")) / F.col(f"{c}_all")
-    gap = F.abs(upto("r") - upto("l"))
-    return counts.join(F.broadcast(ranges), "part").select(gap.alias("gap")).agg(F.round(F.max("gap"), 6).alias("ks"))
+    sums = running_sums(counts, "x", ["r", "l"])
+    gap = F.abs(F.col("r_upto") / F.col("r_all") - F.col("l_upto") / F.col("l_all"))
+    return sums.select(gap.alias("gap")).agg(F.round(F.max("gap"), 6).alias("ks"))
 
 
 def severity(value: str = "psi"):

@@ -168,6 +168,129 @@ def padded_statistics(df: DataFrame, columns: list[str], width: int = WIDTH) ->
     return out.withColumns(new).drop("window", *[f"_{k}_{c}" for k in "as" for c in columns])
 
 
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
+def _spread(a: Column, width: int) -> Column:
+    """Sample deviation."""
+    mean = _total(a) / width
+    return F.sqrt(_total(F.transform(a, _squared_from(mean))) / (width - 1))
+
+
+def _steps(a: Column, width: int) -> Column:
+    return F.zip_with(F.slice(a, 2, width - 1), F.slice(a, 1, width - 1), lambda x, y: x - y)
+
+
+def padded_trends(df: DataFrame, columns: list[str], width: int = WIDTH) -> DataFrame:
+    """Slope over positions, change, its rate and mean second difference of the padded window; null where it holds a null."""
+    out = padded_windows(df, columns, width)
+    centre = (width - 1) / 2
+    around = sum((k - centre) ** 2 for k in range(width)) + 1e-8
+    new = {}
+    for c in columns:
+        a = F.col(f"_a_{c}")
+        out = out.withColumn(f"_a_{c}", F.expr(f"transform(window, r -> double(r.`{c}`))"))
+        whole = lambda x, a=a: F.when(~F.exists(a, lambda v: v.isNull()), x)
+        last, first = F.element_at(a, width), F.element_at(a, 1)
+        leaning = F.transform(a, lambda x, k: x * (k - centre))
+        new[f"{c}_slope"] = whole(_total(leaning) / around)
+        new[f"{c}_delta"] = whole(last - first)
+        new[f"{c}_roc"] = whole((last - first) / max(width - 1, 1))
+        bend = (last - F.element_at(a, width - 1)) - (F.element_at(a, 2) - first) if width >= 3 else F.lit(0.0)
+        new[f"{c}_accel"] = whole(bend / max(width - 2, 1))
+    return out.withColumns(new).drop("window", *[f"_a_{c}" for c in columns])
+
+
+def padded_clinical(df: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Variability and clinical scores over the padded window; qSOFA has two signs here (mobility isn't among them).
+
+    A feature is null where its window holds a null.
+    """
+    signals = ("heart_rate", "respiratory_rate", "spo2_pct", "temperature_c", "systolic_bp", "diastolic_bp", "lactate", "nurse_alert")
+    out = padded_windows(df, list(signals), width)
+    out = out.withColumns({f"_{c}": F.expr(f"transform(window, r -> double(r.`{c}`))") for c in signals})
+    arr = {c: F.col(f"_{c}") for c in signals}
+    whole = lambda x, *cs: F.when(~sum_null(*cs), x)
+
+    def sum_null(*cs: str) -> Column:
+        found = F.lit(False)
+        for c in cs:
+            found = found | F.exists(arr[c], lambda v: v.isNull())
+        return found
+
+    hr, rr, ox, temp, sbp, dbp, lac, nurse = (arr[c] for c in signals)
+    reach = lambda a: F.array_max(a) - F.array_min(a)
+    mean = lambda a: _total(a) / width
+    share = lambda a, hit: _total(F.transform(a, lambda x: hit(x).cast("double"))) / width
+    pressure = F.zip_with(dbp, sbp, lambda d, s: d + (s - d) / 3)
+    shock = F.zip_with(hr, sbp, lambda h, s: h / F.greatest(s, F.lit(1.0)))
+    signs = F.zip_with(rr, sbp, lambda r, s: (r >= 22).cast("int") + (s <= 100).cast("int"))
+    new = {
+        "hrv_sdnn": whole(_spread(hr, width), "heart_rate"),
+        "hrv_rmssd": whole(F.sqrt(_total(F.transform(_steps(hr, width), lambda x: x * x)) / (width - 1) + 1e-8), "heart_rate"),
+        "hrv_range": whole(reach(hr), "heart_rate"),
+        "hrv_cv": whole(_spread(hr, width) / F.greatest(mean(hr), F.lit(1e-8)), "heart_rate"),
+        "bpv_sbp_std": whole(_spread(sbp, width), "systolic_bp"),
+        "bpv_sbp_cv": whole(_spread(sbp, width) / F.greatest(mean(sbp), F.lit(1e-8)), "systolic_bp"),
+        "bpv_sbp_range": whole(reach(sbp), "systolic_bp"),
+        "bpv_dbp_std": whole(_spread(dbp, width), "diastolic_bp"),
+        "bpv_dbp_range": whole(reach(dbp), "diastolic_bp"),
+        "spo2_var_std": whole(_spread(ox, width), "spo2_pct"),
+        "spo2_var_range": whole(reach(ox), "spo2_pct"),
+        "spo2_below_90_ratio": whole(share(ox, lambda x: x < 90), "spo2_pct"),
+        "temp_var_std": whole(_spread(temp, width), "temperature_c"),
+        "temp_var_range": whole(reach(temp), "temperature_c"),
+        "temp_above_38": whole(share(temp, lambda x: x > 38.0), "temperature_c"),
+        "map_current": whole(F.element_at(pressure, width), "systolic_bp", "diastolic_bp"),
+        "map_mean": whole(mean(pressure), "systolic_bp", "diastolic_bp"),
+        "map_min": whole(F.array_min(pressure), "systolic_bp", "diastolic_bp"),
+        "shock_index_current": whole(F.element_at(shock, width), "heart_rate", "systolic_bp"),
+        "shock_index_mean": whole(mean(shock), "heart_rate", "systolic_bp"),
+        "shock_index_max": whole(F.array_max(shock), "heart_rate", "systolic_bp"),
+        "qsofa_score": whole(F.element_at(signs, width), "respiratory_rate", "systolic_bp"),
+        "qsofa_ge2": whole((F.element_at(signs, width) >= 2).cast("int"), "respiratory_rate", "systolic_bp"),
+        "qsofa_ge2_hours": whole(F.size(F.filter(signs, lambda x: x >= 2)), "respiratory_rate", "systolic_bp"),
+        "lactate_elevated": whole((F.element_at(lac, width) > 2.0).cast("int"), "lactate"),
+        "lactate_max_window": whole(F.array_max(lac), "lactate"),
+        "nurse_alert_count": whole(_total(nurse), "nurse_alert"),
+        "nurse_alert_ratio": whole(mean(nurse), "nurse_alert"),
+    }
+    return out.withColumns(new).drop("window", *[f"_{c}" for c in signals])
+
+
+# Ends of feature names that repeat a signal's only value, and those that are 0 with a single value.
+LEVEL_ENDS = ("_mean", "_median", "_min", "_max", "_latest")
+CHANGE_ENDS = ("_std", "_iqr", "_range", "_slope", "_delta", "_roc", "_accel", "_sdnn", "_rmssd", "_cv")
+
+
+def expand_single(df: DataFrame, names: list[str], signals: list[str]) -> DataFrame:
+    """``df`` with the named window features, told from one row alone: levels are the value itself, changes are 0.
+
+    Statics have their fixed defaults (age 65, comorbidity 2, male, emergency), anything else is 0; nulls count as 0.
+    """
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    fixed = {"age": 65.0, "comorbidity_index": 2.0, "gender_M": 1.0, "admission_type_ED": 1.0}
+    new = {}
+    for n in names:
+        base = n.rsplit("_", 1)[0]
+        if n.endswith(LEVEL_ENDS):
+            new[n] = value(base) if base in signals else F.lit(0.0)
+        elif n.endswith(CHANGE_ENDS):
+            new[n] = F.lit(0.0)
+        elif n.startswith("map_"):
+            new[n] = (value("systolic_bp") + 2 * value("diastolic_bp")) / 3.0
+        elif n.startswith("shock_index"):
+            new[n] = value("heart_rate") / F.greatest(value("systolic_bp"), F.lit(1.0))
+        elif n.startswith("qsofa"):
+            new[n] = (value("respiratory_rate") >= 22).cast("double") + (value("systolic_bp") <= 100).cast("double")
+        elif n == "lactate_elevated":
+            new[n] = (value("lactate") > 2.0).cast("double")
+        else:
+            new[n] = F.lit(fixed.get(n, 0.0))
+    return df.withColumns(new)
+
+
 def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
     """A 0/1 column for each declared level; a null has none."""
     return df.withColumns({f"{c}_{v}": F.when(F.col(c) == v, 1).otherwise(0) for c in columns for v in CATEGORIES[c]})

@@ -1,7 +1,7 @@
 """Evaluation of scores against binary labels.
 
-Everything starts from counts by distinct score, so the data are aggregated once; cumulative counts run over that table. Its
-one-partition windows hold distinct scores only: round scores first where they are continuous and there are billions.
+Everything starts from counts by distinct score, so the data are aggregated once; cumulative counts run over that table, by
+ranges of scores where it is large.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.prefix import running_sums
+
 
 def by_score(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     return df.groupBy(F.col(score).alias("score")).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
@@ -34,18 +36,8 @@ def confusion(df: DataFrame, threshold: float = 0.5, score: str = "score", label
 
 def curve(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """``score, tp, fp, positives, negatives``: counts at each distinct threshold, highest first."""
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    counts = by_score(df, score, label)
-    return counts.select(
-        "score",
-        F.sum("pos").over(w).alias("tp"),
-        F.sum("neg").over(w).alias("fp"),
-        F.sum("pos").over(every).alias("positives"),
-        F.sum("neg").over(every).alias("negatives"),
-        "pos",
-        "neg",
-    )
+    rows = running_sums(by_score(df, score, label), "score", ["pos", "neg"], descending=True)
+    return rows.select("score", F.col("pos_upto").alias("tp"), F.col("neg_upto").alias("fp"), F.col("pos_all").alias("positives"), F.col("neg_all").alias("negatives"), "pos", "neg")
 
 
 def auroc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -59,7 +51,7 @@ def auroc(df: DataFrame, score: str = "score", label: str = "label") -> DataFram
 def auprc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Average precision: the sum of precision times the step in recall."""
     c = curve(df, score, label)
-    return c.agg(F.round(F.sum(F.col("pos") / F.col("positives") * F.col("tp") / (F.col("tp") + F.col("fp"))), 6).alias("auprc"))
+    return c.agg(F.round(F.sum(F.try_divide(F.col("pos") * F.col("tp"), F.col("positives") * (F.col("tp") + F.col("fp")))), 6).alias("auprc"))
 
 
 def roc_points(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:

