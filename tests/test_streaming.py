@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from tidewell.plans import catalogue
@@ -35,3 +37,50 @@ def test_hourly_windows_read_a_folder_of_parts_and_keep_the_driver_out(spark, sf
     assert "parquet" in got._jdf.queryExecution().executedPlan().toString().lower()
     spark.read.parquet(f"{sf}/events.parquet").limit(0).write.parquet(str(tmp_path / "none" / "events.parquet"))
     assert query(spark, str(tmp_path / "none")).count() == 0
+
+
+def streamed(spark, tmp_path, name, *batches):
+    """A stream that brings each of the frames in a batch of its own."""
+    for k, b in enumerate(batches):
+        b.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        time.sleep(1.1 if k + 1 < len(batches) else 0)  # files are read in the order of their times
+    return jobs.file_stream(spark, str(tmp_path / name), batches[0].schema, "parquet", 1)
+
+
+def at(spark, rows, names):
+    return spark.createDataFrame(rows, names).withColumn("ts", F.timestamp_seconds("t")).drop("t")
+
+
+def test_state_goes_when_its_cooldown_is_over(spark, tmp_path):
+    names = "rule string, cooldown int, t long"
+    stream = streamed(spark, tmp_path, "in", at(spark, [("r", 600, DAY), ("r", 600, DAY + 100)], names), at(spark, [("q", 600, DAY + 90_000)], names), at(spark, [("r", 600, DAY + 90_100), ("r", 600, DAY)], names))
+    got = jobs.run_to_files(jobs.cool_down(stream, ["rule"]), str(tmp_path / "out"), "append").collect()
+    assert sorted((r["rule"], r["ts"].timestamp()) for r in got) == [("q", DAY + 90_000), ("r", DAY), ("r", DAY + 90_100)]
+
+
+def test_previous_values_and_bounded_buffers_run_on_over_batches(spark, tmp_path):
+    names = "patient_id long, p double, t long"
+    batches = [at(spark, [(1, 0.2, DAY), (1, 0.5, DAY + 60), (2, 0.1, DAY)], names), at(spark, [(1, 0.4, DAY + 120)], names)]
+    stream = streamed(spark, tmp_path, "in", *batches)
+    got = jobs.run_to_files(jobs.with_previous(stream, "patient_id", "ts", "p"), str(tmp_path / "out"), "append").collect()
+    assert sorted((r["patient_id"], r["p"], r["previous"]) for r in got if r["previous"] is not None) == [(1, 0.4, 0.5), (1, 0.5, 0.2)] and len(got) == 4
+    kept = jobs.run_to_files(jobs.recent_buffer(stream, "patient_id", "ts", "p", 2), str(tmp_path / "kept"), "append").collect()
+    assert sorted((r["patient_id"], r["n"], round(r["mean"], 6)) for r in kept) == [(1, 2, 0.35), (1, 2, 0.45), (2, 1, 0.1)]
+
+
+def test_late_outcomes_meet_their_predictions(spark, tmp_path):
+    p = streamed(spark, tmp_path, "p", at(spark, [(1, DAY), (2, DAY)], "patient_id long, t long")).withColumnRenamed("ts", "predicted_at")
+    o = streamed(spark, tmp_path, "o", at(spark, [(1, DAY + 3600), (2, DAY + 50_000), (1, DAY)], "patient_id long, t long")).withColumnRenamed("ts", "happened_at")
+    got = jobs.run_to_files(jobs.late_outcomes(p, o, "patient_id"), str(tmp_path / "out"), "append").collect()
+    assert [(r["patient_id"], r["happened_at"].timestamp()) for r in got] == [(1, DAY + 3600)]
+
+
+def test_silent_sites_and_dead_letters(spark, tmp_path):
+    beats = [at(spark, [("a", DAY), ("a", DAY + 60), ("b", DAY)], "site string, t long"), at(spark, [("b", DAY + 600)], "site string, t long")]
+    got = jobs.run_to_files(jobs.silent(streamed(spark, tmp_path, "beats", *beats), "site", "ts"), str(tmp_path / "out"), "append").collect()
+    assert sorted((r["site"], r["since"].timestamp(), r["beats"]) for r in got) == [("a", DAY + 150, 2), ("b", DAY + 90, 1)]
+    spark.createDataFrame([('{"k": 1}',), ("no json",)], "value string").write.json(str(tmp_path / "raw"))
+    messages = jobs.parse_messages(jobs.file_stream(spark, str(tmp_path / "raw"), "value string"), "k long")
+    jobs.route(messages, str(tmp_path / "good"), str(tmp_path / "dead"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "good")).first()["k"] == 1
+    assert [tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == [("no json", "unreadable")]

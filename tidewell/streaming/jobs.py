@@ -24,9 +24,10 @@ def kafka_stream(spark: SparkSession, servers: str, topics: list[str], per_trigg
 
 
 def parse_messages(stream: DataFrame, schema: str, value: str = "value") -> DataFrame:
-    """The message's fields beside ``malformed``."""
-    parsed = stream.withColumn("_m", F.from_json(value, schema))
-    return parsed.select(*stream.columns, "_m.*", F.col("_m").isNull().alias("malformed"))
+    """The message's fields beside ``malformed``: null, or no JSON of that schema."""
+    parsed = stream.withColumn("_m", F.from_json(value, f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}))
+    malformed = F.col("_m").isNull() | F.col("_m._broken").isNotNull()
+    return parsed.select(*stream.columns, "_m.*", malformed.alias("malformed")).drop("_broken")
 
 
 def ingest(stream: DataFrame, good_path: str, rejected_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -59,23 +60,92 @@ def stays(stream: DataFrame, time: str, key: str, gap: str = "6 hours", late: st
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("s"), key).agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def cool_down(alerts: DataFrame, scope: list[str], seconds: str = "cooldown", time: str = "ts") -> DataFrame:
-    """Alerts that pass their scope's cooldown; the state is the last passed time. ``scope`` may add the entity to the rule."""
+def cool_down(alerts: DataFrame, scope: list[str], seconds: str = "cooldown", time: str = "ts", late: str = "2 hours") -> DataFrame:
+    """Alerts that pass their scope's cooldown; the state is the last passed time. ``scope`` may add the entity to the rule.
+
+    Alerts later than the watermark are dropped, and a scope's state goes when the watermark has passed its cooldown's end.
+    Rows of one batch are taken in time order; a late row of a later batch meets the state as it is then.
+    """
     fields = dict(alerts.dtypes)
     schema = ", ".join([f"{c} {fields[c]}" for c in scope] + [f"{time} {fields[time]}"])
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, free = state.get if state.exists else (None, 0.0)
         rows = pd.concat(list(parts)).sort_values(time)
         kept = []
         for at, wait in zip(rows[time], rows[seconds]):
             if last is None or at.timestamp() - last >= wait:
-                last = at.timestamp()
+                last, free = at.timestamp(), at.timestamp() + wait
                 kept.append(at)
-        state.update((last,))
+        state.update((last, free))
+        state.setTimeoutTimestamp(max(int(free * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({c: [k] * len(kept) for c, k in zip(scope, key)} | {time: kept})
 
-    return alerts.groupBy(*scope).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
+    timed = alerts.withWatermark(time, late)
+    return timed.groupBy(*scope).applyInPandasWithState(step, schema, "last double, free double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def with_previous(stream: DataFrame, key: str, time: str, value: str) -> DataFrame:
+    """``key, time, value, previous``: each value beside the entity's one before; the state is one number for each entity."""
+    kind = dict(stream.dtypes)
+
+    def step(of: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(time)
+        before = state.get[0] if state.exists else None
+        previous = [before, *rows[value].tolist()[:-1]]
+        state.update((float(rows[value].iloc[-1]),))
+        yield pd.DataFrame({key: [of[0]] * len(rows), time: rows[time].tolist(), value: rows[value].tolist(), "previous": pd.array(previous, dtype="Float64")})
+
+    schema = f"{key} {kind[key]}, {time} {kind[time]}, {value} double, previous double"
+    rows = stream.select(key, time, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
+    return rows.groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def recent_buffer(stream: DataFrame, key: str, time: str, value: str, most: int = 5000) -> DataFrame:
+    """``key, n, mean``, once for each batch that brings the key something: its newest ``most`` values, which are the state."""
+    kind = dict(stream.dtypes)
+
+    def step(of: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(time)
+        kept = ([*state.get[0]] if state.exists else []) + rows[value].tolist()
+        kept = kept[-most:]
+        state.update((kept,))
+        yield pd.DataFrame({key: [of[0]], "n": [len(kept)], "mean": [sum(kept) / len(kept)]})
+
+    rows = stream.select(key, time, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, n long, mean double", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def late_outcomes(predictions: DataFrame, outcomes: DataFrame, key: str, horizon: str = "12 hours", late: str = "2 hours") -> DataFrame:
+    """Predictions (``predicted_at``) with an outcome (``happened_at``) of their entity within the horizon.
+
+    Both watermarks and the bound on times let old rows leave the state.
+    """
+    p = predictions.withWatermark("predicted_at", late)
+    o = outcomes.withColumnRenamed(key, "_key").withWatermark("happened_at", late)
+    within = (F.col("happened_at") > F.col("predicted_at")) & (F.col("happened_at") <= F.col("predicted_at") + F.expr(f"interval {horizon}"))
+    return p.join(o, (F.col(key) == F.col("_key")) & within).drop("_key")
+
+
+def silent(heartbeats: DataFrame, key: str, time: str, timeout: str = "90 seconds", late: str = "1 minute") -> DataFrame:
+    """``key, since``: whoever sent nothing for ``timeout``, once the watermark has passed its end."""
+    spells = heartbeats.withWatermark(time, late).groupBy(F.session_window(time, timeout).alias("s"), key).agg(F.count("*").alias("beats"))
+    return spells.select(key, F.col("s.end").alias("since"), "beats")
+
+
+def route(messages: DataFrame, good_path: str, dead_path: str, checkpoint: str) -> StreamingQuery:
+    """Parsed messages to one table, malformed ones as they came to the dead letters. A batch that is run again replaces its files."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        batch.filter(~F.col("malformed")).drop("malformed").write.mode("overwrite").parquet(f"{good_path}/batch={number}")
+        batch.filter("malformed").select("value", F.lit("unreadable").alias("reason")).write.mode("overwrite").parquet(f"{dead_path}/batch={number}")
+        batch.unpersist()
+
+    return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_by_entity(stream: DataFrame, key: str, time: str, write: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
