@@ -14,9 +14,13 @@ AUDIT = "timestamp timestamp, event_type string, source string, patient_id strin
 
 
 def envelope(df: DataFrame, data_type: str, at: Column, key: str = "patient_id", source: str = "batch") -> DataFrame:
-    """Metadata columns round a nested payload; a missing key becomes ``unknown``."""
+    """Metadata columns round a nested payload; a missing key becomes ``unknown``.
+
+    The id is a hash of type, time and payload, so a task that runs again writes the same one.
+    """
+    identity = F.sha2(F.concat_ws("|", F.lit(data_type), F.lit(source), at.cast("string"), F.to_json(F.struct("*"))), 256)
     return df.select(
-        F.substring(F.expr("uuid()"), 1, 12).alias("ingestion_id"),
+        F.substring(identity, 1, 12).alias("ingestion_id"),
         at.alias("ingestion_timestamp"),
         F.lit(source).alias("source"),
         F.lit("1.0").alias("schema_version"),
@@ -74,9 +78,39 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def append_buffer(samples: DataFrame, path: str, at: Column) -> None:
-    """Retraining samples with their bookkeeping columns, by day."""
-    samples.withColumns({"_timestamp": F.unix_timestamp(at).cast("double"), "date": F.to_date(at)}).write.mode("append").partitionBy("date").parquet(path)
+def append_buffer(samples: DataFrame, path: str, at: Column, prediction: str = "prediction", outcome: str = "actual_outcome", key: str = "patient_id") -> None:
+    """Retraining samples with their five bookkeeping columns, by day."""
+    kept = samples.withColumns(
+        {
+            "_prediction": F.col(prediction).cast("double"),
+            "_actual_outcome": F.col(outcome).cast("double"),
+            "_patient_id": F.col(key).cast("string"),
+            "_timestamp": F.unix_timestamp(at).cast("double"),
+            "_ingested_at": F.current_timestamp(),
+            "date": F.to_date(at),
+        }
+    )
+    kept.drop(prediction, outcome).write.mode("append").partitionBy("date").parquet(path)
+
+
+def clear_buffer(spark: SparkSession, path: str) -> int:
+    """Removes the buffer's data files; how many there were."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return 0
+    found, n = files.listFiles(root, True), 0
+    while found.hasNext():
+        n += found.next().getPath().getName().endswith(".parquet")
+    files.delete(root, True)
+    return n
+
+
+def write_sequences(windows: DataFrame, path: str, columns: list[str], window: str = "window", split: str = "split") -> None:
+    """Windows as rows of ``width x columns`` numbers, oldest first, by split; beside them a table that names the columns."""
+    flat = F.flatten(F.transform(window, lambda r: F.array(*[r[c].cast("float") for c in columns])))
+    windows.withColumn("values", flat).drop(window).write.mode("overwrite").partitionBy(split).parquet(f"{path}/sequences")
+    windows.sparkSession.createDataFrame([(k, c) for k, c in enumerate(columns)], "position int, feature string").coalesce(1).write.mode("overwrite").json(f"{path}/features")
 
 
 def read_buffer(spark: SparkSession, path: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.schemas import ENTITY, HOUR, KEYS, panel_type
+from tidewell.operators import grid
+from tidewell.schemas import ENTITY, HOUR, KEYS, LABS, STATIC, VITALS, panel_type
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +47,29 @@ def with_statics(panel: DataFrame) -> DataFrame:
 
 
 def read_panel_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    return spark.read.schema(panel_type(columns)).csv(path, header=True, mode="PERMISSIVE")
+    """The named columns (all, if none are named) of a file with a header, in any order; what doesn't fit is null.
+
+    Columns are found by name, so the file is read as text and cast; a column that the file lacks is null.
+    """
+    schema = panel_type(columns)
+    raw = spark.read.csv(path, header=True)
+    pick = lambda f: F.expr(f"try_cast(`{f.name}` as {f.dataType.simpleString()})") if f.name in raw.columns else F.lit(None).cast(f.dataType)
+    return raw.select(*[pick(f).alias(f.name) for f in schema.fields])
+
+
+def read_three_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``vitals.csv`` and ``labs.csv`` joined on entity and hour, with the attributes of ``patients.csv``."""
+    vitals = read_panel_csv(spark, f"{folder}/vitals.csv", [*KEYS, *VITALS, "oxygen_device", "oxygen_flow", "mobility_score", "nurse_alert"])
+    labs = read_panel_csv(spark, f"{folder}/labs.csv", [*KEYS, *LABS, "sepsis_risk_score"])
+    patients = read_panel_csv(spark, f"{folder}/patients.csv", [ENTITY, *STATIC, "deterioration_hour"])
+    return grid.add_dimension(grid.merge_facts(vitals, labs), patients)
+
+
+def load(spark: SparkSession, folder: str, joined: str = "hourly_panel.csv") -> DataFrame:
+    """The pre-joined panel file, or, where it isn't there, the three files it is made of."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{joined}")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return read_panel_csv(spark, f"{folder}/{joined}") if there else read_three_files(spark, folder)
 
 
 def first_entities(panel: DataFrame, n: int, order: Column | None = None) -> DataFrame:
@@ -70,7 +93,3 @@ def latest(panel: DataFrame) -> DataFrame:
     rest = [c for c in panel.columns if c not in KEYS]
     last = panel.groupBy(ENTITY).agg(F.max_by(F.struct(HOUR, *rest), HOUR).alias("_row"))
     return last.select(ENTITY, "_row.*")
-
-
-def by_entity(order: str = HOUR) -> Window:
-    return Window.partitionBy(ENTITY).orderBy(order)
