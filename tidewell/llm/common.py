@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidewell.checkpoints import cut, shared_folder, store  # noqa: F401
+
 #: The word pattern of the quality and near-duplicate contracts: anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of rows that go to a Python worker at a time (a longer row goes alone), where the session doesn't set its own bound.
@@ -21,35 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``, read from the session.
-
-    Only a session on one machine (a local master, as in tests) that leaves it unset gets a folder chosen here.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if named is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = f"/tmp/checkpoints/{os.getpid()}"
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def store(df: DataFrame) -> DataFrame:
-    """Write to a Parquet table in the shared folder and read it again: for wide rows of which later steps need few columns."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_texts(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` for rows with whole texts: batches are bounded in bytes, so memory doesn't depend on the texts' lengths.
 
