@@ -1,16 +1,22 @@
 """A training corpus from documents: quality, near-duplicates, secrets, mixture, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of ``docs``.
+
+Defined cases: a document without text, or with fewer than 50 words, fails the base rules and goes in the first stage; rows
+without an id stay (they are in no class of near copies) and are packed under a null id; a row that repeats another's id and
+text goes with the near copies, an id on two different texts stands for two documents; a null language or source is a group of
+its own; sources without words get no copies; texts have no length limit; columns of any other name are carried along, also
+those that operators use as names of results; an empty table passes through all stages.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.checkpoints import shared_folder
 from tidewell.llm import mixing, near_duplicates, packing, quality, secret_scan
 
 
@@ -54,8 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written in the shared folder and read again by the next."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{os.getpid()}"
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
