@@ -27,6 +27,8 @@ from tidewell.llm.common import by_size, cut, words
 #: Documents in a block (about) and sources up to which their table is broadcast, some hundred bytes each.
 BLOCK_ROWS = 20_000
 BROADCAST_SOURCES = 50_000
+#: Digits of a key that make a slot; 16 to their power slots for each source.
+SLOT_DIGITS = 2
 EVENNESS = 0.95
 MOST_REPEATS = 4.0
 ROUNDS, BITS = 8, 4
@@ -96,18 +98,34 @@ def plan(sized: DataFrame, evenness: float = EVENNESS, most_repeats: float = MOS
     sources = cut(sources)
     dealt = deal(sized, sources, seed)
     blocks = dealt.groupBy("source", "block_key").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-    order = Window.partitionBy("source").orderBy("block_key").rowsBetween(Window.unboundedPreceding, 0)
-    behind = blocks.withColumn("end", F.sum("n").over(order)).filter("end > rest")
-    border = behind.groupBy("source").agg(F.min_by(F.struct("block_key", (F.col("rest") - F.col("end") + F.col("n")).alias("left")), "block_key").alias("b"))
-    border = cut(border.select(F.col("source").alias("_s"), F.col("b.block_key").alias("border_key"), F.col("b.left").alias("left")))
-    # one block of each source: ranks with ties taken together
+    border = first_beyond(blocks.withColumnRenamed("rest", "room"), "block_key").withColumnsRenamed({"key": "border_key", "source": "_s"})
+    # one block of each source; rows of one id, or without, are one
     on = F.col("source").eqNullSafe(F.col("_s"))
     inside = dealt.join(by_size(border, BROADCAST_SOURCES), on & (F.col("block_key") == F.col("border_key")))
-    upto = Window.partitionBy("source").orderBy("doc_key").rangeBetween(Window.unboundedPreceding, 0)
-    inside = inside.groupBy("source", "doc_key", "left").agg(F.sum("n_tokens").alias("n_tokens"))  # rows of one id, or without, are one
-    last = inside.withColumn("upto", F.sum("n_tokens").over(upto)).filter("upto <= left").groupBy("source").agg(F.max("doc_key").alias("last_key"))
-    out = sources.join(border.drop("left"), on, "left").drop("_s")
-    return out.join(last.withColumnRenamed("source", "_s"), on, "left").drop("_s")
+    inside = inside.groupBy("source", "doc_key").agg(F.sum("n_tokens").alias("n"), F.first("room").alias("room"))
+    stop = first_beyond(inside, "doc_key").select(F.col("source").alias("_s"), F.col("key").alias("stop_key"))
+    out = sources.join(border.drop("room"), on, "left").drop("_s")
+    return out.join(stop, on, "left").drop("_s")
+
+
+def first_beyond(items: DataFrame, key: str) -> DataFrame:
+    """For each source the first ``key`` up to which ``n`` adds up to more than ``room``, and the room left before it.
+
+    Keys are hexadecimal digests. Sums by their first digits find the slot first, so that a task ranks a source's slots and then
+    one slot's keys (1 in 256), whatever part of the rows the source has.
+    """
+    slotted = cut(items.withColumn("slot", F.substring(key, 1, SLOT_DIGITS)))
+    slots = slotted.groupBy("source", "slot").agg(F.sum("n").alias("n"), F.first("room").alias("room"))
+    found = cut(_crossing(slots, "slot").withColumnsRenamed({"source": "_s", "key": "_slot", "room": "_left"}))
+    within = slotted.join(by_size(found, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_s")) & (F.col("slot") == F.col("_slot")))
+    return cut(_crossing(within.select("source", key, "n", F.col("_left").alias("room")), key))
+
+
+def _crossing(items: DataFrame, key: str) -> DataFrame:
+    order = Window.partitionBy("source").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    behind = items.withColumn("end", F.sum("n").over(order)).filter("end > room")
+    first = behind.groupBy("source").agg(F.min_by(F.struct(F.col(key).alias("key"), (F.col("room") - F.col("end") + F.col("n")).alias("room")), key).alias("b"))
+    return first.select("source", "b.key", "b.room")
 
 
 def deal(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
@@ -122,7 +140,7 @@ def deal(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
 
 def copies() -> Column:
     ahead = F.col("border_key").isNull() | (F.col("block_key") < F.col("border_key"))
-    ahead |= (F.col("block_key") == F.col("border_key")) & (F.col("doc_key") <= F.col("last_key"))
+    ahead |= (F.col("block_key") == F.col("border_key")) & (F.col("doc_key") < F.col("stop_key"))
     return F.col("passes") + F.when((F.col("rest") > 0) & F.coalesce(ahead, F.lit(False)), 1).otherwise(0)
 
 
