@@ -21,7 +21,7 @@ def _segment(all_segments: Column, name: str) -> Column:
 def parse_hl7(messages: DataFrame, column: str = "message") -> DataFrame:
     """Header and patient fields, and ``obx``: array of (code, text, value, number)."""
     out = messages.withColumn("_s", segments(F.col(column)))
-    msh, pid = _segment(F.col("_s"), "MSH"), _segment(F.col("_s"), "PID")
+    msh, pid, pv1 = (_segment(F.col("_s"), name) for name in ("MSH", "PID", "PV1"))
     field = lambda a, k: F.nullif(F.get(a, F.lit(k)), F.lit(""))
     part = lambda c, k: F.get(F.split(c, r"\^"), F.lit(k))
 
@@ -35,12 +35,25 @@ def parse_hl7(messages: DataFrame, column: str = "message") -> DataFrame:
         field(msh, 8).alias("message_type"),
         field(msh, 9).alias("control_id"),
         part(field(pid, 3), 0).alias("mrn"),
-        F.try_to_timestamp(F.substring(field(pid, 7), 1, 8), F.lit("yyyyMMdd")).cast("date").alias("birth_date"),
+        birth_date(field(pid, 7)).alias("birth_date"),
         F.when(F.upper(field(pid, 8)) == "M", "M").otherwise("F").alias("gender"),
+        admission_type(field(pv1, 4)).alias("admission_type"),
         F.transform(F.filter("_s", lambda s: s.startswith("OBX|")), obx).alias("obx"),
     )
 
 
+def birth_date(text: Column) -> Column:
+    """A date written with dashes or as eight digits first; null for anything else."""
+    dashed = F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))
+    return F.when(text.contains("-"), dashed).otherwise(F.try_to_timestamp(F.substring(text, 1, 8), F.lit("yyyyMMdd"))).cast("date")
+
+
+def admission_type(code: Column) -> Column:
+    """Admission by the visit segment's code; emergency for unknown codes and without one."""
+    code = F.upper(F.trim(code))
+    return F.when(code.isin("EL", "ELECTIVE"), "Elective").when(code.isin("T", "TRANSFER"), "Transfer").otherwise("ED")
+
+
 def acknowledgement(parsed: DataFrame) -> DataFrame:
     """AA for a known message type with its parts, AE for a broken message, AR for other types."""
     known = F.col("message_type").startswith("ORU") | F.col("message_type").startswith("ADT")
@@ -78,17 +91,45 @@ def observations(bundles: DataFrame, column: str = "bundle") -> DataFrame:
     return bundles.select(F.explode(entries).alias("e")).select("e.resource.*").filter(F.col("resourceType") == "Observation")
 
 
-def pivot_fhir(obs: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """A row for each patient with observed values; components count like observations of their own."""
+def pivot_fhir(obs: DataFrame, fields: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """A row for each patient with observed values; components count like observations of their own.
+
+    ``strict``: an observation whose own code is unknown goes with all its components (so blood-pressure panels do), and one with
+    components has no value of its own.
+    """
     fields = fields or VITALS
     loinc = lambda code: F.coalesce(F.get(F.filter(code["coding"], lambda c: F.lower(c["system"]).contains("loinc")), F.lit(0))["code"], F.get(code["coding"], F.lit(0))["code"])
     own = F.array(F.struct(loinc(F.col("code")).alias("code"), F.col("valueQuantity.value").alias("value")))
+    if strict:
+        obs = obs.filter(code_column(loinc(F.col("code"))).isNotNull())
+        own = F.when(F.coalesce(F.size("component"), F.lit(0)) > 0, F.slice(own, 1, 0)).otherwise(own)
     parts = F.transform(F.coalesce("component", F.array().cast(dict(obs.dtypes)["component"])), lambda c: F.struct(loinc(c["code"]).alias("code"), c["valueQuantity"]["value"].alias("value")))
     rows = obs.select(F.element_at(F.split("subject.reference", "/"), -1).alias("patient_id"), "id", F.explode(F.concat(own, parts)).alias("o"))
     rows = rows.select("patient_id", "id", code_column(F.col("o.code")).alias("field"), F.col("o.value").alias("value")).filter("value is not null")
     return rows.groupBy("patient_id").agg(*[F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("id"))).alias(f) for f in fields])
 
 
+PATIENT = "struct<resourceType:string,id:string,gender:string,birthDate:string>"
+
+
+def patients(bundles: DataFrame, column: str = "bundle") -> DataFrame:
+    """Rows of a JSON bundle's patients: id, gender, birth_date."""
+    entries = F.from_json(column, f"struct<entry:array<struct<resource:{PATIENT}>>>")["entry"]
+    rows = bundles.select(F.explode(F.filter(entries, lambda e: e["resource"]["resourceType"] == "Patient")).alias("e")).select("e.resource.*")
+    return rows.select("id", F.when(F.lower("gender") == "female", "F").otherwise("M").alias("gender"), F.try_to_timestamp("birthDate", F.lit("yyyy-MM-dd")).cast("date").alias("birth_date"))
+
+
+def demographics(rows: DataFrame, on: Column, keep: list[str]) -> DataFrame:
+    """``keep``, age, gender, comorbidity_index and admission_type of messages or patients; rows with ages over 120 go.
+
+    What the source doesn't tell has its default: no comorbidity, an emergency admission, an age of 50. The sex of a message that
+    isn't M is F, that of a patient resource that isn't female is M.
+    """
+    admission = F.coalesce("admission_type", F.lit("ED")) if "admission_type" in rows.columns else F.lit("ED")
+    out = rows.select(*keep, age_years(F.col("birth_date"), on).alias("age"), "gender", F.lit(0).alias("comorbidity_index"), admission.alias("admission_type"))
+    return out.filter("age <= 120")
+
+
 def age_years(birth: Column, on: Column) -> Column:
     """Completed years, 0 at least; 50 without a birth date."""
     before = F.date_format(on, "MMdd") < F.date_format(birth, "MMdd")

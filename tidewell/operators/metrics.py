@@ -135,3 +135,22 @@ def losses(df: DataFrame, score: str = "score", label: str = "label", gamma: flo
     return df.agg(
         F.round(F.avg(-weight * F.pow(1 - right, F.lit(gamma)) * F.ln(right)), 6).alias("focal"), F.round(F.avg(-(soft * F.ln(p) + (1 - soft) * F.ln(1 - p))), 6).alias("smoothed_bce")
     )
+
+
+def wilson(hits: Column, n: Column, z: float = 1.96) -> Column:
+    """Low and high end of the Wilson interval of ``hits`` in ``n``; null without rows."""
+    rate = hits / n
+    middle, half = rate + z * z / (2 * n), z * F.sqrt(rate * (1 - rate) / n + z * z / (4 * n * n))
+    end = lambda v: F.when(n > 0, v / (1 + z * z / n))
+    return F.struct(end(middle - half).alias("low"), end(middle + half).alias("high"))
+
+
+def reclassification(df: DataFrame, old: str, new: str, label: str = "label", cuts: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """One row: net reclassification over the classes between ``cuts``, and integrated discrimination improvement.
+
+    One pass with partial sums. Rows with a null score or label take no part; without events, or without others, both are null.
+    """
+    level = lambda c: sum(((F.col(c) >= cut).cast("int") for cut in cuts), F.lit(0))
+    rows = df.dropna(subset=[old, new, label]).select((F.col(label) == 1).alias("event"), F.signum(level(new) - level(old)).alias("move"), (F.col(new) - F.col(old)).alias("gain"))
+    mean = lambda c, event: F.avg(F.when(F.col("event") == event, F.col(c)))
+    return rows.agg((mean("move", True) - mean("move", False)).alias("nri"), (mean("gain", True) - mean("gain", False)).alias("idi"))
