@@ -7,25 +7,23 @@ from pyspark.sql import functions as F
 
 from tidewell.checkpoints import cut
 
-#: Rows up to which one task sums a table up in order; more go by ranges.
-ONE_TASK = 1_000_000
 
+def running_sums(df: DataFrame, order: str, columns: list[str], descending: bool = False, one_task: int = 0) -> DataFrame:
+    """``df`` with ``{c}_upto``, the sum of ``c`` over all rows up to this one, and ``{c}_all``. Values of ``order`` are distinct,
+    and no column is named ``part``.
 
-def running_sums(df: DataFrame, order: str, columns: list[str], descending: bool = False, one_task: int = ONE_TASK) -> DataFrame:
-    """``df`` with ``{c}_upto``, the sum of ``c`` over all rows up to this one, and ``{c}_all``. Values of ``order`` are distinct.
-
-    Larger tables are cut into ranges, one to a partition; a range's own sums run on from what the ranges before it hold, which
-    is a table of one row for each range.
+    The table is cut into ranges, one to a partition; a range's own sums run on from what the ranges before it hold, which
+    is a table of one row for each range. Only a caller that gives ``one_task`` has tables up to that many rows summed by one task.
     """
     by = F.desc(order) if descending else F.asc(order)
-    sums = lambda w, v: {f"{c}_{n}": x for c in columns for n, x in (("upto", F.sum(c).over(w)), ("all", F.sum(c).over(v)))}
     df = cut(df)
-    if df.limit(one_task + 1).count() <= one_task:
-        return df.withColumns(sums(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()))
-    rows = cut(df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
-    parts = rows.groupBy("_part").agg(*[F.sum(c).alias(c) for c in columns])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_part", *[x for c in columns for x in (F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}"), F.sum(c).over(Window.partitionBy()).alias(f"{c}_all"))])
-    own = Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(F.broadcast(parts), "_part").withColumns({f"{c}_upto": F.sum(c).over(own) + F.col(f"_{c}") for c in columns})
-    return out.drop("_part", *[f"_{c}" for c in columns])
+    if one_task and df.limit(one_task + 1).count() <= one_task:
+        whole, every = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+        return df.withColumns({f"{c}_{n}": F.sum(c).over(w) for c in columns for n, w in (("upto", whole), ("all", every))})
+    rows = cut(df.repartitionByRange(by).withColumn("part", F.spark_partition_id()))
+    parts = rows.groupBy("part").agg(*[F.sum(c).alias(c) for c in columns])
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", *[x for c in columns for x in (F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}"), F.sum(c).over(Window.partitionBy()).alias(f"{c}_all"))])
+    own = Window.partitionBy("part").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(F.broadcast(parts), "part").withColumns({f"{c}_upto": F.sum(c).over(own) + F.col(f"_{c}") for c in columns})
+    return out.drop("part", *[f"_{c}" for c in columns])
