@@ -80,7 +80,7 @@ def pivot_hl7(parsed: DataFrame, key: str = "control_id", fields: list[str] | No
 
 
 OBSERVATION = (
-    "struct<resourceType:string,id:string,subject:struct<reference:string>,code:struct<coding:array<struct<system:string,code:string>>>,"
+    "struct<resourceType:string,id:string,effectiveDateTime:string,category:array<struct<coding:array<struct<system:string,code:string>>>>,subject:struct<reference:string>,code:struct<coding:array<struct<system:string,code:string>>>,"
     "valueQuantity:struct<value:double>,component:array<struct<code:struct<coding:array<struct<system:string,code:string>>>,valueQuantity:struct<value:double>>>>"
 )
 

@@ -143,3 +143,38 @@ def to_devices(alerts: DataFrame, carers: DataFrame, devices: DataFrame) -> Data
 def with_context(trigger: DataFrame, recent: DataFrame, key: str = "id") -> DataFrame:
     """The triggering rows and the recent ones, without recent rows of the same key."""
     return trigger.unionByName(recent.join(trigger.select(key), key, "left_anti").select(*trigger.columns))
+
+
+# Upper ends of the latency (seconds) and confidence buckets.
+LATENCY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5)
+CONFIDENCE_BUCKETS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+
+
+def exposition(predictions: DataFrame, p: str, seconds: str, model: str) -> DataFrame:
+    """``name, labels, value``: counters by model and level, and cumulative histograms of latency and confidence by model.
+
+    The predictions are read once and summed by model and level; the metrics are added up from that small table.
+    """
+    kinds = {"latency_seconds": (seconds, LATENCY_BUCKETS), "confidence": (p, CONFIDENCE_BUCKETS)}
+    upto = {f"{n}_bucket|{e}": F.count_if(F.col(c) <= e) for n, (c, ends) in kinds.items() for e in (*ends, float("inf"))}
+    sums = {f"{n}_sum|": F.sum(c) for n, (c, _) in kinds.items()}
+    small = predictions.groupBy(F.col(model).alias("model"), band(F.col(p)).alias("level")).agg(F.count("*").alias("predictions_total"), *[x.cast("double").alias(k) for k, x in (upto | sums).items()])
+    of = lambda *more: F.concat_ws(",", F.concat(F.lit("model="), "model"), *more)
+    entry = lambda n, labels, v: F.struct(F.lit(n).alias("name"), labels.alias("labels"), v.cast("double").alias("value"))
+    rows = [entry("predictions_total", of(F.concat(F.lit("level="), "level")), F.col("predictions_total"))]
+    for k in (*upto, *sums):
+        name, _, end = k.partition("|")
+        rows.append(entry(name, of(F.lit("le=+Inf" if end == "inf" else f"le={end}")) if end else of(), F.col(f"`{k}`")))
+    return small.select(F.inline(F.array(*rows))).groupBy("name", "labels").agg(F.round(F.sum("value"), 6).alias("value"))
+
+
+def find(df: DataFrame, p: str, name: str, level: str | None = None, text: str | None = None, most: int | None = None) -> DataFrame:
+    """Rows of a risk level whose name holds ``text`` in any case, by level, then falling probability, then name; ``most`` at most."""
+    out = df.withColumn("risk_level", band(F.col(p)))
+    if level is not None:
+        out = out.filter(F.col("risk_level") == level)
+    if text:
+        out = out.filter(F.contains(F.lower(F.col(name).cast("string")), F.lit(text.lower())))
+    place = F.array_position(F.array(*map(F.lit, ("CRITICAL", "HIGH", "MODERATE", "LOW"))), F.col("risk_level"))
+    out = out.orderBy(place, F.desc(p), name)
+    return out if most is None else out.limit(most)

@@ -58,3 +58,35 @@ def pair_masks(sites: DataFrame, cells: int, seed: int = 7) -> DataFrame:
     number = F.conv(F.substring(F.sha2(F.concat_ws(":", "a", "b", "idx", F.lit(seed)), 256), 1, 8), 16, 10).cast("double") / 4294967295.0 - 0.5
     signed = pairs.withColumn("m", number).select(F.explode(F.array(F.struct(F.col("a").alias("site"), F.col("m").alias("m")), F.struct(F.col("b").alias("site"), (-F.col("m")).alias("m")))).alias("r"), "idx")
     return signed.groupBy("r.site", "idx").agg(F.sum("r.m").alias("mask"))
+
+
+def site_states(events: DataFrame, now: float, timeout: float = 300.0) -> DataFrame:
+    """``site_id, last_heartbeat, dataset_size, rounds, active`` from ``site_id, kind, at, dataset_size`` events.
+
+    Kinds: register, heartbeat, unregister, submit. A site that left after it last registered goes; one that was silent for longer
+    than ``timeout`` seconds isn't active. Registering counts as a heartbeat.
+    """
+    when = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), F.col("at")))
+    size = F.max_by("dataset_size", F.when(F.col("kind") == "register", F.col("at")))
+    rows = events.filter(F.col("at") <= now).groupBy("site_id").agg(when("register").alias("_in"), when("unregister").alias("_out"), when("register", "heartbeat").alias("last_heartbeat"), size.alias("dataset_size"), F.count_if(F.col("kind") == "submit").alias("rounds"))
+    there = F.col("_in").isNotNull() & (F.col("_out").isNull() | (F.col("_out") < F.col("_in")))
+    return rows.filter(there).withColumn("active", F.col("last_heartbeat") >= now - timeout).drop("_in", "_out")
+
+
+def can_start(sites: DataFrame, spent: float, budget: float, least: int = 2) -> DataFrame:
+    """One row: the active sites and whether a round may start (enough of them, and privacy budget left)."""
+    return sites.agg(F.count_if("active").alias("active_sites")).withColumn("can_start", (F.col("active_sites") >= least) & F.lit(spent < budget))
+
+
+def round_states(rounds: DataFrame, updates: DataFrame, sites: DataFrame) -> DataFrame:
+    """``rounds`` (round_number, aggregated) with accepted updates, those awaited from active sites, and the state.
+
+    An update counts once a site and only from a registered one. COMPLETED once aggregated; READY when every active site has sent;
+    else TRAINING.
+    """
+    sent = updates.select("round_number", "site_id").distinct().join(F.broadcast(sites.select("site_id", "active")), "site_id")
+    counts = sent.groupBy("round_number").agg(F.count("*").alias("received"), F.count_if("active").alias("_from_active"))
+    awaited = sites.agg(F.count_if("active").alias("expected"))  # one row
+    out = rounds.join(counts, "round_number", "left").crossJoin(F.broadcast(awaited)).fillna(0, ["received", "_from_active"])
+    state = F.when(F.col("aggregated"), "COMPLETED").when(F.col("_from_active") >= F.col("expected"), "READY").otherwise("TRAINING")
+    return out.withColumn("state", state).drop("_from_active")

@@ -154,3 +154,53 @@ def reclassification(df: DataFrame, old: str, new: str, label: str = "label", cu
     rows = df.dropna(subset=[old, new, label]).select((F.col(label) == 1).alias("event"), F.signum(level(new) - level(old)).alias("move"), (F.col(new) - F.col(old)).alias("gain"))
     mean = lambda c, event: F.avg(F.when(F.col("event") == event, F.col(c)))
     return rows.agg((mean("move", True) - mean("move", False)).alias("nri"), (mean("gain", True) - mean("gain", False)).alias("idi"))
+
+
+def delong(df: DataFrame, score: str = "score", label: str = "label", z: float = 1.96) -> DataFrame:
+    """``auroc, se, low, high``: DeLong's standard error from the variance of placement values, and the interval.
+
+    A placement is the share of the other class that a row is ranked above, ties half; rows of one score have the same, so the
+    curve's table is enough. Null with fewer than two rows of a class.
+    """
+    c = curve(df, score, label)
+    n, m = F.col("negatives").cast("double"), F.col("positives").cast("double")
+    placed = c.select("pos", "neg", m.alias("m"), n.alias("n"), ((n - F.col("fp") + F.col("neg") / 2.0) / n).alias("v"), ((F.col("tp") - F.col("pos") / 2.0) / m).alias("w"))
+    sums = placed.agg(F.max("m").alias("m"), F.max("n").alias("n"), F.sum(F.col("pos") * F.col("v")).alias("v1"), F.sum(F.col("pos") * F.col("v") * F.col("v")).alias("v2"), F.sum(F.col("neg") * F.col("w")).alias("w1"), F.sum(F.col("neg") * F.col("w") * F.col("w")).alias("w2"))
+    spread = lambda k, one, two: F.try_divide(F.col(two) - F.col(one) * F.col(one) / F.col(k), (F.col(k) - 1) * F.col(k))
+    got = sums.select((F.col("v1") / F.col("m")).alias("auroc"), F.sqrt(F.greatest(F.lit(0.0), spread("m", "v1", "v2") + spread("n", "w1", "w2"))).alias("_se"), (F.least("m", "n") > 1).alias("_enough"))
+    se = F.when(F.col("_enough"), F.col("_se"))
+    return got.select(F.round("auroc", 6).alias("auroc"), F.round(se, 6).alias("se"), F.round(F.col("auroc") - z * se, 6).alias("low"), F.round(F.col("auroc") + z * se, 6).alias("high"))
+
+
+def youden(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """``threshold, j``: the score at which sensitivity exceeds the false positive rate most, of equals the highest; no row if
+    none does. Compared in whole numbers, so ties are exact."""
+    c = curve(df, score, label)
+    gain = (F.col("tp") * F.col("negatives") - F.col("fp") * F.col("positives")).cast("double")
+    rows = c.select("score", gain.alias("gain"), (F.col("positives").cast("double") * F.col("negatives")).alias("all")).filter("gain > 0")
+    best = rows.agg(F.max_by(F.struct("score", "gain", "all"), F.struct("gain", "score")).alias("b")).filter("b is not null")
+    return best.select(F.col("b.score").alias("threshold"), F.round(F.col("b.gain") / F.col("b.all"), 6).alias("j"))
+
+
+def kaplan_meier(df: DataFrame, time: str, observed: str) -> DataFrame:
+    """``time, at_risk, events, survival`` at each distinct time: the product of the shares that passed it without an event."""
+    counts = df.filter(F.col(time).isNotNull()).groupBy(F.col(time).alias("time")).agg(F.count("*").alias("n"), F.count_if(F.col(observed)).alias("events"))
+    risk = running_sums(counts, "time", ["n"]).select("time", "events", (F.col("n_all") - F.col("n_upto") + F.col("n")).alias("at_risk"))
+    stay = F.col("at_risk") - F.col("events")
+    steps = risk.withColumns({"_log": F.when(stay > 0, F.ln(stay / F.col("at_risk"))).otherwise(0.0), "_end": F.when(stay > 0, 0).otherwise(1)})
+    out = running_sums(steps, "time", ["_log", "_end"])
+    return out.select("time", "at_risk", "events", F.round(F.when(F.col("_end_upto") > 0, 0.0).otherwise(F.exp("_log_upto")), 6).alias("survival"))
+
+
+def lead_times(alerts: DataFrame, escalations: DataFrame, key: str, at: str, level: str = "risk_level") -> DataFrame:
+    """``escalations`` with ``first_alert`` and ``lead``: the time from the entity's first high or critical alert to the escalation,
+    negative if the alert came later, null without one."""
+    first = alerts.filter(F.col(level).isin("HIGH", "CRITICAL")).groupBy(key).agg(F.min(at).alias("first_alert"))
+    return escalations.join(first, key, "left").withColumn("lead", F.col(at) - F.col("first_alert"))
+
+
+def softmax(df: DataFrame, score: str, key: str, output: str = "weight") -> DataFrame:
+    """``df`` with weights by ``exp(score)`` that add up to 1 within each ``key``; null for a null score."""
+    own = Window.partitionBy(key)
+    e = F.exp(F.col(score) - F.max(score).over(own))
+    return df.withColumn("_e", e).withColumn(output, F.col("_e") / F.sum("_e").over(own)).drop("_e")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.tuning import TrainValidationSplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,3 +70,26 @@ def ensemble(df: DataFrame, scores: list[str], weights: list[float] | None = Non
     """Weighted mean of score columns; equal weights by default (pass AUROCs to weight by rank quality)."""
     w = weights or [1.0] * len(scores)
     return df.withColumn(output, sum((F.col(c) * float(k) for c, k in zip(scores, w)), F.lit(0.0)) / float(sum(w)))
+
+
+def feature_columns(df: DataFrame, label: str, leave_out: tuple[str, ...] = ("patient_id", "hour_from_admission", "split")) -> list[str]:
+    """Numeric columns that aren't the label, another outcome, or an id, in the table's order."""
+    numeric = ("double", "float", "int", "bigint", "smallint", "tinyint")
+    return [c for c, kind in df.dtypes if kind in numeric and c != label and c not in leave_out and "_next_" not in c]
+
+
+def search(df: DataFrame, label: str, trials: int = 20, seed: int = 42, trees: int = 20, ratio: float = 0.75):
+    """``(best model, [(setting, area under the ROC curve)])`` of boosted trees on assembled ``features``.
+
+    Settings are drawn at random from fixed ranges, as a search without a model of its own does; each is fitted on the same part of
+    the rows and judged on the rest. Nothing is pruned.
+    """
+    rng = random.Random(seed)
+    trees_of = GBTClassifier(labelCol=label, maxIter=trees, seed=seed)
+    settings = [
+        {trees_of.maxDepth: rng.randint(3, 10), trees_of.stepSize: 0.01 * 30 ** rng.random(), trees_of.subsamplingRate: rng.uniform(0.6, 1.0), trees_of.minInstancesPerNode: rng.randint(1, 10)}
+        for _ in range(trials)
+    ]
+    judge = BinaryClassificationEvaluator(labelCol=label)
+    fitted = TrainValidationSplit(estimator=trees_of, estimatorParamMaps=settings, evaluator=judge, trainRatio=ratio, parallelism=2, seed=seed).fit(df)
+    return fitted.bestModel, [({p.name: v for p, v in s.items()}, m) for s, m in zip(settings, fitted.validationMetrics)]
