@@ -107,10 +107,9 @@ def k14_metrics_table(spark, sf_dir) -> DataFrame:
     return evaluation.exposition(p, "probability", "seconds", "gender")
 
 
-@query(with_panel(f"SELECT {KEYS}, round(probability, 6) AS probability FROM pr WHERE {_BAND} = 'HIGH' AND contains(CAST(patient_id AS VARCHAR), '1')", _PROB))
+@query(with_panel(f"SELECT {KEYS}, probability FROM pr WHERE {_BAND} = 'HIGH' AND contains(CAST(patient_id AS VARCHAR), '1')", _PROB))
 def p27_list_filter(spark, sf_dir) -> DataFrame:
-    found = evaluation.find(with_probability(spark, sf_dir), "probability", ENTITY, "HIGH", "1")
-    return found.select(*KEY_COLUMNS, F.round("probability", 6).alias("probability"))
+    return evaluation.find(with_probability(spark, sf_dir), "probability", ENTITY, "HIGH", "1").select(*KEY_COLUMNS, "probability")
 
 
 _STEPS = ", ".join(f"('{c}', {k}, '{action}', '{priority}')" for c, (_, steps) in protocols.PROTOCOLS.items() for k, (action, priority) in enumerate(steps, 1))
