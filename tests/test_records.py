@@ -14,19 +14,19 @@ from tidewell.sources import feeds, lake, registry
 
 def test_frames_of_landed_connections(spark, tmp_path):
     first, second = "MSH|^~\\&|a\rPID|1\r", "MSH|^~\\&|b\r"
-    (tmp_path / "one").write_bytes(f"noise\x0b{first}\x1c\r\x0b{second}\x1c\rtail".encode())
+    (tmp_path / "one").write_bytes(f"noise\x0b{first}\x1c\r\x0b{second}\x1c\r\x0bc\x0bd\x1c\rtail".encode())
     (tmp_path / "two").write_bytes(b"")
-    assert sorted(r[0] for r in feeds.read_frames(spark, str(tmp_path)).collect()) == sorted([first, second])
+    assert sorted(r[0] for r in feeds.read_frames(spark, str(tmp_path)).collect()) == sorted([first, second, "c\x0bd"])
 
 
-def observation(key, patient, date, category="vital-signs", code="8867-4"):
-    coding = [{"system": "http://loinc.org", "code": code}]
+def observation(key, patient, date, category="vital-signs", code="8867-4", system="http://loinc.org"):
+    coding = [{"system": system, "code": code}]
     kinds = [{"coding": [{"system": "c", "code": category}]}] if category else None
     return {"resource": {"resourceType": "Observation", "id": key, "effectiveDateTime": date, "category": kinds, "subject": {"reference": f"Patient/{patient}"}, "code": {"coding": coding}, "valueQuantity": {"value": 1.0}}}
 
 
 def test_search_takes_each_patients_newest(spark):
-    entries = [observation("a", 1, "2024-01-01T00:00:00Z"), observation("b", 1, "2024-01-03T00:00:00Z"), observation("c", 1, "2024-01-02T00:00:00Z", "laboratory", "2524-7"), observation("d", 1, None), observation("e", 2, "2024-01-01T00:00:00Z", None)]
+    entries = [observation("a", 1, "2024-01-01T00:00:00Z"), observation("b", 1, "2024-01-03T00:00:00Z"), observation("c", 1, "2024-01-02T00:00:00Z", "laboratory", "2524-7"), observation("d", 1, None), observation("e", 2, "2024-01-01T00:00:00Z", None, "2524-7", "local")]
     obs = clinical_docs.observations(spark.createDataFrame([(json.dumps({"entry": entries}),)], "bundle string"))
     ids = lambda **by: [r["id"] for r in feeds.search(obs, **by).orderBy("patient_id", "rank").collect()]
     assert ids() == ["b", "c", "a", "d", "e"]

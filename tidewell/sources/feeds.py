@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.schemas import ENTITY, HOUR
 
 START, END = "\x0b", "\x1c\r"
+LOINC_SYSTEM = "http://loinc.org"
 
 # Signal, start and change over twelve hours and noise when deteriorating, level and noise when stable, least,
 # most, digits.
@@ -29,17 +30,18 @@ TRAJECTORIES = (
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """``message``: the framed messages of landed connection dumps; bytes before a frame's start are dropped.
+    """``message``: the framed messages of landed connection dumps; bytes before a frame's first start are dropped.
 
     The frame's end is the reader's line separator, so large dumps are split between tasks. What follows a file's last end is
     read as a frame too if it has a start.
     """
     parts = spark.read.option("lineSep", END).text(path)
-    return parts.filter(F.contains("value", F.lit(START))).select(F.substring_index("value", START, -1).alias("message"))
+    at = F.instr("value", START)
+    return parts.filter(at > 0).select(F.substring(F.col("value"), at + 1, F.length("value")).alias("message"))
 
 
 def search(obs: DataFrame, category: str | None = None, code: str | None = None, patient: str | None = None, count: int = 100) -> DataFrame:
-    """Each patient's ``count`` newest observations of a category or code, newest first; of one time the larger id first.
+    """Each patient's ``count`` newest observations of a category or LOINC code, newest first; of one time the larger id first.
 
     Observations without a date come last. The rank is cut before the shuffle, so a patient with many rows sends few.
     """
@@ -48,7 +50,7 @@ def search(obs: DataFrame, category: str | None = None, code: str | None = None,
     if category is not None:
         rows = rows.filter(of_category(category))
     if code is not None:
-        rows = rows.filter(F.exists("code.coding", lambda c: c["code"] == code))
+        rows = rows.filter(F.exists("code.coding", lambda c: (c["system"] == LOINC_SYSTEM) & (c["code"] == code)))
     if patient is not None:
         rows = rows.filter(F.col("patient_id") == patient)
     newest = Window.partitionBy("patient_id").orderBy(F.desc_nulls_last(F.try_to_timestamp("effectiveDateTime")), F.desc("id"))
