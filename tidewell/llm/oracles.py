@@ -116,4 +116,63 @@ own AS (SELECT b.row, {_RULE} AS best FROM b JOIN rules r ON {_FITS.format("b")}
 SELECT b.page_id, b.host, b.path, own.best.rule AS rule, coalesce(own.best.verdict, c.verdict, 'allow') AS verdict, c.component AS alias_class
 FROM b LEFT JOIN own USING (row) LEFT JOIN m USING (key) LEFT JOIN c ON c.component = m.component"""
 
-ORACLES = {"op1_url_filter": _URLS, "op10_temperature_mixing": _MIXING, "op4_adaptive_quality": _QUALITY, "op5_near_duplicates": _NEAR, "op6_nearest": _NEAREST}
+_COLLOCATIONS = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(coalesce({_LOWER}, ''), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+g AS ({" UNION ALL ".join(f"SELECT lang, {m} AS words, unnest(list_transform(range(1, len(w) - {m - 2}), lambda i: array_to_string(w[i:i + {m - 1}], ' '))) AS phrase FROM w WHERE len(w) >= {m}" for m in (1, 2, 3, 4))}),
+f AS (SELECT lang, words, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, words, phrase, a, string_split(phrase, ' ') AS p, unnest(range(1, words)) AS k FROM f WHERE words > 1),
+d AS (SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (l.a + r.a) AS BIGINT) AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(p[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(p[k + 1:], ' ')),
+b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, unnest({" || ".join(f"CASE WHEN words > {m} THEN list_transform(range(1, words - {m - 2}), lambda i: array_to_string(string_split(phrase, ' ')[i:i + {m - 1}], ' ')) ELSE [] END" for m in (2, 3))}) AS phrase FROM f WHERE words > 2) GROUP BY ALL),
+s AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE NOT coalesce(100 * most >= 80 * b.a, false)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM s)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000"""
+
+_JACCARD = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce({_LOWER}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM s),
+e AS (SELECT doc_id, len(s) AS size, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.size, b.size) >= 90 * greatest(a.size, b.size) GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 90 * (a.n_shingles + b.n_shingles - c)),
+both_ways AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT u, v FROM both_ways UNION SELECT r.u, b.v FROM r JOIN both_ways b ON r.v = b.u),
+m AS (SELECT u AS doc_id, least(u, min(v)) AS component_id FROM r GROUP BY u)
+SELECT n.doc_id, n_shingles, coalesce(component_id, n.doc_id) AS component_id FROM n LEFT JOIN m USING (doc_id)"""
+
+#: The checksum goes byte by byte over a table of 256 remainders; a node's name is the list of its turns' digests.
+_TRIE = """
+WITH RECURSIVE bits AS (SELECT i AS b, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) t(i)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+o AS (SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS y,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT conv_id, list(x ORDER BY place) AS x, list(y ORDER BY place) AS y FROM o GROUP BY conv_id),
+h AS (SELECT g.*, conv_id - conv_id % 5 AS thread,
+  xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT))), lambda c, s: xor(c >> 8, t[(xor(c, s) & 255) + 1])), 4294967295) % 9 AS h FROM g, crc),
+b AS (SELECT h.conv_id, coalesce(p.x[1:h.h], []) || h.x[h.h + 1:] AS x, coalesce(p.y[1:h.h], []) || h.y[h.h + 1:] AS y FROM h LEFT JOIN g p ON p.conv_id = h.thread),
+r AS (SELECT conv_id, unnest(range(0, len(x) + 1)) AS depth, x, y FROM b),
+q AS (SELECT r.conv_id, depth, array_to_string(x[1:depth], ',') AS name, CASE WHEN depth > 0 THEN y[depth] ELSE 0 END AS bytes, depth = len(x) AS ends FROM r),
+path AS (SELECT *, min(conv_id) OVER (PARTITION BY name) AS node FROM q),
+n AS (SELECT node AS conv_id, depth, count(*) AS n_convs, any_value(bytes) AS bytes,
+  sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM path GROUP BY node, depth),
+c AS (SELECT n.*, p.node AS parent_conv_id FROM n LEFT JOIN path p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+k AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS kids FROM c WHERE depth > 0 GROUP BY ALL),
+a AS (SELECT c.*, coalesce(kids, 0) AS n_children FROM c LEFT JOIN k USING (conv_id, depth)),
+s AS (SELECT p.node AS conv_id, p.depth, count(*) FILTER (WHERE a.n_children = 0) AS n_leaves, CAST(sum((a.n_convs - 1) * a.bytes) AS BIGINT) AS saved_tokens
+  FROM a JOIN path p ON p.conv_id = a.conv_id AND p.depth <= a.depth GROUP BY ALL)
+SELECT a.conv_id, a.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM a JOIN s USING (conv_id, depth)"""
+
+ORACLES = {
+    "op1_url_filter": _URLS,
+    "op10_temperature_mixing": _MIXING,
+    "op11_collocations": _COLLOCATIONS,
+    "op12_jaccard_join": _JACCARD,
+    "op13_prefix_trie": _TRIE,
+    "op4_adaptive_quality": _QUALITY,
+    "op5_near_duplicates": _NEAR,
+    "op6_nearest": _NEAREST,
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidewell.llm import html_extract, mixing, near_duplicates, nearest, packing, quality, secret_scan, sharding, token_counts, url_filter
+from tidewell.llm import collocations, html_extract, jaccard_join, mixing, near_duplicates, nearest, packing, prefix_trie, quality, secret_scan, sharding, token_counts, url_filter
 from tidewell.llm.oracles import ORACLES
 from tidewell.llm.common import table
 
@@ -52,6 +52,18 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 OPERATORS = (
     op1_url_filter,
     op2_token_counts,
@@ -63,6 +75,9 @@ OPERATORS = (
     op8_secret_scan,
     op9_best_fit_packing,
     op10_temperature_mixing,
+    op11_collocations,
+    op12_jaccard_join,
+    op13_prefix_trie,
 )
 
 
