@@ -8,19 +8,24 @@ comes first. Only urls that stand in a link are in the graph; a page's html is r
 
 Defined cases: null urls and urls without ``://`` have an empty host and path, fit no rule, have no aliases and are allowed;
 null html has no links; links in comments, scripts and styles don't count; a link is resolved against the page's ``<base>``, if
-it names one, else its url, and ``.`` and ``..`` in its path are followed; repeated rows are judged each; links to the page
+it names one, else its url, and ``.`` and ``..`` in its path are followed; tags of any length and number of attributes are read in
+time proportional to the page, and one whose quotes don't close ends at the first ``>``; repeated rows are judged each; links to the page
 itself don't count; an empty table gives an empty result; other columns are ignored. The list of rules is a parameter and is held in the plan, so it is for thousands of rules.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut
+from tidewell.llm.common import cut, map_texts
 from tidewell.llm.components import connected_components
+from tidewell.llm.tags import TagEnds, attributes
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -73,64 +78,103 @@ def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return found if rules else F.lit(None).cast("struct<size:int,host_size:int,rule:string,verdict:string>")
 
 
-SILENT = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\z)"
+SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*+>|\Z)", re.I | re.S)
+NAMING = re.compile(r"<(link|meta|base)\b", re.I)
+REFRESH = re.compile(r"\burl\s*+=\s*+[\"']?\s*+([^\"'\s>]++)", re.I)
 #: The references that stand for characters of urls.
-REFERENCES = (("&(?i:quot|#0*34|#x0*22);?", '"'), ("&(?i:lt|#0*60|#x0*3c);?", "<"), ("&(?i:gt|#0*62|#x0*3e);?", ">"), ("&(?:#0*47|#[xX]0*2[fF]);?", "/"), ("&(?:#0*58|#[xX]0*3[aA]);?", ":"), ("&(?i:amp|#0*38|#x0*26);?", "&"))
-
-
-def attribute(tag: Column, name: str) -> Column:
-    """The value of an attribute, decoded; null without one."""
-    found = F.regexp_extract(tag, rf"(?is)^<[a-z]+\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
-    value = F.trim(F.regexp_replace(found, "^[\"']|[\"']$", ""))
-    for pattern, char in REFERENCES:
-        value = F.regexp_replace(value, pattern, char)
-    return F.when(value != "", value)
-
-
-def linked_urls(html: Column) -> Column:
-    """The targets of canonical links and refresh redirects, and the page's base, as written: ``(to, base)``."""
-    read = F.regexp_replace(html, SILENT, " ")
-    tags = F.regexp_extract_all(read, F.lit(r"(?is)(<(?:link|meta|base)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)"), F.lit(1))
-    canonical = lambda t: F.when(attribute(t, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)"), attribute(t, "href"))
-    refresh = lambda t: F.when(F.lower(attribute(t, "http-equiv")) == "refresh", F.nullif(F.regexp_extract(attribute(t, "content"), r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1), F.lit("")))
-    to = F.array_compact(F.transform(tags, lambda t: F.when(t.rlike("(?i)^<link"), canonical(t)).when(t.rlike("(?i)^<meta"), refresh(t))))
-    base = F.get(F.array_compact(F.transform(tags, lambda t: F.when(t.rlike("(?i)^<base"), attribute(t, "href")))), 0)
-    return F.struct(to.alias("to"), base.alias("base"))
-
-
-def followed(rest: Column) -> Column:
+REFERENCES = [(re.compile(p), c) for p, c in (("&(?i:quot|#0*34|#x0*22);?", '"'), ("&(?i:lt|#0*60|#x0*3c);?", "<"), ("&(?i:gt|#0*62|#x0*3e);?", ">"), ("&(?:#0*47|#[xX]0*2[fF]);?", "/"), ("&(?:#0*58|#[xX]0*3[aA]);?", ":"), ("&(?i:amp|#0*38|#x0*26);?", "&"))]
+HOST_PATH = re.compile(r"([^/?#]*)([^?#]*)([^#]*)", re.S)
+TO_LOWER = str.maketrans(UPPER, LOWER)
+
+
+def decoded(value: str | None) -> str | None:
+    """An attribute's value with its references decoded; null if it is empty."""
+    value = (value or "").strip(" ")
+    if "&" in value:
+        for pattern, char in REFERENCES:
+            value = pattern.sub(char, value)
+    return value or None
+
+
+def linked_urls(html: str) -> tuple[list[str], str | None]:
+    """The targets of canonical links and refresh redirects, as written, and the page's base."""
+    read = SILENT.sub(" ", html)
+    last, ends, at, to, base = read.rfind(">") + 1, TagEnds(read), 0, [], None
+    while (m := NAMING.search(read, at, last)) is not None:
+        at, name = ends.after(m.end()), m[1].lower()
+        has = attributes(read[m.end() : at - 1])
+        target = None
+        if name == "link" and "canonical" in (decoded(has.get("rel")) or "").lower().split():
+            target = decoded(has.get("href"))
+        elif name == "meta" and (decoded(has.get("http-equiv")) or "").lower() == "refresh":
+            found = REFRESH.search(decoded(has.get("content")) or "")
+            target = found[1] if found else None
+        elif name == "base":
+            base = base or decoded(has.get("href"))
+        if target:
+            to.append(target)
+    return to, base
+
+
+def followed(rest: str) -> str:
     """``rest`` (host, path and more) without ``.`` and ``..`` steps in its path."""
-    host, path, more = host_of(rest), path_of(rest), F.regexp_extract(rest, r"^[^?#]*(.*)", 1)
-    steps = F.split(F.substring(path, 2, 1 << 30), "/")
-    none = F.array().cast("array<string>")
-    kept = F.aggregate(steps, none, lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))))
-    ended = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(host, F.lit("/"), F.array_join(ended, "/"), more)).otherwise(rest)
+    host, path, _ = HOST_PATH.match(rest).groups()
+    steps = path[1:].split("/")
+    if not path or not {".", ".."} & set(steps):
+        return rest
+    kept: list[str] = []
+    for x in steps:
+        if x == "..":
+            del kept[-1:]
+        elif x != ".":
+            kept.append(x)
+    if steps[-1] in (".", ".."):
+        kept.append("")
+    return f"{host}/{'/'.join(kept)}{rest[len(host) + len(path) :]}"
+
+
+def resolved(target: str, rest: str) -> str | None:
+    """``target`` as what follows a scheme, seen from the page at ``rest``; null if it isn't on the web."""
+    host, path, _ = HOST_PATH.match(rest).groups()
+    if re.match("https?://", target, re.I):
+        out = target[target.index("://") + 3 :]
+    elif target.startswith("//"):
+        out = target[2:]
+    elif re.match("[A-Za-z][A-Za-z0-9+.-]*+:", target):
+        return None
+    elif target.startswith("/"):
+        out = host + target
+    elif target.startswith("#"):
+        out = rest
+    elif target.startswith("?"):
+        out = host + path + target
+    else:
+        out = host + (path[: path.rindex("/") + 1] if path else "/") + target
+    return followed(out)
 
 
-def resolved(target: Column, rest: Column) -> Column:
-    """``target`` as what follows a scheme, seen from the page at ``rest``; null if it isn't on the web."""
-    host, path = host_of(rest), path_of(rest)
-    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"^.*/", 0))
-    return followed(
-        F.when(target.rlike(r"(?i)^https?://"), after_scheme(target))
-        .when(target.startswith("//"), F.substring(target, 3, 1 << 30))
-        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
-        .when(target.startswith("/"), F.concat(host, target))
-        .when(target.startswith("#"), rest)
-        .when(target.startswith("?"), F.concat(host, path, target))
-        .otherwise(F.concat(host, folder, target))
-    )
+def node_of(rest: str) -> str:
+    """As :func:`key_of`."""
+    host, path, query = HOST_PATH.match(rest).groups()
+    return host.translate(TO_LOWER) + path + query
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """``u, v``: nodes of pages and of what they name as themselves."""
-    rest = after_scheme(F.col("url"))
-    found = pages.filter(F.col("html").rlike(r"(?i)<link|<meta")).select(rest.alias("rest"), linked_urls(F.col("html")).alias("links"))
-    found = found.filter("rest is not null and size(links.to) > 0")
-    pairs = found.select("rest", F.coalesce(resolved(F.col("links.base"), F.col("rest")), "rest").alias("base"), F.explode("links.to").alias("to"))
-    pairs = pairs.select(key_of(F.col("rest")).alias("u"), key_of(resolved(F.col("to"), F.col("base"))).alias("v"))
-    return pairs.filter("u is not null and v is not null and u != v")
+    """``u, v``: nodes of pages and of what they name as themselves. Only pages that may hold such links go to Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for url, html in zip(batch.column(0), batch.column(1)):
+                rest = url.as_py().split("://", 1)[1]
+                to, base = linked_urls(html.as_py())
+                seen_from = (resolved(base, rest) if base else None) or rest
+                ends = (resolved(t, seen_from) for t in to)
+                found += [(u, v) for u, v in ((node_of(rest), node_of(e)) for e in ends if e is not None) if u != v]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["u", "v"])
+
+    may = F.col("html").rlike(r"(?i)<link|<meta") & F.col("html").rlike(r"(?i)canonical|refresh") & (F.instr("url", "://") > 0)
+    return map_texts(pages.filter(may).select("url", "html"), run, "u string, v string")
 
 
 def decide(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
