@@ -42,3 +42,11 @@ def test_references_of_any_length():
     assert html_extract.decoded("&#" + "9" * 9000 + ";x") == "�x"
     assert html_extract.decoded("&#" + "0" * 9000 + "65;&#x" + "0" * 9000 + "41;&amp;&#65;&#x41;&#233;") == "AA&AAé"
     assert html_extract.decoded("&#x" + "f" * 9000 + "; &#; &#x;") == "� &#; &#x;"
+
+
+def test_tags_of_any_number_of_attributes():
+    from tidewell.llm.html_extract import parse
+
+    page = "<p " + 'a="1" ' * 5_000 + 'title="x > y">Some text here.</p>'
+    assert [t for t in parse(page).text if t] == ["Some text here."]
+    assert [t for t in parse(("<p title='>'> a " * 30_000) + '"').text if t][:2] == ["a", "a"]

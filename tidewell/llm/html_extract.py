@@ -8,7 +8,7 @@ content marginal exceeds one half are the text. All potentials are counted from
 Defined cases: null and empty html give an empty text; broken markup is read as far as it goes (open elements end with the
 page, stray end tags are ignored); repeated rows are read each; other columns are dropped; an empty table gives an empty
 result. Pages have no length limit, nothing is cut, and reading takes time in proportion to a page's length: a tag ends at the
-first ``>`` outside quotes, or, where quotes don't close or are more than a thousand, at the first one.
+first ``>`` outside quotes, or, where quotes don't close, at the first one.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import map_texts
+from tidewell.llm.tags import TagEnds
 
 #: Fixed values of HTML: elements without an end tag, elements whose inside is no markup, inline elements, and end tags left out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,7 +54,7 @@ HINTS = {
 }
 WORD_HINT = {w: k for k, v in HINTS.items() for w in v.split()}
 PHRASE = re.compile(r"©|&copy;|\bcopyright\b|all rights reserved|\bcookies?\b|\bsubscribe\b|\bsign up\b|\blog ?in\b|\bshare (this|on)\b|\breply\b|\bcomments?\b|\badvertisement\b|\bsponsored\b", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,2000}+|[^>]*+)>|<[!?][^>]*+>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)|<[!?][^>]*+>", re.S)
 #: Numeric references that stand for no character; they may have any number of digits.
 FAR_REFERENCE = re.compile(r"&#(?:0*[1-9][0-9]{7,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{6,});?")
 ZEROS = re.compile(r"(&#[xX]?)0{9,}(?=[0-9a-fA-F])")
@@ -131,7 +132,7 @@ def parse(html: str) -> Page:
         opened[open_tags[-1]] -= 1
         return open_tags.pop()
 
-    at, scan, size, unclosed = 0, TOKEN.search, len(html), set()
+    at, scan, size, unclosed, ends = 0, TOKEN.search, len(html), set(), TagEnds(html)
     last = html.rfind(">") + 1  # no tag ends behind it
     while at < size:
         m = scan(html, at, last)
@@ -149,7 +150,8 @@ def parse(html: str) -> Page:
             if html.startswith("<!--", start) and not html.endswith("-->", start, at):
                 at = size
             continue
-        name = name.lower()
+        at = ends.after(at)
+        name, inside = name.lower(), html[m.end() : at - 1]
         if name in INLINE or name in MATH:
             if name == "a":
                 links = 0 if m[1] else 1
@@ -157,8 +159,8 @@ def parse(html: str) -> Page:
         if name == "br":
             pieces.append(" ")
             continue
-        if name in RAW and (name not in unclosed or m[1] or m[3].endswith("/")):
-            if not m[1] and not m[3].endswith("/"):
+        if name in RAW and (name not in unclosed or m[1] or inside.endswith("/")):
+            if not m[1] and not inside.endswith("/"):
                 end = RAW_END[name].search(html, at)
                 if name == "head" and end is not None and end[0][1] != "/":
                     at = end.start()
@@ -169,7 +171,7 @@ def parse(html: str) -> Page:
                 else:
                     unclosed.add(name)
             pieces.append(" ")
-            if name not in unclosed or m[1] or m[3].endswith("/"):
+            if name not in unclosed or m[1] or inside.endswith("/"):
                 continue
         end_run()
         links = 0
@@ -182,10 +184,10 @@ def parse(html: str) -> Page:
         while open_tags[-1] in gone:
             close()
         page.parent.append(path[-1])
-        page.kind.append((name, hint(m[3]) if m[3] else ""))
+        page.kind.append((name, hint(inside) if inside else ""))
         page.text.append(None)
-        page.label.append(int(x[1]) if (x := LABEL.search(m[3])) else None)
-        if name not in VOID and not m[3].endswith("/"):
+        page.label.append(int(x[1]) if (x := LABEL.search(inside)) else None)
+        if name not in VOID and not inside.endswith("/"):
             open_tags.append(name)
             opened[name] += 1
             path.append(len(page.parent) - 1)
