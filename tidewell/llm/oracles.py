@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm.mixing import BITS, BLOCK_ROWS, EVENNESS, MOST_REPEATS, ROUNDS
+from tidewell.llm.mixing import BITS, BLOCK_ROWS, LIFT, MOST_REPEATS, ROUNDS
 from tidewell.llm.quality import FENCES, LEAST_ROWS, MANTISSA, STEP_BITS
 from tidewell.llm.url_filter import RULES
 
@@ -76,11 +76,12 @@ WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len({_SPLIT}) AS BIGINT) AS n_t
 t AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS rows FROM d GROUP BY source),
 s AS (SELECT CAST(sum(tokens) AS DOUBLE) AS total, count(*) FILTER (WHERE tokens > 0) AS live, min(tokens) FILTER (WHERE tokens > 0) AS least, max(tokens) AS most FROM t),
 p AS (SELECT source, ln(tokens / total) AS lp FROM t, s WHERE tokens > 0),
+aim AS (SELECT h + {LIFT} * (ln(live) - h) AS target FROM (SELECT ln(sum(exp(lp))) - sum(exp(lp) * lp) / sum(exp(lp)) AS h FROM p), s),
 bis AS (SELECT 0 AS k, CAST(0.0 AS DOUBLE) AS lo, CAST(1.0 AS DOUBLE) AS hi
   UNION ALL SELECT k + 1, CASE WHEN fits THEN lo ELSE mid END, CASE WHEN fits THEN mid ELSE hi END FROM (
-    SELECT k, lo, hi, (lo + hi) / 2 AS mid, (SELECT ln(sum(exp((lo + hi) / 2 * lp))) - (lo + hi) / 2 * sum(exp((lo + hi) / 2 * lp) * lp) / sum(exp((lo + hi) / 2 * lp)) FROM p) <= {EVENNESS} * (SELECT ln(live) FROM s) + 1e-12
+    SELECT k, lo, hi, (lo + hi) / 2 AS mid, (SELECT ln(sum(exp((lo + hi) / 2 * lp))) - (lo + hi) / 2 * sum(exp((lo + hi) / 2 * lp) * lp) / sum(exp((lo + hi) / 2 * lp)) FROM p) <= (SELECT target FROM aim) + 1e-12
       AND (SELECT pow(CAST(most AS DOUBLE) / least, 1 - (lo + hi) / 2) FROM s) <= {MOST_REPEATS} + 1e-12 AS fits FROM bis WHERE k < {ROUNDS * BITS})),
-z0 AS (SELECT (SELECT ln(sum(1.0)) FROM p) <= {EVENNESS} * (SELECT ln(live) FROM s) + 1e-12 AND (SELECT CAST(most AS DOUBLE) / least FROM s) <= {MOST_REPEATS} + 1e-12 AS zero_fits),
+z0 AS (SELECT (SELECT ln(sum(1.0)) FROM p) <= (SELECT target FROM aim) + 1e-12 AND (SELECT CAST(most AS DOUBLE) / least FROM s) <= {MOST_REPEATS} + 1e-12 AS zero_fits),
 e AS (SELECT CASE WHEN zero_fits THEN 0.0 ELSE hi END AS t FROM bis, z0 WHERE k = {ROUNDS * BITS}),
 w AS (SELECT source, tokens, rows, CASE WHEN tokens > 0 THEN exp((SELECT t FROM e) * ln(tokens / total)) / (SELECT sum(exp((SELECT t FROM e) * lp)) FROM p) ELSE 0 END AS weight FROM t, s),
 b AS (SELECT *, greatest(CAST(round(weight * (SELECT max(tokens / nullif(weight, 0)) FROM w)) AS BIGINT), tokens) AS budget, CAST(ceil(rows / {BLOCK_ROWS}) AS BIGINT) AS blocks FROM w),
