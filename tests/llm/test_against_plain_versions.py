@@ -58,6 +58,10 @@ def test_alias_classes_equal_union_find(spark):
         ("<link data-href='/no' rel=canonical href='/yes?a=1&#38;b=2&#x2f;'>", "p.dev/yes?a=1&b=2/"),
         ("<meta http-equiv=Refresh content='5; URL=/r#f'>", "p.dev/r"),
         ("<link rel=canonical href='mailto:a@b'>", None),
+        ("<meta " + "x" * 1_000_000 + "><link rel=canonical href=/en/1>", "p.dev/en/1"),
+        ("<link " + "a='b' " * 100_000 + "rel=canonical href=/en/1>", "p.dev/en/1"),
+        ("<meta " * 100_000 + "> canonical", None),
+        ("<meta '>\" " * 50_000 + "<link rel=canonical href=/en/1>", "p.dev/en/1"),
         ("<link rel=stylesheet href='/s'>", None),
         (None, None),
     ],
