@@ -84,3 +84,27 @@ def test_silent_sites_and_dead_letters(spark, tmp_path):
     jobs.route(messages, str(tmp_path / "good"), str(tmp_path / "dead"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "good")).first()["k"] == 1
     assert [tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == [("no json", "unreadable")]
+
+
+def test_silent_keys_leave_the_state(spark, tmp_path):
+    names = "patient_id long, p double, t long"
+    batches = [
+        at(spark, [(1, 0.2, DAY), (1, 0.5, DAY + 60), (2, 0.1, DAY)], names),
+        at(spark, [(3, 0.9, DAY + 40_000)], names),
+        at(spark, [(3, 0.8, DAY + 40_060)], names),
+        at(spark, [(1, 0.7, DAY + 40_070), (3, 0.6, DAY + 40_120)], names),
+    ]
+    stream = streamed(spark, tmp_path, "in", *batches)
+
+    def run(rows, folder):
+        query = rows.writeStream.format("parquet").option("path", str(tmp_path / folder)).option("checkpointLocation", str(tmp_path / f"{folder}_cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        return spark.read.parquet(str(tmp_path / folder)).collect(), held
+
+    got, held = run(jobs.with_previous(stream, "patient_id", "ts", "p", "1 minute", idle=3600), "previous")
+    assert {(r["patient_id"], r["p"]): r["previous"] for r in got} == {(1, 0.2): None, (1, 0.5): 0.2, (2, 0.1): None, (3, 0.9): None, (3, 0.8): 0.9, (1, 0.7): None, (3, 0.6): 0.8}
+    assert min(held[1:]) < max(held)  # two of three keys went
+    got, held = run(jobs.recent_buffer(stream, "patient_id", "ts", "p", 2, "1 minute", idle=3600), "recent")
+    assert sorted((r["patient_id"], r["n"], round(r["mean"], 6)) for r in got) == [(1, 1, 0.7), (1, 2, 0.35), (2, 1, 0.1), (3, 1, 0.9), (3, 2, 0.7), (3, 2, 0.85)]
+    assert min(held[1:]) < max(held)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewell.operators import quality
+from tidewell.sources import registry
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "json", files_per_trigger: int = 100) -> DataFrame:
@@ -88,35 +92,112 @@ def cool_down(alerts: DataFrame, scope: list[str], seconds: str = "cooldown", ti
     return timed.groupBy(*scope).applyInPandasWithState(step, schema, "last double, free double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def with_previous(stream: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """``key, time, value, previous``: each value beside the entity's one before; the state is one number for each entity."""
-    kind = dict(stream.dtypes)
+def expiring(stream: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream for processors with state: watermarked, its state in RocksDB, so values are read and written one by one.
 
-    def step(of: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(time)
-        before = state.get[0] if state.exists else None
-        previous = [before, *rows[value].tolist()[:-1]]
-        state.update((float(rows[value].iloc[-1]),))
-        yield pd.DataFrame({key: [of[0]] * len(rows), time: rows[time].tolist(), value: rows[value].tolist(), "previous": pd.array(previous, dtype="Float64")})
+    The session's store is set here if it isn't RocksDB; queries that run, and their checkpoints, keep theirs.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return stream.withWatermark(time, late)
 
-    schema = f"{key} {kind[key]}, {time} {kind[time]}, {value} double, previous double"
-    rows = stream.select(key, time, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
-    return rows.groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
 
+class Expiring(StatefulProcessor):
+    """Base of processors whose keys leave the state when the watermark has passed their last row by ``idle`` seconds."""
+
+    def __init__(self, time: str, value: str, idle: float):
+        self.time, self.value, self.idle = time, value, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "ms long")
+
+    def sorted_rows(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(list(rows)).sort_values(self.time, kind="stable")
+
+    def keep_until(self, rows: pd.DataFrame) -> None:
+        """Moves the key's timer behind its newest row."""
+        ms = int(rows[self.time].iloc[-1].timestamp() * 1000 + self.idle * 1000)
+        before = self.until.get()[0] if self.until.exists() else None
+        if before is None or ms > before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(ms)
+            self.until.update((ms,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.until.clear()
+        self.forget()
+        return iter(())
+
+    def forget(self) -> None: ...
+
+    def close(self) -> None: ...
+
+
+class Previous(Expiring):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "value double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows = self.sorted_rows(rows)
+        before = self.last.get()[0] if self.last.exists() else None
+        values = rows[self.value].tolist()
+        self.last.update((float(values[-1]),))
+        self.keep_until(rows)
+        yield rows.assign(previous=pd.array([before, *values[:-1]], dtype="Float64"))
 
-def recent_buffer(stream: DataFrame, key: str, time: str, value: str, most: int = 5000) -> DataFrame:
-    """``key, n, mean``, once for each batch that brings the key something: its newest ``most`` values, which are the state."""
+    def forget(self) -> None:
+        self.last.clear()
+
+
+class Recent(Expiring):
+    """A ring of the newest ``most`` values: a batch writes the slots of its own values, whatever the ring holds."""
+
+    def __init__(self, time: str, value: str, idle: float, most: int, key: str):
+        super().__init__(time, value, idle)
+        self.most, self.key = most, key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.seen = handle.getValueState("seen", "rows long")
+        self.ring = handle.getMapState("ring", "slot long", "value double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows = self.sorted_rows(rows)
+        seen = self.seen.get()[0] if self.seen.exists() else 0
+        values = rows[self.value].tolist()
+        for k, v in list(enumerate(values, seen))[-self.most :]:
+            self.ring.updateValue((k % self.most,), (float(v),))
+        self.seen.update((seen + len(values),))
+        self.keep_until(rows)
+        kept = [v[0] for v in self.ring.values()]
+        yield pd.DataFrame({self.key: [key[0]], "n": [len(kept)], "mean": [math.fsum(kept) / len(kept)]})
+
+    def forget(self) -> None:
+        self.seen.clear()
+        self.ring.clear()
+
+
+def with_previous(stream: DataFrame, key: str, time: str, value: str, late: str = "2 hours", idle: float = 30 * 86_400) -> DataFrame:
+    """``key, time, value, previous``: each value beside the entity's one before; the state is one number for each entity.
+
+    An entity that is silent for ``idle`` seconds of event time leaves the state; its next value has no previous one.
+    """
     kind = dict(stream.dtypes)
+    rows = stream.select(key, time, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
+    schema = f"{key} {kind[key]}, {time} {kind[time]}, {value} double, previous double"
+    return expiring(rows, time, late).groupBy(key).transformWithStateInPandas(Previous(time, value, idle), schema, "Append", "EventTime")
 
-    def step(of: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(time)
-        kept = ([*state.get[0]] if state.exists else []) + rows[value].tolist()
-        kept = kept[-most:]
-        state.update((kept,))
-        yield pd.DataFrame({key: [of[0]], "n": [len(kept)], "mean": [sum(kept) / len(kept)]})
 
+def recent_buffer(stream: DataFrame, key: str, time: str, value: str, most: int = 5000, late: str = "2 hours", idle: float = 30 * 86_400) -> DataFrame:
+    """``key, n, mean``, once for each batch that brings the key something: its newest ``most`` values, which are the state.
+
+    A key that is silent for ``idle`` seconds of event time leaves the state with all its values.
+    """
+    kind = dict(stream.dtypes)
     rows = stream.select(key, time, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, n long, mean double", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    return expiring(rows, time, late).groupBy(key).transformWithStateInPandas(Recent(time, value, idle, most, key), f"{key} {kind[key]}, n long, mean double", "Append", "EventTime")
 
 
 def late_outcomes(predictions: DataFrame, outcomes: DataFrame, key: str, horizon: str = "12 hours", late: str = "2 hours") -> DataFrame:
