@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.prefix import exact_percentiles, running_sums_by, stacked_values
 from tidewell.operators.risk import band
 from tidewell.schemas import ENTITY, HOUR
 
@@ -24,11 +25,11 @@ def stacked(df: DataFrame, pairs: dict[str, tuple[str, str]], name: str = "outco
 def by_group(rows: DataFrame, group: str, threshold: float = 0.5, digits: int = 6) -> DataFrame:
     """``group, n, positives, auroc, auprc, recall, specificity`` of each group's ``score`` and ``label``.
 
-    Groups without positives are left out. Data are aggregated to distinct scores of a group before the ordered windows.
+    Groups without positives are left out. Data are aggregated to distinct scores of a group, and these are summed by ranges.
     """
     counts = rows.groupBy(group, "score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    down, every = Window.partitionBy(group).orderBy(F.desc("score")), Window.partitionBy(group)
-    counts = counts.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "p": F.sum("pos").over(every), "n_neg": F.sum("neg").over(every)})
+    counts = running_sums_by(counts, group, "score", ["pos", "neg"], descending=True)
+    counts = counts.withColumnsRenamed({"pos_upto": "tp", "neg_upto": "fp", "pos_all": "p", "neg_all": "n_neg"})
     hit = F.col("score") >= threshold
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     p, n = F.max("p"), F.max("n_neg")
@@ -75,10 +76,9 @@ def multi_task_loss(rows: DataFrame, weights: dict[str, float] | None = None, mo
 
 def reference_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``feature, mean, std, median, q25, q75`` (population deviation, interpolated quartiles) of the values that aren't null or NaN."""
-    rows = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns]))).filter("x is not null and not isnan(x)")
-    at = F.percentile("x", F.array(*map(F.lit, (0.5, 0.25, 0.75))))
-    out = rows.groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), at.alias("q"))
-    return out.select("feature", *[F.round(c, 6).alias(c) for c in ("mean", "std")], *[F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("median", "q25", "q75"))])
+    moments = stacked_values(df, list(columns)).groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    out = moments.join(exact_percentiles(df, list(columns), {"median": 0.5, "q25": 0.25, "q75": 0.75}), "feature")
+    return out.select("feature", *[F.round(c, 6).alias(c) for c in ("mean", "std", "median", "q25", "q75")])
 
 
 def weighted_metric(rows: DataFrame, group: str, metric: str, weight: str) -> DataFrame:
@@ -157,15 +157,16 @@ def exposition(predictions: DataFrame, p: str, seconds: str, model: str) -> Data
     """
     kinds = {"latency_seconds": (seconds, LATENCY_BUCKETS), "confidence": (p, CONFIDENCE_BUCKETS)}
     upto = {f"{n}_bucket|{e}": F.count_if(F.col(c) <= e) for n, (c, ends) in kinds.items() for e in (*ends, float("inf"))}
-    sums = {f"{n}_sum|": F.sum(c) for n, (c, _) in kinds.items()}
-    small = predictions.groupBy(F.col(model).alias("model"), band(F.col(p)).alias("level")).agg(F.count("*").alias("predictions_total"), *[x.cast("double").alias(k) for k, x in (upto | sums).items()])
+    # decimals, so that a sum doesn't depend on the order of the rows
+    sums = {f"{n}_sum|": F.sum(F.col(c).cast("decimal(28,9)")) for n, (c, _) in kinds.items()}
+    small = predictions.groupBy(F.col(model).alias("model"), band(F.col(p)).alias("level")).agg(F.count("*").alias("predictions_total"), *[x.cast("decimal(38,9)").alias(k) for k, x in (upto | sums).items()])
     of = lambda *more: F.concat_ws(",", F.concat(F.lit("model="), "model"), *more)
-    entry = lambda n, labels, v: F.struct(F.lit(n).alias("name"), labels.alias("labels"), v.cast("double").alias("value"))
+    entry = lambda n, labels, v: F.struct(F.lit(n).alias("name"), labels.alias("labels"), v.cast("decimal(38,9)").alias("value"))
     rows = [entry("predictions_total", of(F.concat(F.lit("level="), "level")), F.col("predictions_total"))]
     for k in (*upto, *sums):
         name, _, end = k.partition("|")
         rows.append(entry(name, of(F.lit("le=+Inf" if end == "inf" else f"le={end}")) if end else of(), F.col(f"`{k}`")))
-    return small.select(F.inline(F.array(*rows))).groupBy("name", "labels").agg(F.round(F.sum("value"), 6).alias("value"))
+    return small.select(F.inline(F.array(*rows))).groupBy("name", "labels").agg(F.round(F.sum("value").cast("double"), 6).alias("value"))
 
 
 def find(df: DataFrame, p: str, name: str, level: str | None = None, text: str | None = None, most: int | None = None) -> DataFrame:

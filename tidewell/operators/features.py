@@ -21,19 +21,21 @@ def frame(width: int = WIDTH) -> Window:
 def statistics(df: DataFrame, columns: list[str], width: int = WIDTH) -> DataFrame:
     """Eight statistics of each column; 0 where a frame has too few values."""
     w, out = frame(width), {}
+    # one pass over a frame's sorted values for all three quartiles
+    df = df.withColumns({f"_p_{c}": F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(w) for c in columns})
     for c in columns:
         n = F.count(c).over(w)
         or_zero = lambda x: F.coalesce(x, F.lit(0.0))
         out |= {f"{c}_{k}": or_zero(f(c).over(w)) for k, f in (("mean", F.avg), ("min", F.min), ("max", F.max))}
         out[f"{c}_std"] = F.when(n > 1, or_zero(F.stddev_samp(c).over(w))).otherwise(0.0)
-        at = lambda p, c=c: F.percentile(c, F.lit(p)).over(w)
-        out[f"{c}_median"] = or_zero(at(0.5))
-        out[f"{c}_iqr"] = or_zero(at(0.75) - at(0.25))
+        points = F.col(f"_p_{c}")
+        out[f"{c}_median"] = or_zero(points[1])
+        out[f"{c}_iqr"] = or_zero(points[2] - points[0])
         spread = F.max(c).over(w) - F.min(c).over(w)
         skew, kurt = F.skewness(c).over(w), F.kurtosis(c).over(w)
         out[f"{c}_skew"] = F.when((n > 2) & (spread > 0), F.sqrt(n * (n - 1.0)) / (n - 2) * skew).otherwise(0.0)
         out[f"{c}_kurt"] = F.when((n > 3) & (spread > 0), (n - 1.0) / ((n - 2.0) * (n - 3.0)) * ((n + 1.0) * kurt + 6)).otherwise(0.0)
-    return df.withColumns(out)
+    return df.withColumns(out).drop(*[f"_p_{c}" for c in columns])
 
 
 def alert_load(df: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidewell.operators.prefix import exact_percentiles
 from tidewell.schemas import ENTITY, HOUR
 
 
@@ -41,7 +42,10 @@ def interpolate(df: DataFrame, columns: list[str], limit: int = 3) -> DataFrame:
 
 def fit_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: exact median and mean of each column."""
-    return df.agg(*[e for c in columns for e in (F.percentile(c, 0.5).alias(f"{c}_median"), F.avg(c).alias(f"{c}_mean"))])
+    medians = exact_percentiles(df, columns, {"median": 0.5})
+    wide = medians.agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"{c}_median") for c in columns])
+    both = df.agg(*[F.avg(c).alias(f"{c}_mean") for c in columns]).crossJoin(F.broadcast(wide))  # one row each
+    return both.select(*[f"{c}_{k}" for c in columns for k in ("median", "mean")])
 
 
 def fill_median(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
@@ -57,7 +61,17 @@ def cascade(df: DataFrame, fitted: DataFrame, columns: list[str], limit: int = 3
     return fill_median(df, fitted, columns)
 
 
-def fill_sentinel(df: DataFrame, columns: list[str], value: float = -999.0) -> DataFrame:
+def with_nulls(df: DataFrame, columns: list[str]) -> list[str]:
+    """The columns that hold a null, from one pass of counts."""
+    if not columns:
+        return []
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    return [c for c in columns if row[c]]
+
+
+def fill_sentinel(df: DataFrame, columns: list[str], value: float = -999.0, only_with_nulls: bool = False) -> DataFrame:
+    """``value`` for null, and a flag for each column; ``only_with_nulls`` counts first and leaves columns without nulls as they are."""
+    columns = with_nulls(df, columns) if only_with_nulls else columns
     flags = {f"{c}_missing": F.col(c).isNull().cast("int") for c in columns}
     return df.withColumns(flags).withColumns({c: F.coalesce(F.col(c), F.lit(value)) for c in columns})
 

@@ -6,10 +6,16 @@ ranges of scores where it is large.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.prefix import running_sums
+from tidewell.checkpoints import cut
+from tidewell.operators.drift import normal_share
+from tidewell.operators.prefix import running_sums, tiles
 
 
 def by_score(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -107,12 +113,23 @@ def calibration_error(df: DataFrame, score: str = "score", label: str = "label",
 
 
 def temperature(df: DataFrame, score: str = "score", label: str = "label", steps: int = 490) -> DataFrame:
-    """The temperature of 0.1, 0.11, ... with the least log loss, from counts by score."""
+    """The temperature of 0.1, 0.11, ... with the least log loss, from counts by score; each task adds up all temperatures' losses."""
     p = F.least(F.greatest(F.col("score"), F.lit(1e-7)), F.lit(1 - 1e-7))
     rows = by_score(df, score, label).withColumn("z", F.ln(p / (1 - p)))
-    spread = rows.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: 0.1 + k / 100.0)))
-    q = F.least(F.greatest(1 / (1 + F.exp(-F.col("z") / F.col("t"))), F.lit(1e-12)), F.lit(1 - 1e-12))
-    loss = spread.groupBy("t").agg((-F.sum(F.col("pos") * F.ln(q) + F.col("neg") * F.ln(1 - q)) / F.sum(F.col("pos") + F.col("neg"))).alias("nll"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's losses at all steps, and its rows: as many numbers as there are steps, whatever the task reads."""
+        t, total, n = 0.1 + np.arange(steps) / 100.0, np.zeros(steps), 0.0
+        for batch in batches:
+            z, pos, neg = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(3))
+            for a in range(0, len(z), 4096):
+                q = np.clip(1 / (1 + np.exp(np.minimum(-z[a : a + 4096, None] / t, 700.0))), 1e-12, 1 - 1e-12)
+                total -= pos[a : a + 4096] @ np.log(q) + neg[a : a + 4096] @ np.log(1 - q)
+            n += pos.sum() + neg.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(total), pa.array(np.full(steps, n))], names=["t", "loss", "n"])
+
+    sums = rows.select("z", F.col("pos").cast("double").alias("pos"), F.col("neg").cast("double").alias("neg")).mapInArrow(run, "t double, loss double, n double")
+    loss = sums.groupBy("t").agg(F.try_divide(F.sum("loss"), F.sum("n")).alias("nll"))
     return loss.agg(F.round(F.min_by("t", F.struct(F.round("nll", 9), F.col("t"))), 6).alias("temperature"), F.round(F.min("nll"), 6).alias("nll"))
 
 
@@ -172,6 +189,100 @@ def delong(df: DataFrame, score: str = "score", label: str = "label", z: float =
     return got.select(F.round("auroc", 6).alias("auroc"), F.round(se, 6).alias("se"), F.round(F.col("auroc") - z * se, 6).alias("low"), F.round(F.col("auroc") + z * se, 6).alias("high"))
 
 
+def _placements(df: DataFrame, score: str, label: str) -> DataFrame:
+    """``score, v, w``: the shares of negatives below and of positives above each distinct score, ties half; counts of both classes."""
+    c = curve(df, score, label)
+    n, m = F.col("negatives").cast("double"), F.col("positives").cast("double")
+    return c.select(F.col("score").alias(f"_{score}"), F.try_divide(n - F.col("fp") + F.col("neg") / 2.0, n).alias(f"v_{score}"), F.try_divide(F.col("tp") - F.col("pos") / 2.0, m).alias(f"w_{score}"))
+
+
+def paired_delong(df: DataFrame, one: str, two: str, label: str = "label") -> DataFrame:
+    """``auroc_one, auroc_two, difference, se, z, p_value``: DeLong's test of two scores of the same rows.
+
+    Each score's placements are a table of distinct scores, made by ranges; rows look both up, and the rest is sums: variances and the
+    covariance of the two placements among positives and among negatives. Rows with a null score or label take no part. Error and
+    test are null with fewer than two rows of a class, the test also where the two rank all rows alike.
+    """
+    rows = df.dropna(subset=[one, two, label]).select(F.col(one).alias(one), F.col(two).alias(two), F.col(label).cast("int").alias(label))
+    for score in (one, two):
+        rows = rows.join(_placements(rows.select(score, label), score, label), F.col(score) == F.col(f"_{score}"))
+    pos, neg = F.col(label) == 1, F.col(label) == 0
+    among = lambda f, keep, *c: f(*[F.when(keep, F.col(x)) for x in c])
+    sums = rows.agg(
+        F.count_if(pos).alias("m"),
+        F.count_if(neg).alias("n"),
+        among(F.avg, pos, f"v_{one}").alias("a"),
+        among(F.avg, pos, f"v_{two}").alias("b"),
+        *[among(F.covar_samp, keep, f"{k}_{x}", f"{k}_{y}").alias(f"{k}{i}") for keep, k in ((pos, "v"), (neg, "w")) for i, (x, y) in enumerate(((one, one), (two, two), (one, two)))],
+    )
+    part = lambda i: F.try_divide(F.col(f"v{i}"), F.col("m")) + F.try_divide(F.col(f"w{i}"), F.col("n"))
+    variance = F.greatest(part(0) + part(1) - 2 * part(2), F.lit(0.0))
+    out = sums.withColumns({"d": F.col("a") - F.col("b"), "se": F.when(F.least("m", "n") > 1, F.sqrt(variance))})
+    out = out.withColumn("z", F.when(F.col("se") > 1e-12, F.col("d") / F.col("se")))
+    p = 2 * (1 - normal_share(F.abs("z")))
+    names = {"auroc_one": F.col("a"), "auroc_two": F.col("b"), "difference": F.col("d"), "se": F.col("se"), "z": F.col("z"), "p_value": F.when(F.col("z").isNotNull(), p)}
+    return out.select(*[F.round(c, 6).alias(name) for name, c in names.items()])
+
+
+def replicate_weights(score: float, positive: bool, count: int, replicates: int, seed: int) -> np.ndarray:
+    """How often the ``count`` rows of a score and class are drawn in each replicate: Poisson numbers that depend on these alone."""
+    bits = np.float64(score + 0.0).view(np.uint64)
+    return np.random.default_rng([seed, int(bits), int(positive)]).poisson(count, replicates)
+
+
+def bootstrap_auprc(df: DataFrame, score: str = "score", label: str = "label", replicates: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """``auprc, low, high``: the average precision and the interval of its Poisson bootstrap, from one table of counts by score.
+
+    Ranges of scores, highest first, add up their weights of all replicates; what stands before a range is a table of one row of
+    numbers for each range. Then each range adds its steps of all curves. Rows aren't read again for a replicate.
+    """
+    counts = by_score(df, score, label).filter("score is not null")
+    placed = cut(counts.repartitionByRange(F.desc("score")).sortWithinPartitions(F.desc("score")).withColumn("part", F.spark_partition_id()))
+
+    def weights(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for s, pos, neg in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            yield replicate_weights(s, True, pos, replicates, seed), replicate_weights(s, False, neg, replicates, seed)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_part: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, (pos, neg) in zip(batch.column(3).to_pylist(), weights(batch)):
+                held = by_part.setdefault(part, np.zeros((2, replicates)))
+                held += (pos, neg)
+        yield pa.RecordBatch.from_arrays([pa.array(list(by_part), pa.int32()), *[pa.array([list(v[k]) for v in by_part.values()], pa.list_(pa.float64())) for k in (0, 1)]], names=["part", "pos", "neg"])
+
+    columns = placed.select("score", "pos", "neg", "part")
+    sums = {r["part"]: np.array([r["pos"], r["neg"]]) for r in columns.mapInArrow(totals, "part int, pos array<double>, neg array<double>").toLocalIterator()}  # a row for each range
+    before, whole = {}, np.zeros((2, replicates))
+    for part in sorted(sums):
+        before[part] = whole.copy()
+        whole += sums[part]
+    spread = df.sparkSession.sparkContext.broadcast((before, whole))
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, total = spread.value
+        at, area = {}, np.zeros(replicates)
+        for batch in batches:
+            for part, (pos, neg) in zip(batch.column(3).to_pylist(), weights(batch)):
+                upto = at[part] = at.get(part, start[part]) + (pos, neg)
+                area += pos * upto[0] / np.maximum(total[0], 1) / np.maximum(upto.sum(axis=0), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(area)], names=["replicate", "area"])
+
+    curves = columns.mapInArrow(steps, "replicate long, area double").groupBy("replicate").agg(F.sum("area").alias("area"))
+    ends = curves.agg(F.percentile("area", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("e"))  # as many rows as replicates
+    return auprc(df, score, label).crossJoin(F.broadcast(ends)).select("auprc", F.round(F.col("e")[0], 6).alias("low"), F.round(F.col("e")[1], 6).alias("high"))
+
+
+def age_band(age: Column) -> Column:
+    return F.when(age < 50, "<50").when(age <= 70, "50-70").when(age > 70, ">70")
+
+
+def stay_quartiles(df: DataFrame, key: str, hour: str) -> DataFrame:
+    """``key, stay, quartile``: each entity's stay in rows' hours and its quartile among all entities, ties by key."""
+    stays = df.groupBy(key).agg((F.max(hour) - F.min(hour) + 1).alias("stay"))
+    return tiles(stays, ["stay", key], 4, "quartile")
+
+
 def youden(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """``threshold, j``: the score at which sensitivity exceeds the false positive rate most, of equals the highest; no row if
     none does. Compared in whole numbers, so ties are exact."""

@@ -165,11 +165,12 @@ def risk_distribution(df: DataFrame, p: str) -> DataFrame:
 
 
 def importance(df: DataFrame, features: list[str]) -> DataFrame:
-    """Mean absolute contribution of each feature with rank and cumulative share."""
+    """Mean absolute contribution of each feature with rank and cumulative share; shares are 0 where nothing contributes."""
     means = df.agg(*[F.avg(F.abs(c)).alias(c) for c in features])
     rows = means.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in features])).alias("r")).select("r.*")
     w = Window.orderBy(F.desc("v"), "feature")
-    upto = F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("v").over(Window.partitionBy())
+    whole = F.sum("v").over(Window.partitionBy())
+    upto = F.coalesce(F.try_divide(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), whole), F.lit(0.0))
     return rows.select("feature", F.round("v", 6).alias("importance"), F.row_number().over(w).alias("rank"), F.round(upto, 6).alias("cumulative_share"))
 
 
