@@ -34,18 +34,6 @@ def test_search_takes_each_patients_newest(spark):
     assert ids(code="2524-7") == ["c"] and ids(patient="2") == ["e"] and ids(patient="3") == []
 
 
-def test_trajectories_are_the_same_however_they_are_spread(spark):
-    entities = spark.range(200).select(F.col("id").alias(ENTITY), (F.col("id") % 2 == 0).alias("deteriorating"))
-    one, other = (feeds.trajectories(e, 13).orderBy(ENTITY, HOUR).collect() for e in (entities, entities.repartition(7)))
-    assert one == other
-    last = [r for r in one if r[HOUR] == 12]
-    mean = lambda even, c: sum(r[c] for r in last if (r[ENTITY] % 2 == 0) == even) / 100
-    assert abs(mean(True, "heart_rate") - 130) < 1 and abs(mean(False, "heart_rate") - 75) < 1.5 and abs(mean(True, "lactate") - 5.7) < 0.1
-    spread = [r["heart_rate"] - 75 for r in one if r[ENTITY] % 2]
-    assert 2.7 < (sum(x * x for x in spread) / len(spread)) ** 0.5 < 3.3
-    assert all(70 <= r["spo2_pct"] <= 100 for r in one)
-
-
 def test_topic_rows_keep_the_entity_as_key(spark):
     rows = spark.createDataFrame([(7, 1.5), (None, 2.5)], f"{ENTITY} long, x double")
     assert sorted((r["key"], r["value"]) for r in feeds.topic_rows(rows).collect()) == [("7", '{"patient_id":7,"x":1.5}'), ("unknown", '{"x":2.5}')]

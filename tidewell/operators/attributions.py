@@ -89,7 +89,13 @@ def mean_score(model: list[Leaves]) -> float:
 
 
 def scores(model: list[Leaves], x: np.ndarray) -> np.ndarray:
-    return sum((g.value * ((x[:, g.feature] > g.low) & (x[:, g.feature] <= g.high)).all(axis=2)).sum(axis=1) for g in model)
+    out = np.zeros(len(x))
+    for g in model:
+        step = max(1, NUMBERS // max(1, g.feature.size))
+        for a in range(0, len(x), step):
+            v = x[a : a + step][:, g.feature]
+            out[a : a + step] += ((v > g.low) & (v <= g.high)).all(axis=2) @ g.value
+    return out
 
 
 def shapley(model: list[Leaves], x: np.ndarray) -> np.ndarray:
@@ -120,9 +126,33 @@ def shapley(model: list[Leaves], x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _vector(df: DataFrame, features: Column | list[str]) -> Column:
+    """The features as an array; batches of them are bounded in bytes where the session sets no bound of its own."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(bound, None) is None:
+        df.sparkSession.conf.set(bound, str(4 << 20))
+    if isinstance(features, list):
+        return F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features])
+    return vector_to_array(features)
+
+
+def score(df: DataFrame, model: list[Leaves], features: Column | list[str], output: str = "margin") -> DataFrame:
+    """``df`` with the model's score of each row: an iterator function, to which the model comes once for each worker."""
+    vector = _vector(df, features)
+    spread = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def values(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        leaves_of = spread.value
+        for rows in batches:
+            yield pd.Series(scores(leaves_of, np.stack(rows.to_numpy())) if len(rows) else [], index=rows.index, dtype=float)
+
+    return df.withColumn(output, values(vector))
+
+
 def attribute(df: DataFrame, model: list[Leaves], features: Column | list[str], output: str = "attributions") -> DataFrame:
     """``df`` with an array of each row's Shapley values. ``features`` is a vector column or names of columns; null and NaN count as 0."""
-    vector = F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features]) if isinstance(features, list) else vector_to_array(features)
+    vector = _vector(df, features)
     spread = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<double>")

@@ -109,6 +109,27 @@ def pivot_fhir(obs: DataFrame, fields: list[str] | None = None, strict: bool = F
     return rows.groupBy("patient_id").agg(*[F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("id"))).alias(f) for f in fields])
 
 
+#: The fields of a flat row, in order.
+FLAT_VITALS = ("heart_rate", "respiratory_rate", "spo2_pct", "temperature_c", "systolic_bp", "diastolic_bp", "oxygen_device", "oxygen_flow", "mobility_score", "nurse_alert")
+FLAT_LABS = ("wbc_count", "lactate", "creatinine", "crp_level", "hemoglobin", "sepsis_risk_score")
+FLAT_DEMOGRAPHICS = ("age", "gender", "comorbidity_index", "admission_type")
+
+
+def complete_labs(labs: DataFrame) -> DataFrame:
+    """Lab rows with all required results; a missing sepsis score is 0."""
+    needed = [c for c in FLAT_LABS if c != "sepsis_risk_score"]
+    score = F.coalesce(F.col("sepsis_risk_score").cast("double"), F.lit(0.0)) if "sepsis_risk_score" in labs.columns else F.lit(0.0)
+    return labs.dropna(subset=needed).withColumn("sepsis_risk_score", score)
+
+
+def flat_rows(vitals: DataFrame, labs: DataFrame, people: DataFrame | None = None, keys: tuple[str, ...] = ("patient_id", "hour_from_admission")) -> DataFrame:
+    """A flat row for each key that has mapped vitals and labs; demographics where there are any."""
+    out = vitals.select(*keys, *FLAT_VITALS).join(complete_labs(labs).select(*keys, *FLAT_LABS), list(keys))
+    if people is not None:
+        out = out.join(people.select(keys[0], *FLAT_DEMOGRAPHICS), keys[0], "left")
+    return out
+
+
 PATIENT = "struct<resourceType:string,id:string,gender:string,birthDate:string>"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,13 @@ def clip_norm(vectors: DataFrame, values: str, most: float) -> DataFrame:
     return vectors.withColumn(values, F.transform(values, lambda x: x * F.coalesce(scale, F.lit(1.0))))
 
 
+def noised(vectors: DataFrame, values: str, sigma: float, most: float, key: str, seed: int = 42) -> DataFrame:
+    """Clipped vectors with normal noise of ``sigma`` times the clip, the same in every run: drawn by hash of seed, key and place."""
+    unit = lambda salt, i: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), F.col(key), i), 11).cast("double") + 0.5) / float(2**53)
+    normal = lambda i: F.sqrt(-2.0 * F.log(unit(0, i))) * F.cos(2.0 * math.pi * unit(1, i))
+    return clip_norm(vectors, values, most).withColumn(values, F.transform(values, lambda x, i: x + float(sigma * most) * normal(i)))
+
+
 #: Orders of the accountant: 1.1 to 10.9 by tenths, then 12 to 63.
 ORDERS = (*[1 + k / 10 for k in range(1, 100)], *map(float, range(12, 64)))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators import drift
+
 
 def decide_promotion(pairs: DataFrame, least_gain: float = 0.005, least_rows: int = 1000) -> DataFrame:
     """``pairs``: champion_auroc, challenger_auroc, champion_auprc, challenger_auprc, n."""
@@ -34,6 +36,16 @@ def backfill_outcomes(predictions: DataFrame, outcomes: DataFrame, key: str = "p
     return joined.withColumn("actual_outcome", F.coalesce("actual_outcome", "_o")).drop("_o")
 
 
+def next_action(state: DataFrame, least: int = 5000) -> DataFrame:
+    """``state`` with ``action``, what a round of the control loop does: a finished shadow run is decided on, and only without one is
+    retraining looked at. ``state``: drifted, samples, busy, shadow_running, shadow_rows, least_rows, decision.
+    """
+    done = F.col("shadow_rows") >= F.col("least_rows")
+    shadow = F.when(~done, "WAIT").when(F.col("decision") == "PROMOTE", "PROMOTE").otherwise("DISCARD")
+    retrain = F.when(F.col("retrain"), "RETRAIN").when(F.col("drifted") & (F.col("samples") < least), "COLLECT").otherwise("NONE")
+    return drift.should_retrain(state, least).withColumn("action", F.when(F.col("shadow_running"), shadow).otherwise(retrain)).drop("retrain")
+
+
 def create_version(registry: DataFrame, version: str, model_type: str, created_at: float) -> DataFrame:
     """``registry`` and a new version without a role."""
     new = registry.sparkSession.createDataFrame([(version, model_type, created_at, False, False, False)], "version_id string, model_type string, created_at double, champion boolean, challenger boolean, retired boolean")

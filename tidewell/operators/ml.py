@@ -19,6 +19,15 @@ def assemble(df: DataFrame, features: list[str], output: str = "features") -> Da
     return VectorAssembler(inputCols=features, outputCol=output).transform(df.fillna(0.0, features))
 
 
+#: The elements of a request's vector, in order.
+REQUEST_ORDER = ("heart_rate", "respiratory_rate", "spo2_pct", "temperature_c", "systolic_bp", "diastolic_bp", "oxygen_flow", "mobility_score", "nurse_alert", "wbc_count", "lactate", "creatinine", "crp_level", "hemoglobin", "sepsis_risk_score")
+
+
+def request_vector(df: DataFrame, output: str = "vector") -> DataFrame:
+    """``df`` with its fifteen elements as single-precision numbers; null stays null."""
+    return df.withColumn(output, F.array(*[F.col(c).cast("float") for c in REQUEST_ORDER]))
+
+
 def probability(scored: DataFrame, name: str = "score") -> DataFrame:
     return scored.withColumn(name, F.element_at(vector_to_array("probability"), 2)).drop("probability", "rawPrediction", "prediction")
 
@@ -82,7 +91,7 @@ def search(df: DataFrame, label: str, trials: int = 20, seed: int = 42, trees: i
     """``(best model, [(setting, area under the ROC curve)])`` of boosted trees on assembled ``features``.
 
     Settings are drawn at random from fixed ranges, as a search without a model of its own does; each is fitted on the same part of
-    the rows and judged on the rest. Nothing is pruned.
+    the rows and judged on the rest. Nothing is pruned; :mod:`tidewell.operators.boosting` has a search that stops trials early.
     """
     rng = random.Random(seed)
     trees_of = GBTClassifier(labelCol=label, maxIter=trees, seed=seed)

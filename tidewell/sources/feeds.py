@@ -1,33 +1,15 @@
-"""Feeds: landed message frames, searches over observations, made trajectories, and rows for topics."""
+"""Feeds: landed message frames, searches over observations, and rows for topics."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.schemas import ENTITY, HOUR
+from tidewell.schemas import ENTITY
 
 START, END = "\x0b", "\x1c\r"
 LOINC_SYSTEM = "http://loinc.org"
 
-# Signal, start and change over twelve hours and noise when deteriorating, level and noise when stable, least,
-# most, digits.
-TRAJECTORIES = (
-    ("heart_rate", 75.0, 55.0, 2.0, 75.0, 3.0, 30.0, 220.0, 1),
-    ("respiratory_rate", 16.0, 18.0, 1.5, 16.0, 1.0, 8.0, 50.0, 1),
-    ("spo2_pct", 98.0, -12.0, 1.0, 98.0, 0.8, 70.0, 100.0, 1),
-    ("temperature_c", 37.0, 2.2, 0.2, 37.0, 0.15, 34.0, 42.0, 2),
-    ("systolic_bp", 120.0, -40.0, 3.0, 120.0, 4.0, 60.0, 220.0, 1),
-    ("diastolic_bp", 80.0, -25.0, 2.0, 80.0, 3.0, 35.0, 140.0, 1),
-    ("wbc_count", 9.0, 14.0, 0.5, 7.5, 0.5, 1.0, None, 2),
-    ("lactate", 1.2, 4.5, 0.2, 1.1, 0.1, 0.4, None, 2),
-    ("creatinine", 0.9, 1.8, 0.1, 0.9, 0.05, 0.2, None, 2),
-    ("crp_level", 10.0, 120.0, 5.0, 8.0, 1.5, 1.0, None, 2),
-    ("hemoglobin", 13.5, -2.5, 0.3, 13.5, 0.2, 5.0, None, 2),
-)
-
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """``message``: the framed messages of landed connection dumps; bytes before a frame's first start are dropped.
@@ -62,26 +44,6 @@ def of_category(name: str) -> Column:
     return F.coalesce(F.exists("category", lambda c: F.exists(c["coding"], lambda k: k["code"] == name)), F.lit(False))
 
 
-def _normal(seed: int, *parts: Column | str) -> Column:
-    """A normal deviate by hash: the same for the same parts, however the rows are spread."""
-    unit = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), *parts), 11).cast("double") + 0.5) / float(2**53)
-    return F.sqrt(-2.0 * F.log(unit(0))) * F.cos(2.0 * math.pi * unit(1))
-
-
-def trajectories(entities: DataFrame, hours: int = 24, deteriorating: str = "deteriorating", seed: int = 42, noise: float = 1.0) -> DataFrame:
-    """Hours 0 to ``hours`` - 1 of every entity: drift over the first twelve hours if it deteriorates, noise, limits, rounding."""
-    rows = entities.select(ENTITY, F.coalesce(deteriorating, F.lit(False)).alias("_d"), F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).alias(HOUR))
-    progress = F.least(F.lit(1.0), F.col(HOUR) / 12.0)
-
-    def signal(name, start, change, spread, level, still, least, most, digits):
-        by = _normal(seed, F.lit(name), ENTITY, HOUR) * noise
-        x = F.when(F.col("_d"), start + progress * change + by * spread).otherwise(level + by * still)
-        x = F.greatest(F.lit(least), x if most is None else F.least(F.lit(most), x))
-        return F.round(x, digits).alias(name)
-
-    return rows.select(ENTITY, F.col(HOUR).cast("long").alias(HOUR), *[signal(*t) for t in TRAJECTORIES])
-
-
 def topic_rows(df: DataFrame, key: str = ENTITY) -> DataFrame:
     """``key, value``: a message for each row, keyed by entity so that an entity's messages keep their order."""
     return df.select(F.coalesce(F.col(key).cast("string"), F.lit("unknown")).alias("key"), F.to_json(F.struct("*")).alias("value"))

@@ -113,6 +113,12 @@ def write_sequences(windows: DataFrame, path: str, columns: list[str], window: s
     windows.sparkSession.createDataFrame([(k, c) for k, c in enumerate(columns)], "position int, feature string").coalesce(1).write.mode("overwrite").json(f"{path}/features")
 
 
+def read_sequences(spark: SparkSession, path: str, split: str) -> tuple[DataFrame, list[str]]:
+    """A split's sequences, pruned at the scan, and the names of their columns in order."""
+    names = [r["feature"] for r in spark.read.json(f"{path}/features").orderBy("position").collect()]  # a row for each feature
+    return spark.read.parquet(f"{path}/sequences").filter(F.col("split") == split), names
+
+
 def read_buffer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,19 +59,26 @@ def read_panel_csv(spark: SparkSession, path: str, columns: list[str] | None = N
     return raw.select(*[pick(f).alias(f.name) for f in schema.fields])
 
 
-def read_three_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``vitals.csv`` and ``labs.csv`` joined on entity and hour, with the attributes of ``patients.csv``."""
+def read_three_files(spark: SparkSession, folder: str, aligned: bool = False) -> DataFrame:
+    """``vitals.csv`` and ``labs.csv`` joined on entity and hour, with the attributes of ``patients.csv``; ``aligned``: on the hour grid."""
     vitals = read_panel_csv(spark, f"{folder}/vitals.csv", [*KEYS, *VITALS, "oxygen_device", "oxygen_flow", "mobility_score", "nurse_alert"])
     labs = read_panel_csv(spark, f"{folder}/labs.csv", [*KEYS, *LABS, "sepsis_risk_score"])
     patients = read_panel_csv(spark, f"{folder}/patients.csv", [ENTITY, *STATIC, "deterioration_hour"])
-    return grid.add_dimension(grid.merge_facts(vitals, labs), patients)
+    facts = grid.merge_facts(vitals, labs)
+    return align(facts, patients) if aligned else grid.add_dimension(facts, patients)
+
+
+def align(facts: DataFrame, patients: DataFrame) -> DataFrame:
+    """Facts on the hour grid: every hour from an entity's first to its last below the stay's limit, with its attributes in each of them."""
+    whole = grid.continuous_grid(grid.clip_stay(facts))
+    return grid.fill_static(grid.add_dimension(whole, patients), [*STATIC, "deterioration_hour"])
 
 
-def load(spark: SparkSession, folder: str, joined: str = "hourly_panel.csv") -> DataFrame:
-    """The pre-joined panel file, or, where it isn't there, the three files it is made of."""
+def load(spark: SparkSession, folder: str, joined: str = "hourly_panel.csv", aligned: bool = False) -> DataFrame:
+    """The pre-joined panel file, or, where it isn't there, the three files it is made of, ``aligned`` on the hour grid if asked for."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{joined}")
     there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return read_panel_csv(spark, f"{folder}/{joined}") if there else read_three_files(spark, folder)
+    return read_panel_csv(spark, f"{folder}/{joined}") if there else read_three_files(spark, folder, aligned)
 
 
 def first_entities(panel: DataFrame, n: int, order: Column | None = None) -> DataFrame:
@@ -82,10 +91,15 @@ def of_entities(panel: DataFrame, ids: DataFrame) -> DataFrame:
     return panel.join(ids.select(ENTITY).distinct(), ENTITY, "left_semi")
 
 
-def read_splits(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """Processed splits, one dataset partitioned by ``split``, so a split is pruned at the scan."""
-    out = spark.read.parquet(path)
-    return out.filter(F.col("split") == split) if split else out
+def read_splits(spark: SparkSession, path: str, names: tuple[str, ...] = ("train", "val", "test")) -> dict[str, DataFrame]:
+    """The processed splits that are there, by name; each is a partition of one dataset, pruned at the scan. What is missing is warned about."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = {s.getPath().getName().removeprefix("split=") for s in files.listStatus(root) if s.isDirectory()} if files.exists(root) else set()
+    for name in names:
+        if name not in there:
+            warnings.warn(f"no split {name} at {path}", stacklevel=2)
+    return {n: spark.read.parquet(path).filter(F.col("split") == n) for n in names if n in there}
 
 
 def latest(panel: DataFrame) -> DataFrame:

@@ -239,6 +239,59 @@ def latest_by_entity(stream: DataFrame, key: str, time: str, write: Callable[[Da
     return stream.writeStream.foreachBatch(step).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upsert_latest(stream: DataFrame, key: str, time: str, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keeps a table of each entity's newest row at ``folder``: every batch is merged into the newest snapshot and saved as the next.
+
+    A row older than what is there changes nothing, so a batch that is run again leaves the same table.
+    """
+    schema = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes)
+
+    def merge(latest: DataFrame) -> None:
+        spark = latest.sparkSession
+        rest = [c for c in stream.columns if c != key]
+        both = registry.load(spark, folder, schema).unionByName(latest.select(*stream.columns))
+        registry.save(both.groupBy(key).agg(F.max_by(F.struct(*rest), time).alias("r")).select(key, "r.*"), folder)
+
+    return latest_by_entity(stream, key, time, merge, checkpoint)
+
+
+def notify(alerts: DataFrame, handlers: dict[str, Callable[[DataFrame], None]], checkpoint: str, severity: str = "severity") -> StreamingQuery:
+    """Hands each batch's alerts to the handlers of their severity; ``*`` takes all. A handler that fails doesn't keep others from
+    theirs, but fails the batch at its end, which is then given again: handlers should bear an alert twice.
+    """
+
+    def step(batch: DataFrame, _: int) -> None:
+        batch = batch.persist()
+        failed = []
+        try:
+            for level, handle in handlers.items():
+                some = batch if level == "*" else batch.filter(F.col(severity) == level)
+                if some.limit(1).count():
+                    try:
+                        handle(some)
+                    except Exception as error:  # noqa: BLE001
+                        failed.append(error)
+        finally:
+            batch.unpersist()
+        if failed:
+            raise failed[0]
+
+    return alerts.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def control_loop(spark: SparkSession, decide: Callable[[int], str | None], checkpoint: str, seconds: float = 60.0) -> StreamingQuery:
+    """Calls ``decide`` with a round's number every ``seconds``, and goes on from the last finished round after a restart.
+
+    A round that fails fails the query, so that it is seen and started again; what ``decide`` does should bear being done twice.
+    """
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+
+    def step(_: DataFrame, number: int) -> None:
+        decide(number)
+
+    return ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=f"{int(seconds * 1000)} milliseconds").start()
+
+
 def run_to_table(stream: DataFrame, folder: str, name: str, mode: str = "complete") -> DataFrame:
     """Runs over what is there and returns the memory table; for tests and small results."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
