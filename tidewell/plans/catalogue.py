@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import clinical_queries, evaluation_queries, flow_queries, model_queries, panel_queries, record_queries
+from tidewell.plans import clinical_queries, evaluation_queries, flow_queries, model_queries, panel_queries, record_queries, statistics_queries
 
-MODULES = (panel_queries, model_queries, evaluation_queries, clinical_queries, flow_queries, record_queries)
+MODULES = (panel_queries, model_queries, evaluation_queries, clinical_queries, flow_queries, record_queries, statistics_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

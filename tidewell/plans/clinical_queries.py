@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import clinical_docs, early_warning, metrics
+from tidewell.operators import clinical_docs, early_warning, labels, metrics
 from tidewell.plans.model_queries import scored
 from tidewell.plans.oracle_text import KEYS, SCORED, SIGNALS, with_panel
-from tidewell.plans.panel_queries import panel
+from tidewell.plans.panel_queries import _EVENTS, _LABEL, panel
 from tidewell.schemas import ENTITY
 from tidewell.schemas import KEYS as KEY_COLUMNS
 from tidewell.sources.panel import table
@@ -44,13 +44,30 @@ def p26_early_warning(spark, sf_dir):
     return early_warning.early_warning(panel(spark, sf_dir)).select(*KEY_COLUMNS, "news2", "news2_urgent", "mews", "mews_review")
 
 
+_OBSERVED = " UNION ALL ".join(
+    [f"SELECT 'deterioration_next_12h' AS label_column, {_LABEL.format(h=12)} AS y FROM full_panel"]
+    + [
+        f"SELECT '{n}', CAST(EXISTS (SELECT 1 FROM full_panel f WHERE f.patient_id = p.patient_id AND f.hour_from_admission > p.hour_from_admission AND f.hour_from_admission <= p.hour_from_admission + {h} AND ({x})) AS INTEGER) FROM full_panel p"
+        for n, (x, h) in _EVENTS.items()
+    ]
+)
+
+
 @query(
-    """SELECT * FROM (VALUES (0, 'deterioration_next_12h', 'General Deterioration', 12, 0.10::DOUBLE, ''), (1, 'sepsis_next_6h', 'Sepsis Onset', 6, 0.07, 'A41.9,R65.20,R65.21'),
+    with_panel(
+        """SELECT t.*, CAST(positives AS BIGINT) AS positives, round(rate, 6) AS rate FROM (VALUES (0, 'deterioration_next_12h', 'General Deterioration', 12, 0.10::DOUBLE, ''), (1, 'sepsis_next_6h', 'Sepsis Onset', 6, 0.07, 'A41.9,R65.20,R65.21'),
   (2, 'cardiac_arrest_next_12h', 'Cardiac Arrest', 12, 0.02, 'I46.9,I46.2,I46.8'), (3, 'respiratory_failure_next_12h', 'Respiratory Failure', 12, 0.05, 'J96.00,J96.01,J96.20,J80'))
-  t(position, label_column, display_name, horizon_hours, prevalence, icd10)"""
+  t(position, label_column, display_name, horizon_hours, prevalence, icd10) JOIN (SELECT label_column, sum(y) AS positives, avg(y) AS rate FROM ob GROUP BY 1) USING (label_column)""",
+        f", ob AS ({_OBSERVED})",
+    )
 )
 def l07_outcome_catalogue(spark, sf_dir):
-    return early_warning.outcome_catalogue(spark).withColumn("icd10", F.array_join("icd10", ","))
+    """The catalogue beside what the panel's labels have of each outcome."""
+    p = panel(spark, sf_dir)
+    names = ["deterioration_next_12h", *labels.OUTCOMES]
+    rows = labels.deterioration(labels.look_ahead(p)).select(F.inline(F.array(*[F.struct(F.lit(n).alias("label_column"), F.col(n).alias("y")) for n in names])))
+    seen = rows.groupBy("label_column").agg(F.sum("y").cast("long").alias("positives"), F.round(F.avg("y"), 6).alias("rate"))
+    return early_warning.outcome_catalogue(spark).withColumn("icd10", F.array_join("icd10", ",")).join(seen, "label_column")
 
 
 _NAMED = [*SIGNALS, "shock_index", "map", "qsofa", "hrv", "bpv", "Lactate_MAX", "other"]

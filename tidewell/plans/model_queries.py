@@ -439,17 +439,22 @@ def m11_clip_norm(spark, sf_dir):
 
 @query(
     """WITH o AS (SELECT 1 + j / 10 AS alpha FROM range(1, 100) x(j) UNION ALL SELECT j FROM range(12, 64) x(j)),
-a AS (SELECT k AS round, alpha, 0.01 * 0.01 * alpha / (2 * 1.1 * 1.1) * 100 AS s FROM range(1, 21) r(k), o)
+m AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS k, count(DISTINCT o_custkey) / (SELECT count(*) FROM customer) AS q, count(*) AS steps FROM orders GROUP BY 1),
+a AS (SELECT k - (SELECT min(k) FROM m) + 1 AS round, alpha, CASE WHEN q >= 1 THEN 1 ELSE q * q END * alpha / (2 * 40.0 * 40.0) * steps AS s FROM m, o)
 SELECT round, round(min(e), 6) AS epsilon FROM (SELECT round, CAST(sum(s) OVER (PARTITION BY alpha ORDER BY round) AS DOUBLE) + ln(1e5) / (alpha - 1) AS e FROM a) GROUP BY round"""
 )
 def a61_rdp_epsilon(spark, sf_dir):
-    rounds = spark.range(1, 21).select(F.col("id").alias("round"), F.lit(0.01).alias("q"), F.lit(1.1).alias("sigma"), F.lit(100).alias("steps"))
-    return federated.rdp_epsilon(rounds)
+    """A round for each month of orders: who takes part is drawn from all customers, an order is a step."""
+    orders, n = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))
+    months = orders.groupBy((F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("k")).agg(F.countDistinct("o_custkey").alias("some"), F.count("*").alias("steps"))
+    first = months.agg(F.min("k").alias("first"))
+    rounds = months.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(n))  # one row each
+    return federated.rdp_epsilon(rounds.select((F.col("k") - F.col("first") + 1).alias("round"), (F.col("some") / F.col("n")).alias("q"), F.lit(40.0).alias("sigma"), "steps"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS idx, 0.0 AS total, 5 AS sites FROM range(4) r(i)")
+@query("SELECT CAST(i AS INTEGER) AS idx, 0.0 AS total, CAST((SELECT count(DISTINCT c_nationkey) FROM customer) AS INTEGER) AS sites FROM range(4) r(i)")
 def a62_masks_cancel(spark, sf_dir):
-    sites = spark.range(5).select(F.concat(F.lit("site"), "id").alias("site"))
+    sites = table(spark, sf_dir, "customer").select(F.concat(F.lit("nation"), "c_nationkey").alias("site")).distinct()
     return federated.pair_masks(sites, 4).groupBy("idx").agg((F.round(F.sum("mask"), 9) + F.lit(0.0)).alias("total"), F.count("*").cast("int").alias("sites"))
 
 

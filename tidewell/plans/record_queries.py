@@ -12,7 +12,7 @@ from tidewell.plans.oracle_text import KEYS, SCORED, with_panel
 from tidewell.plans.panel_queries import panel
 from tidewell.schemas import ENTITY, HOUR
 from tidewell.schemas import KEYS as KEY_COLUMNS
-from tidewell.sources import feeds, registry
+from tidewell.sources import registry
 from tidewell.sources.panel import table
 
 QUERIES: dict = {}
@@ -88,10 +88,10 @@ def w20_attention_weights(spark, sf_dir) -> DataFrame:
 
 _BUCKETS = " UNION ALL ".join(
     [
-        *[f"SELECT 'latency_seconds_bucket', 'model=' || gender || ',le={e}', count_if(seconds <= {e}) FROM px GROUP BY gender" for e in evaluation.LATENCY_BUCKETS],
-        *[f"SELECT 'confidence_bucket', 'model=' || gender || ',le={e}', count_if(probability <= {e}) FROM px GROUP BY gender" for e in evaluation.CONFIDENCE_BUCKETS],
+        *[f"SELECT 'latency_seconds_bucket', 'model=' || gender || ',le={e}', count_if(seconds <= {e}) FROM px GROUP BY gender" for e in (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5)],
+        *[f"SELECT 'confidence_bucket', 'model=' || gender || ',le={e}', count_if(probability <= {e}) FROM px GROUP BY gender" for e in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)],
         *[f"SELECT '{n}_bucket', 'model=' || gender || ',le=+Inf', count({c}) FROM px GROUP BY gender" for n, c in (("latency_seconds", "seconds"), ("confidence", "probability"))],
-        *[f"SELECT '{n}_sum', 'model=' || gender, sum({c}) FROM px GROUP BY gender" for n, c in (("latency_seconds", "seconds"), ("confidence", "probability"))],
+        *[f"SELECT '{n}_sum', 'model=' || gender, CAST(sum(CAST({c} AS DECIMAL(28, 9))) AS DOUBLE) FROM px GROUP BY gender" for n, c in (("latency_seconds", "seconds"), ("confidence", "probability"))],
     ]
 )
 
@@ -112,7 +112,31 @@ def p27_list_filter(spark, sf_dir) -> DataFrame:
     return evaluation.find(with_probability(spark, sf_dir), "probability", ENTITY, "HIGH", "1").select(*KEY_COLUMNS, "probability")
 
 
-_STEPS = ", ".join(f"('{c}', {k}, '{action}', '{priority}')" for c, (_, steps) in protocols.PROTOCOLS.items() for k, (action, priority) in enumerate(steps, 1))
+# The steps of the protocols, in order.
+_STEPS = """
+('sepsis', 1, 'Measure serum lactate level', 'immediate'),
+('sepsis', 2, 'Obtain blood cultures before antibiotics', 'immediate'),
+('sepsis', 3, 'Administer broad-spectrum antibiotics', 'immediate'),
+('sepsis', 4, 'Begin rapid 30 mL/kg crystalloid if hypotension or lactate ≥ 4', 'immediate'),
+('sepsis', 5, 'Apply vasopressors if hypotensive during/after fluid resuscitation (target MAP ≥ 65)', 'urgent'),
+('sepsis', 6, 'Reassess volume status and tissue perfusion', '30min'),
+('sepsis', 7, 'Re-measure lactate if initial was elevated', '2-4h'),
+('respiratory', 1, 'Assess airway patency and breathing pattern', 'immediate'),
+('respiratory', 2, 'Apply supplemental O₂ to maintain SpO₂ ≥ 94%', 'immediate'),
+('respiratory', 3, 'Obtain ABG and chest X-ray', 'urgent'),
+('respiratory', 4, 'Consider non-invasive ventilation (NIV/CPAP)', 'urgent'),
+('respiratory', 5, 'Notify attending physician and prepare for intubation if needed', 'urgent'),
+('cardiac', 1, 'Obtain 12-lead ECG immediately', 'immediate'),
+('cardiac', 2, 'Establish IV access and fluid bolus if hypotensive', 'immediate'),
+('cardiac', 3, 'Monitor continuous telemetry', 'urgent'),
+('cardiac', 4, 'Administer aspirin + notify cardiology', 'urgent'),
+('cardiac', 5, 'Prepare emergency resuscitation cart', 'standby'),
+('general', 1, 'Call RRT: Ext. 7777', 'immediate'),
+('general', 2, 'Perform ABCDE assessment', 'immediate'),
+('general', 3, 'Obtain full set of vitals + labs', 'urgent'),
+('general', 4, 'Review medication list for reversible causes', 'urgent'),
+('general', 5, 'Prepare for transfer to higher level of care', 'standby')
+"""
 
 
 @query(
@@ -125,18 +149,6 @@ def p32_protocols(spark, sf_dir) -> DataFrame:
     return protocols.with_protocol(table(spark, sf_dir, "events").select(asked.alias("asked")).distinct(), "asked").select("asked", "step", "action", "priority")
 
 
-def _drift(name, start, change, _, level, __, least, most, digits) -> str:
-    x = f"CASE WHEN c_custkey % 3 = 0 THEN {start}::DOUBLE + least(1.0::DOUBLE, h / 12.0::DOUBLE) * {change}::DOUBLE ELSE {level}::DOUBLE END"
-    return f"round(greatest({least}::DOUBLE, {x if most is None else f'least({most}::DOUBLE, {x})'}), {digits}) AS {name}"
-
-
-@query(f"SELECT CAST(c_custkey AS BIGINT) AS patient_id, h AS hour_from_admission, {', '.join(_drift(*t) for t in feeds.TRAJECTORIES)} FROM customer, range(0, 24) r(h)")
-def s18_trajectories(spark, sf_dir) -> DataFrame:
-    """The drift without noise, which SQL can tell."""
-    entities = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias(ENTITY), (F.col("c_custkey") % 3 == 0).alias("deteriorating"))
-    return feeds.trajectories(entities, 24, noise=0.0)
-
-
 @query("SELECT user_id % 20 AS run_id, arg_max(value, event_id) FILTER (event_type = 'view') AS view, arg_max(value, event_id) FILTER (event_type = 'click') AS click FROM events GROUP BY 1")
 def m14_run_table(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
