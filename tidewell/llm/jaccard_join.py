@@ -8,7 +8,7 @@ passage or a word that many documents share puts none of them into one block.
 
 Documents of equal word sequences are one row. A document is linked first with the smallest one of the block it shares most often;
 the components of these links settle nearly all blocks. In blocks that still hold several components, those of a few rows give
-their pairs, once each; others are cut into tiles of bounded size, and each two tiles are multiplied in a task: overlap counts are
+their pairs, once each; others, those that share documents together if that is less work, are cut into tiles of bounded size, and each two tiles are multiplied in a task: overlap counts are
 added up column by column, pairs below the size-derived bounds are discarded, and what remains gives at most one link for two
 components. So no number of rows grows with the square of a block, and no block is capped.
 
@@ -161,6 +161,21 @@ def tile_links(doc: np.ndarray, component: np.ndarray, size: np.ndarray, side: n
     return list(zip(doc[i[once]].tolist(), doc[j[once]].tolist()))
 
 
+def _families(members: DataFrame) -> DataFrame:
+    """``members`` with blocks that share documents put together as one, where that copies fewer rows than the blocks do.
+
+    Near copies share many blocks; as a family each row is copied once for each tile of the family, and not for each of its blocks.
+    """
+    centres = members.groupBy("key").agg(F.min("doc_id").alias("v"))
+    families = cut(connected_components(members.join(centres, "key").select(F.col("doc_id").alias("u"), "v")))
+    placed = members.join(families.withColumnRenamed("component", "family"), F.col("doc_id") == F.col("node")).drop("node")
+    docs = placed.select("family", "doc_id").distinct().groupBy("family").agg(F.count("*").alias("docs"))
+    cost = placed.groupBy("family").agg(F.sum(F.ceil(F.col("n") / TILE)).alias("by_block")).join(docs, "family")
+    whole = cost.select("family", (F.col("docs") * F.ceil(F.col("docs") / TILE) <= F.col("by_block")).alias("whole"))
+    named = placed.join(whole, "family").withColumn("key", F.when(F.col("whole"), F.concat(F.lit("family "), "family")).otherwise(F.concat(F.lit("block "), "key")))
+    return named.select("key", "doc_id", "component", "n_shingles").distinct()
+
+
 def _tiles(members: DataFrame) -> DataFrame:
     """``key, a, b, doc_id, component, side`` of large blocks' members, for each two tiles that may hold links.
 
@@ -219,7 +234,7 @@ def similar_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     more = confirm(cut(pairs), docs, width, percent)
     large = still.filter(F.col("n") > FEW)
     if large.limit(1).count():
-        more = more.unionByName(_product(_tiles(large), docs, width, percent))
+        more = more.unionByName(_product(_tiles(cut(_families(large))), docs, width, percent))
     more = cut(more)
     if more.limit(1).count():
         groups = cut(connected_components(links.unionByName(more)))
