@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.prefix import exact_percentiles, running_sums_by, stacked_values
-from tidewell.operators.risk import band
+from tidewell.operators.risk import LEVELS, band
 from tidewell.schemas import ENTITY, HOUR
 
 # Upper ends of the latency (seconds) and confidence buckets.
@@ -145,11 +145,6 @@ def with_context(trigger: DataFrame, recent: DataFrame, key: str = "id") -> Data
     return trigger.unionByName(recent.join(trigger.select(key), key, "left_anti").select(*trigger.columns))
 
 
-# Upper ends of the latency (seconds) and confidence buckets.
-LATENCY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5)
-CONFIDENCE_BUCKETS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
-
-
 def exposition(predictions: DataFrame, p: str, seconds: str, model: str) -> DataFrame:
     """``name, labels, value``: counters by model and level, and cumulative histograms of latency and confidence by model.
 
@@ -169,6 +164,22 @@ def exposition(predictions: DataFrame, p: str, seconds: str, model: str) -> Data
     return small.select(F.inline(F.array(*rows))).groupBy("name", "labels").agg(F.round(F.sum("value").cast("double"), 6).alias("value"))
 
 
+def gauges(latest: DataFrame, evaluated: DataFrame, p: str, model: str, threshold: float = 0.5) -> DataFrame:
+    """``name, labels, value``: how many entities are at each level now (``latest`` has a row for each), and each model's area under the
+    ROC curve and F1 on the evaluated rows (``score``, ``label``); levels without entities are 0.
+    """
+    levels = latest.sparkSession.createDataFrame([(x,) for x in LEVELS], "level string")
+    now = latest.groupBy(band(F.col(p)).alias("level")).agg(F.count("*").alias("n"))
+    active = levels.join(F.broadcast(now), "level", "left")  # four rows
+    active = active.select(F.lit("active_patients_by_risk").alias("name"), F.concat(F.lit("level="), "level").alias("labels"), F.coalesce("n", F.lit(0)).cast("double").alias("value"))
+    hit, y = F.col("score") >= threshold, F.col("label") == 1
+    f1 = evaluated.groupBy(model).agg(F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"))
+    f1 = f1.select(model, F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("v"))
+    area = by_group(evaluated, model, threshold).select(model, F.col("auroc").alias("v"))
+    of = lambda name, rows: rows.select(F.lit(name).alias("name"), F.concat(F.lit("model="), model).alias("labels"), F.round("v", 6).alias("value"))
+    return active.unionByName(of("model_auroc", area)).unionByName(of("model_f1", f1))
+
+
 def find(df: DataFrame, p: str, name: str, level: str | None = None, text: str | None = None, most: int | None = None) -> DataFrame:
     """Rows of a risk level whose name holds ``text`` in any case, by level, then falling probability, then name; ``most`` at most."""
     out = df.withColumn("risk_level", band(F.col(p)))

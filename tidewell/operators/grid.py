@@ -27,6 +27,19 @@ def continuous_grid(df: DataFrame, max_hours: int = MAX_HOURS) -> DataFrame:
     return grid.join(df, KEYS, "left")
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """The panel in the order of entity and hour: by ranges, so that written files follow one another and a scan can skip."""
+    return df.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
+
+
+def concatenate(*frames: DataFrame) -> DataFrame:
+    """All rows of the frames, one after the other; a column that a frame lacks is null in its rows."""
+    first, *rest = frames
+    for more in rest:
+        first = first.unionByName(more, allowMissingColumns=True)
+    return first
+
+
 def clip_stay(df: DataFrame, max_hours: int = MAX_HOURS) -> DataFrame:
     return df.filter(F.col(HOUR) < max_hours)
 

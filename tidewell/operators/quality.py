@@ -84,6 +84,12 @@ def missing_columns(df: DataFrame, kind: str = "panel") -> list[str]:
     return [c for c in REQUIRED[kind] if c not in df.columns]
 
 
+def missing_fields(df: DataFrame, required: list[str], output: str = "missing_fields") -> DataFrame:
+    """``df`` with the required fields that a row has no value for, in their order: the required ones without the mapped ones."""
+    mapped = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in required if c in df.columns]))
+    return df.withColumn(output, F.array_except(F.array(*map(F.lit, required)), mapped))
+
+
 def type_errors(df: DataFrame) -> DataFrame:
     """``column_name, errors``: values of the numeric columns that aren't null and don't read as numbers. One pass."""
     checked = [c for c in df.columns if c in RANGES]

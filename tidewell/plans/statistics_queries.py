@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators import alerts, attributions, drift, message_function, metrics
-from tidewell.plans.model_queries import _FIRED, _HALF, _MESSAGE_FIELDS, _PROB, alert_rows, halves, messages, scored, with_probability
-from tidewell.plans.oracle_text import KEYS, SCORED, with_panel
+from tidewell.operators import alerts, attributions, drift, evaluation, grid, message_function, metrics, prefix, quality
+from tidewell.plans.model_queries import _BAND, _FIRED, _HALF, _MESSAGE_FIELDS, _PROB, alert_rows, halves, messages, scored, with_probability
+from tidewell.plans.oracle_text import KEYS, SCORED, SIGNALS, with_panel
 from tidewell.plans.panel_queries import panel
 from tidewell.schemas import ENTITY, HOUR
 from tidewell.schemas import KEYS as KEY_COLUMNS
@@ -169,3 +169,38 @@ def w19_own_cooldowns(spark, sf_dir) -> DataFrame:
     """The rules' own cooldowns, an hour of the panel counting as a minute."""
     rows = alerts.fired(alert_rows(spark, sf_dir)).withColumn("ts", F.timestamp_seconds(F.col(HOUR) * 60 + F.col(ENTITY) % 60))
     return alerts.cool_down(rows).select("rule", ENTITY, F.unix_timestamp("ts").alias("second"))
+
+
+@query(
+    with_panel(
+        f"""SELECT 'active_patients_by_risk' AS name, 'level=' || l AS labels, CAST(count(level) AS DOUBLE) AS value FROM (VALUES ('LOW'), ('MODERATE'), ('HIGH'), ('CRITICAL')) v(l)
+  LEFT JOIN (SELECT {_BAND} AS level FROM (SELECT patient_id, arg_max(probability, hour_from_admission) AS probability FROM pr GROUP BY patient_id)) ON l = level GROUP BY l
+UNION ALL SELECT 'model_auroc', 'model=' || gender, round(sum(CASE WHEN a > b THEN 1.0 WHEN a = b THEN 0.5 ELSE 0 END) / count(*), 6) FROM (SELECT x.gender, x.probability AS a, y.probability AS b FROM few x JOIN few y ON x.gender = y.gender AND x.nurse_alert = 1 AND y.nurse_alert = 0) GROUP BY gender
+UNION ALL SELECT 'model_f1', 'model=' || gender, round(2.0 * count_if(probability >= 0.5 AND nurse_alert = 1) / (count_if(probability >= 0.5) + count_if(nurse_alert = 1)), 6) FROM few GROUP BY gender""",
+        f"{_PROB}, few AS (SELECT gender, round(probability, 3) AS probability, nurse_alert FROM pr WHERE probability IS NOT NULL)",
+    )
+)
+def k14_gauges(spark, sf_dir) -> DataFrame:
+    rows = with_probability(spark, sf_dir)
+    latest = rows.groupBy(ENTITY).agg(F.max_by("probability", HOUR).alias("probability"))
+    evaluated = rows.filter("probability is not null").select("gender", F.round("probability", 3).alias("score"), F.col("nurse_alert").cast("long").alias("label"))
+    return evaluation.gauges(latest, evaluated, "probability", "gender")
+
+
+@query(with_panel(f"SELECT {KEYS}, row_number() OVER (ORDER BY patient_id, hour_from_admission) - 1 AS position FROM panel"))
+def o01_panel_order(spark, sf_dir) -> DataFrame:
+    """The panel in order, each row's position read off the order of the files' partitions and rows."""
+    ordered = grid.in_order(panel(spark, sf_dir).select(*KEY_COLUMNS)).withColumn("_at", F.monotonically_increasing_id())
+    return prefix.row_numbers(ordered, ["_at"], "position", "_all").select(*KEY_COLUMNS, "position")
+
+
+@query(with_panel(f"SELECT {KEYS}, hr_dense, CAST(NULL AS DOUBLE) AS lactate FROM panel WHERE {_HALF[0]} UNION ALL SELECT {KEYS}, NULL, lactate FROM panel WHERE {_HALF[1]}"))
+def u01_concatenated(spark, sf_dir) -> DataFrame:
+    before, after = halves(spark, sf_dir, [*KEY_COLUMNS, "hr_dense", "lactate"])
+    return grid.concatenate(before.drop("lactate"), after.drop("hr_dense"))
+
+
+@query(with_panel(f"SELECT {KEYS}, concat_ws(',', {', '.join(f'CASE WHEN {c} IS NULL THEN {chr(39)}{c}{chr(39)} END' for c in SIGNALS)}, 'crp_level') AS missing FROM panel"))
+def u02_missing_fields(spark, sf_dir) -> DataFrame:
+    rows = quality.missing_fields(panel(spark, sf_dir), [*SIGNALS, "crp_level"])
+    return rows.select(*KEY_COLUMNS, F.array_join("missing_fields", ",").alias("missing"))

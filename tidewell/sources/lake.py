@@ -23,7 +23,7 @@ def envelope(df: DataFrame, data_type: str, at: Column, key: str = "patient_id",
         F.substring(identity, 1, 12).alias("ingestion_id"),
         at.alias("ingestion_timestamp"),
         F.lit(source).alias("source"),
-        F.lit("1.0").alias("schema_version"),
+        F.lit("1.0.0").alias("schema_version"),
         F.lit(data_type).alias("data_type"),
         F.to_date(at).alias("date"),
         F.coalesce(F.col(key).cast("string"), F.lit("unknown")).alias("patient_id"),
