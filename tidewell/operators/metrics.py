@@ -6,6 +6,8 @@ ranges of scores where it is large.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -219,15 +221,36 @@ def paired_delong(df: DataFrame, one: str, two: str, label: str = "label") -> Da
     variance = F.greatest(part(0) + part(1) - 2 * part(2), F.lit(0.0))
     out = sums.withColumns({"d": F.col("a") - F.col("b"), "se": F.when(F.least("m", "n") > 1, F.sqrt(variance))})
     out = out.withColumn("z", F.when(F.col("se") > 1e-12, F.col("d") / F.col("se")))
-    p = 2 * (1 - normal_share(F.abs("z")))
-    names = {"auroc_one": F.col("a"), "auroc_two": F.col("b"), "difference": F.col("d"), "se": F.col("se"), "z": F.col("z"), "p_value": F.when(F.col("z").isNotNull(), p)}
+    # of the z as it is; in one select with its rounding it would be that of the rounded one
+    out = out.withColumn("p_value", F.when(F.col("z").isNotNull(), 2 * (1 - normal_share(F.abs("z")))))
+    names = {"auroc_one": "a", "auroc_two": "b", "difference": "d", "se": "se", "z": "z", "p_value": "p_value"}
     return out.select(*[F.round(c, 6).alias(name) for name, c in names.items()])
 
 
+def _uniforms(base: int, numbers: np.ndarray) -> np.ndarray:
+    """Numbers between 0 and 1 by a 32-bit mix of ``base`` and each of ``numbers``."""
+    low = np.uint64(0xFFFFFFFF)
+    h = np.uint64(base) ^ (numbers.astype(np.uint64) * np.uint64(0x9E3779B9) & low)
+    h = (h ^ (h >> np.uint64(16))) * np.uint64(0x7FEB352D) & low
+    h = (h ^ (h >> np.uint64(15))) * np.uint64(0x846CA68B) & low
+    return ((h ^ (h >> np.uint64(16))).astype(float) + 0.5) / 2**32
+
+
 def replicate_weights(score: float, positive: bool, count: int, replicates: int, seed: int) -> np.ndarray:
-    """How often the ``count`` rows of a score and class are drawn in each replicate: Poisson numbers that depend on these alone."""
-    bits = np.float64(score + 0.0).view(np.uint64)
-    return np.random.default_rng([seed, int(bits), int(positive)]).poisson(count, replicates)
+    """How often the ``count`` rows of a score and class are drawn in each replicate: Poisson numbers that depend on these alone.
+
+    They are read off the distribution function at a uniform number; for more than 64 rows, off the normal distribution.
+    """
+    if not count:
+        return np.zeros(replicates)
+    base = int(hashlib.md5(f"{seed}:{math.floor(score * 1e9 + 0.5)}:{int(positive)}".encode()).hexdigest()[:8], 16)
+    number = 2 * np.arange(replicates)
+    u = _uniforms(base, number + 1)
+    if count <= 64:
+        upto = np.cumsum([math.exp(j * math.log(count) - count - math.lgamma(j + 1)) for j in range(count + 120)])
+        return np.searchsorted(upto, u, side="left").astype(float)
+    z = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * _uniforms(base, number + 2))
+    return np.maximum(np.floor(count + math.sqrt(count) * z + 0.5), 0)
 
 
 def bootstrap_auprc(df: DataFrame, score: str = "score", label: str = "label", replicates: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:

@@ -49,9 +49,28 @@ def a73_paired_delong(spark, sf_dir) -> DataFrame:
     return metrics.paired_delong(rows, "score", "other")
 
 
-@query(None)
+def _uniform(number: str) -> str:
+    """A 32-bit mix of ``base`` and ``number``, as a number between 0 and 1."""
+    x = f"xor(base, ({number}) * 2654435769 % 4294967296)"
+    y = "(xor({0}, {0} >> 16) * 2146121005 % 4294967296)".format("x")
+    z = "CAST(CAST(xor(y, y >> 15) AS HUGEINT) * 2221713035 % 4294967296 AS BIGINT)"
+    return f"list_transform([{x}], lambda x: list_transform([{y}], lambda y: list_transform([{z}], lambda z: (xor(z, z >> 16) + 0.5) / 4294967296.0)[1])[1])[1]"
+
+
+@query(
+    f"""WITH {SCORED}, c AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM s GROUP BY score),
+k AS (SELECT score, y, CAST(CASE WHEN y = 1 THEN pos ELSE neg END AS BIGINT) AS n, CAST('0x' || substr(md5('42:' || CAST(floor(score * 1e9 + 0.5) AS BIGINT) || ':' || y), 1, 8) AS BIGINT) AS base FROM c, (VALUES (1), (0)) v(y)),
+m AS (SELECT *, list_transform(range(0, n + 120), lambda j: exp(j * ln(n) - n - lgamma(j + 1))) AS mass FROM k WHERE n > 0),
+d AS (SELECT *, list_transform(range(1, len(mass) + 1), lambda j: list_sum(mass[1:j])) AS upto FROM m),
+w AS (SELECT score, y, r, CASE WHEN n <= 64 THEN len(list_filter(upto, lambda x: x < u)) ELSE greatest(floor(n + sqrt(n) * sqrt(-2 * ln(u)) * cos(2 * pi() * v) + 0.5), 0) END AS w
+  FROM (SELECT *, {_uniform("2 * r + 1")} AS u, {_uniform("2 * r + 2")} AS v FROM d, range(0, 2000) t(r))),
+p AS (SELECT r, score, coalesce(sum(w) FILTER (y = 1), 0) AS pos, coalesce(sum(w) FILTER (y = 0), 0) AS neg FROM w GROUP BY r, score),
+u AS (SELECT r, pos, sum(pos) OVER b AS tp, sum(neg) OVER b AS fp, sum(pos) OVER (PARTITION BY r) AS total FROM p WINDOW b AS (PARTITION BY r ORDER BY score DESC)),
+e AS (SELECT r, sum(pos / greatest(total, 1) * tp / greatest(tp + fp, 1)) AS area FROM u GROUP BY r),
+o AS (SELECT sum(pos) OVER () AS total, pos, sum(pos) OVER b AS tp, sum(neg) OVER b AS fp FROM c WINDOW b AS (ORDER BY score DESC))
+SELECT (SELECT round(sum(pos * tp / (total * (tp + fp))), 6) FROM o) AS auprc, round(quantile_cont(area, 0.025), 6) AS low, round(quantile_cont(area, 0.975), 6) AS high FROM e"""
+)
 def a73_auprc_interval(spark, sf_dir) -> DataFrame:
-    """Its weights are drawn by numpy's generators, so SQL has none; the test holds it against a plain version."""
     return metrics.bootstrap_auprc(scored(spark, sf_dir))
 
 
