@@ -100,3 +100,29 @@ def test_repeated_rows_in_the_second_turn(spark, monkeypatch):
     df = documents(spark, texts)
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates.link(df.unionByName(df), 2).collect()}
     assert [got[k] for k in range(60)] == classes(texts, 2)[0]
+
+
+@pytest.mark.parametrize("pool", [5, 50])
+def test_pages_about_the_limit_ship_rows_in_proportion(spark, monkeypatch, pool):
+    """Pages of a hundred fixed words and seven of a small pool: what is shipped grows with the pages, results equal brute force."""
+    monkeypatch.setattr(near_duplicates, "FEW", 8)
+    rng, counted = random.Random(pool), []
+    kept = near_duplicates.product
+    monkeypatch.setattr(near_duplicates, "product", lambda t, *rest: counted.append(t.count()) or kept(t, *rest))
+    confirmed = near_duplicates.confirm
+    monkeypatch.setattr(near_duplicates, "confirm", lambda p, *rest: counted.append(p.count()) or confirmed(p, *rest))
+    core, words = fresh(rng, 100), fresh(rng, pool)
+
+    def page():
+        own = list(core)
+        for _ in range(7):
+            own.insert(rng.randrange(len(own)), rng.choice(words))
+        return " ".join(own)
+
+    texts = [page() for _ in range(900)]
+    shipped = {}
+    for n in (300, 900):
+        counted.clear()
+        agree(spark, texts[:n])
+        shipped[n] = sum(counted)
+    assert shipped[900] <= 6 * shipped[300] + 900

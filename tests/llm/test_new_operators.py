@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from tests.oracle import assert_same
-from tidewell.llm import collocations, jaccard_join, prefix_trie, queries
+from tidewell.llm import collocations, jaccard_join, prefix_trie, queries, shingling, tiles
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -114,7 +114,8 @@ def plain_components(texts, width, percent):
 @pytest.mark.parametrize(("width", "percent", "few"), [(3, 90, 12), (3, 90, 1), (2, 70, 1)])
 def test_jaccard_components_equal_brute_force(spark, monkeypatch, width, percent, few):
     monkeypatch.setattr(jaccard_join, "FEW", few)
-    monkeypatch.setattr(jaccard_join, "TILE", 5)
+    monkeypatch.setattr(tiles, "LEAST_ROWS", 5)
+    monkeypatch.setattr(tiles, "TILE_SHINGLES", 200)
     rng = random.Random(12)
     texts = [None, "", " \t", "One two", "one  TWO", "one", "a b c", "A b c"]
     for _ in range(12):  # families of near copies about the limit, of all sizes
@@ -144,11 +145,11 @@ def test_jaccard_ids_that_are_missing_or_repeated(spark):
 def test_products_and_set_sizes():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(40)]
-    shared = jaccard_join.overlaps(sets)
+    shared = tiles.overlaps(sets)
     assert all(shared[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
     words = [b"w%d" % k for k in rng.integers(0, 40, 3000)]
     for width in (1, 2, 3, 5, 14):
-        assert jaccard_join.set_size(words, width) == len(set(zip(*(words[k:] for k in range(width)))))
+        assert shingling.set_size(words, width) == len(set(zip(*(words[k:] for k in range(width)))))
     low = jaccard_join.bands(500, 90)
     for n in range(1, 450):
         m = n * 100 // 90

@@ -19,7 +19,6 @@ links of them all; rows without an id take no part (no component); an empty tabl
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,31 +28,15 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import by_size, cut, map_texts, store
 from tidewell.llm.components import connected_components
-from tidewell.llm.near_duplicates import BROADCAST_IDS, WordHash, confirm, shingle_hashes, split_words
+from tidewell.llm.near_duplicates import confirm
+from tidewell.llm.shingling import WordHash, set_size, shingle_hashes, split_words, words_key
+from tidewell.llm.tiles import BROADCAST_IDS, families, product, tile_pairs
 
-#: Rows of a block up to which its pairs are rows; larger blocks are cut into tiles of so many rows.
-FEW, TILE = 12, 256
-#: Columns of a tile that are multiplied at once, and rows a column must have for that; others add up their pairs.
-COLUMNS, DENSE = 2048, 16
+#: Rows of a block up to which its pairs are rows; larger blocks are cut into tiles.
+FEW = 12
 ROWS = "doc_id long, n_shingles long, words_key binary, blocks array<long>"
 
 
-def set_size(words: list[bytes], width: int) -> int:
-    """The number of distinct shingles, from the words themselves."""
-    if len(words) <= width:
-        return min(len(words), 1)
-    number: dict[bytes, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
-    codes, base = ids, len(number)
-    for k in range(1, width):
-        codes = codes[: len(ids) - k] * len(number) + ids[k:]
-        base *= len(number)
-        if base > (1 << 62) // max(1, len(number)):
-            found, codes = np.unique(codes, return_inverse=True)
-            base = len(found)
-    return len(np.unique(codes))
-
-
 def bands(most: int, percent: int) -> np.ndarray:
     """Smallest sizes of the bands up to size ``most``, and one more; sets of similar sizes are in one band or in neighbouring ones."""
     low = [1]
@@ -92,7 +75,7 @@ def profile(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 if n >= low[-3]:
                     low = bands(2 * n, percent)
                 sizes.append(n)
-                keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if n else None)
+                keys.append(words_key(words) if n else None)
                 blocks.append(block_keys(shingle_hashes(words, width, hashes), n, percent, low) if n else None)
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(blocks, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "words_key", "blocks"])
@@ -100,114 +83,6 @@ def profile(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return map_texts(docs, run, ROWS)
 
 
-def incidence(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``doc_id, columns``: the shingles of the documents in ``ids``, as sorted 64-bit hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
-        for batch in batches:
-            sets = [shingle_hashes(split_words(t.as_py()), width, hashes).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "columns"])
-
-    return map_texts(docs.join(by_size(ids, BROADCAST_IDS), "doc_id", "left_semi"), run, "doc_id long, columns binary")
-
-
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """The product of the sparse incidence matrix with its transpose: for each two rows how many columns they share."""
-    n = len(sets)
-    out = np.zeros((n, n), np.int64)
-    column, row = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    first = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
-    rows_of = np.diff(np.append(first, len(column)))
-    number = np.repeat(np.arange(len(first)), rows_of)
-    many = rows_of >= DENSE
-    # columns of few rows: entries that stand d apart in a column
-    few = np.flatnonzero(~many[number])
-    c, r = number[few], row[few]
-    for d in range(1, DENSE):
-        same = np.flatnonzero(c[d:] == c[:-d])
-        if not same.size:
-            break
-        out += np.bincount(r[same] * n + r[same + d], minlength=n * n).reshape(n, n)
-    out += out.T
-    # columns of many rows: dense products; single precision is exact for such numbers of columns
-    place = np.cumsum(many) - 1
-    entries = np.flatnonzero(many[number])
-    p, r = place[number[entries]], row[entries]
-    for a in range(0, int(many.sum()), COLUMNS):
-        x, y = np.searchsorted(p, [a, a + COLUMNS])
-        m = np.zeros((n, COLUMNS), np.float32)
-        m[r[x:y], p[x:y] - a] = 1
-        out += (m @ m.T).astype(np.int64)
-    return out
-
-
-def tile_links(doc: np.ndarray, component: np.ndarray, size: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between components in two tiles (sides 0 and 1; 2 if there is one tile): one for two components that meet at most."""
-    small, large = np.minimum(size[:, None], size), np.maximum(size[:, None], size)
-    on = (100 * small >= percent * large) & (component[:, None] != component) & ((side[:, None] == 2) | (side[:, None] < side))
-    on &= (doc[:, None] < doc) | (side[:, None] != 2)
-    if not on.any():
-        return []
-    shared = overlaps(sets)
-    on &= (shared > 0) & (100 * shared >= percent * (size[:, None] + size - shared))
-    i, j = np.nonzero(on)
-    if not i.size:
-        return []
-    ends = np.sort(np.column_stack([component[i], component[j]]), axis=1)
-    once = np.unique(ends, axis=0, return_index=True)[1]
-    return list(zip(doc[i[once]].tolist(), doc[j[once]].tolist()))
-
-
-def _families(members: DataFrame) -> DataFrame:
-    """``members`` with blocks that share documents put together as one, where that copies fewer rows than the blocks do.
-
-    Near copies share many blocks; as a family each row is copied once for each tile of the family, and not for each of its blocks.
-    """
-    centres = members.groupBy("key").agg(F.min("doc_id").alias("v"))
-    families = cut(connected_components(members.join(centres, "key").select(F.col("doc_id").alias("u"), "v")))
-    placed = members.join(families.withColumnRenamed("component", "family"), F.col("doc_id") == F.col("node")).drop("node")
-    docs = placed.select("family", "doc_id").distinct().groupBy("family").agg(F.count("*").alias("docs"))
-    cost = placed.groupBy("family").agg(F.sum(F.ceil(F.col("n") / TILE)).alias("by_block")).join(docs, "family")
-    whole = cost.select("family", (F.col("docs") * F.ceil(F.col("docs") / TILE) <= F.col("by_block")).alias("whole"))
-    named = placed.join(whole, "family").withColumn("key", F.when(F.col("whole"), F.concat(F.lit("family "), "family")).otherwise(F.concat(F.lit("block "), "key")))
-    return named.select("key", "doc_id", "component", "n_shingles").distinct()
-
-
-def _tiles(members: DataFrame) -> DataFrame:
-    """``key, a, b, doc_id, component, side`` of large blocks' members, for each two tiles that may hold links.
-
-    A component that fills a tile has tiles of its own, which aren't paired with one another.
-    """
-    of = members.groupBy("key", "component").agg(F.count("*").alias("own"))
-    of = of.withColumn("pure", F.when(F.col("own") >= TILE, F.col("component").cast("string")).otherwise(F.lit("mixed")))
-    sizes = of.groupBy("key", "pure").agg(F.ceil(F.sum("own") / TILE).alias("tiles"))
-    placed = members.join(of.select("key", "component", "pure"), ["key", "component"]).join(sizes, ["key", "pure"])
-    placed = cut(placed.withColumn("tile", F.concat_ws(":", "pure", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))))
-    tiles = placed.select("key", "pure", "tile").distinct()
-    other = tiles.select("key", F.col("pure").alias("pure_b"), F.col("tile").alias("b"))
-    pairs = tiles.withColumnRenamed("tile", "a").join(other, "key").filter("a <= b and not (pure = pure_b and pure != 'mixed')").select("key", "a", "b")
-    left = placed.join(pairs.withColumnRenamed("a", "tile"), ["key", "tile"]).withColumnRenamed("tile", "a").withColumn("side", F.when(F.col("a") == F.col("b"), 2).otherwise(0))
-    right = placed.join(pairs.filter("a < b").withColumnRenamed("b", "tile"), ["key", "tile"]).withColumnRenamed("tile", "b").withColumn("side", F.lit(1))
-    columns = ["key", "a", "b", "doc_id", "component", "n_shingles", "side"]
-    return left.select(*columns).unionByName(right.select(*columns))
-
-
-def _product(tiles: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v) that the tiles' products give."""
-
-    def run(t: pa.Table) -> pa.Table:
-        doc, component, size, side = (t[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "side"))
-        found = tile_links(doc, component, size, side, [np.frombuffer(c.as_buffer(), np.uint64) for c in t["columns"]], percent)
-        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
-
-    tiles = cut(tiles)
-    sets = store(incidence(docs, cut(tiles.select("doc_id").distinct()), width))
-    return tiles.join(sets, "doc_id").groupBy("key", "a", "b").applyInArrow(run, "u long, v long")
-
-
 def similar_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id``: a row for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -234,7 +109,7 @@ def similar_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     more = confirm(cut(pairs), docs, width, percent)
     large = still.filter(F.col("n") > FEW)
     if large.limit(1).count():
-        more = more.unionByName(_product(_tiles(cut(_families(large))), docs, width, percent))
+        more = more.unionByName(product(tile_pairs(cut(families(large))), docs, width, percent))
     more = cut(more)
     if more.limit(1).count():
         groups = cut(connected_components(links.unionByName(more)))

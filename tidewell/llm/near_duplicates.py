@@ -5,14 +5,16 @@ hash. Empty bins borrow from filled ones by optimal densification: a fixed pseud
 texts, is followed to the first filled one. Bands of five bins are bucket keys. A pair at the similarity limit of 0.8 misses all
 51 bands with a probability of about 2e-9.
 
-Texts with equal sets are one class from the start. Within a bucket, candidates form a star round its smallest member, so a
+Texts of equal word sequences are one class from the start. Within a bucket, candidates form a star round its smallest member, so a
 bucket of n gives n - 1 pairs. Star pairs that share several buckets are confirmed first, on the full sets of words.
 Components of confirmed links settle nearly all buckets. Documents of buckets that still hold several components are compared
 exactly: shingles are ordered by how many of these documents hold them, rarest first, and two documents can only be similar if
 the first shingle that they have in common stands near the front of both and leaves enough behind it. So pages of one template,
 which differ in their own rare words, never meet, and what does meet is ruled out by four whole numbers a row before any text
-is read. What is left is confirmed on the full sets, against large components chunk by chunk within a task. No link is lost to
-the star's choice of centre, no estimate discards a pair, no bucket is capped, and large groups never give all pairs as rows.
+is read. What is left is confirmed on the full sets, against large components chunk by chunk within a task. Shingles near the front of many
+documents, as pages about the limit have them, give no pairs: their documents are cut into tiles, and tiles are multiplied (see
+:mod:`tidewell.llm.tiles`), so what is shipped grows with the documents and tiles. No link is lost to the star's choice of centre, no
+estimate discards a pair, no bucket is capped, and large groups never give all pairs as rows.
 
 Defined cases: null and blank texts have no shingles and are linked with nothing; with fewer words than a shingle has, the
 whole sequence is one shingle; repeated rows give repeated results; rows without an id take no part (no class, kept); an empty
@@ -21,18 +23,18 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import by_size, cut, map_texts, store, words
 from tidewell.llm.components import connected_components
+from tidewell.llm.shingling import WordHash, set_size, shingle_hashes, shingles, split_words, words_key
+from tidewell.llm.tiles import BROADCAST_IDS, families, product, tile_pairs
 
 BINS, BAND, SEED = 256, 5, 11
 BANDS = BINS // BAND
@@ -40,46 +42,12 @@ BANDS = BINS // BAND
 FIRST_SHARED = 4
 #: Rows of one shingle that one task compares with as many others; more go by pairs of such parts.
 PART = 4096
+#: Rows of a shingle up to which its pairs are looked at one by one; the documents of others are multiplied in tiles.
+FEW = 24
 #: Components of more members are asked about as a whole; their members and the askers are cut into chunks.
 SMALL, CHUNK_MEMBERS = 8, 256
-#: Ids up to which a list of needed documents is broadcast, eight bytes each and the table's overhead.
-BROADCAST_IDS = 1_000_000
 #: A shingle in more than one of this many rows is frequent; so there are at most as many frequent ones, 16 bytes each.
 FREQUENT = 50_000
-KEEP = 300_000
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-
-
-class WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KEEP:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def split_words(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased."""
-    return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
-
-
-def shingles(words: list[bytes], width: int) -> set:
-    """The full set, of words themselves."""
-    if len(words) <= width:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[k:] for k in range(width))))
-
-
-def shingle_hashes(words: list[bytes], width: int, hashes: WordHash) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the set."""
-    h = np.array(list(map(hashes.__getitem__, words)), dtype=np.uint64)
-    n = max(1, len(h) - width + 1)
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(min(width, len(h))):
-        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(out ^ (out >> np.uint64(32)))
 
 
 @lru_cache(maxsize=1)
@@ -117,11 +85,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return (keys & ~np.uint64(63) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, words_key binary, bands array<long>"
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """A row for each document: its set's size, a key that equal sets share, and bucket keys."""
+    """A row for each document: its set's size, a key that equal word sequences share, and bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -135,11 +103,11 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                     bands.append(None)
                     continue
                 own = shingle_hashes(words, width, hashes)
-                sizes.append(len(own))
-                keys.append(hashlib.md5(own.tobytes()).digest())
+                sizes.append(set_size(words, width))
+                keys.append(words_key(words))
                 bands.append(band_keys(signature(own)))
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "words_key", "bands"])
 
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SKETCH)
 
@@ -331,9 +299,9 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: a row for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(sketch(docs, width))
-    classes = cut(rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
+    classes = cut(rows.filter("words_key is not null and doc_id is not null").groupBy("words_key").agg(F.min("doc_id").alias("rep")))
     whole = by_size(classes.select(F.col("rep").alias("doc_id")), BROADCAST_IDS)
-    reps = rows.filter("set_key is not null").join(whole, "doc_id", "left_semi")
+    reps = rows.filter("words_key is not null").join(whole, "doc_id", "left_semi")
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("size")).filter("size > 1")
     shared = cut(banded.join(buckets, "key"))
@@ -341,18 +309,22 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     links = cut(confirm(cut(stars.filter(F.col("n") >= FIRST_SHARED).select("u", "v")), docs, width, percent))
     groups = cut(connected_components(links))
     fronts = cut(front_shingles(cut(_open_documents(shared, reps, groups)), docs, width, percent))
-    rest = cut(cross_pairs(_in_parts(fronts), percent).distinct())
+    many = cut(fronts.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).filter(f"n > {FEW} and a < b").select("key"))
+    dense = cut(fronts.join(by_size(many, BROADCAST_IDS), "key", "left_semi").select("key", "doc_id", "component", "n_shingles"))
+    rest = cut(cross_pairs(_in_parts(fronts.join(by_size(many, BROADCAST_IDS), "key", "left_anti")), percent).distinct())
     pairs = rest.filter("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     asked = rest.filter("v is null").select("u", "component")
     more = confirm(cut(pairs), docs, width, percent)
     if asked.limit(1).count():
         more = more.unionByName(confirm_large(asked, groups, docs, width, percent))
+    if dense.limit(1).count():
+        more = more.unionByName(product(tile_pairs(cut(families(dense))), docs, width, percent))
     more = cut(more)
     if more.limit(1).count():
         groups = cut(connected_components(links.unionByName(more)))
 
-    named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("class_id"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("words_key", F.coalesce("component", "rep").alias("class_id"))
+    out = rows.select("doc_id", "n_shingles", "words_key").join(named, "words_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
