@@ -309,9 +309,11 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     links = cut(confirm(cut(stars.filter(F.col("n") >= FIRST_SHARED).select("u", "v")), docs, width, percent))
     groups = cut(connected_components(links))
     fronts = cut(front_shingles(cut(_open_documents(shared, reps, groups)), docs, width, percent))
-    many = cut(fronts.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).filter(f"n > {FEW} and a < b").select("key"))
-    dense = cut(fronts.join(by_size(many, BROADCAST_IDS), "key", "left_semi").select("key", "doc_id", "component", "n_shingles"))
-    rest = cut(cross_pairs(_in_parts(fronts.join(by_size(many, BROADCAST_IDS), "key", "left_anti")), percent).distinct())
+    # shingles that several components share, and how many documents have each
+    keys = fronts.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
+    met = cut(fronts.join(by_size(cut(keys.select("key", "n")), BROADCAST_IDS), "key"))
+    dense = met.filter(F.col("n") > FEW).select("key", "doc_id", "component", "n_shingles")
+    rest = cut(cross_pairs(_in_parts(met.filter(F.col("n") <= FEW).drop("n")), percent).distinct())
     pairs = rest.filter("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     asked = rest.filter("v is null").select("u", "component")
     more = confirm(cut(pairs), docs, width, percent)
