@@ -215,3 +215,18 @@ def test_whole_table_of_the_small_scale(spark, sf, sentencepiece_model):
     texts = pq.read_table(f"{sf}/documents.parquet").to_pandas().set_index("doc_id").text
     for r in token_counts.count_tokens(spark.read.parquet(f"{sf}/documents.parquet")).collect():
         assert r["n_tokens"] == len(sentencepiece_model.encode(texts[r["doc_id"]]))
+
+
+@pytest.mark.parametrize("sizes", [range(1, 8), range(8, 70, 9), (70,)])
+def test_token_counts_by_rows_of_chunks(spark, sentencepiece_model, sizes):
+    """Chunks of every kind of size, maps composed by two and by many, equal rows, an id on two texts, no id."""
+    rng = random.Random(8)
+    letters = ["  ", " ", "the", "ing", "\n", "é", "中", "▁", "xyzw" * 30, "a1", "\U0001f600"]
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (3, 9, 40, 40, 90)] + ["ab" * 150, "ab" * 150, "", None, "the end"]
+    rows = [(k if k != 4 else None, t) for k, t in enumerate(texts)]
+    rows += [rows[2]] * 3 + [rows[4]] + [(2, texts[3]), (5, "ab" * 151), (9, "the end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((k, len((t or "").encode()), len(sentencepiece_model.encode(t or ""))) for k, t in rows)
+    for chunk in sizes:
+        got = token_counts.count_tokens(df, chunk=chunk, fan=2 + chunk % 5 * 3).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got) == want, chunk

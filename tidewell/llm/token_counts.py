@@ -6,34 +6,44 @@ that suffix and its distance in tokens. These tuples are the states of a determi
 number of tokens that the longer prefix has more. States are made when first met and kept, as in lazy determinisation.
 
 A chunk's state map is a function from the state before the chunk to the state behind it and the tokens gained. It is held as
-what was read from the start state, with the states passed on the way: from another state only the first characters are read
-again, until both readings are in one state. No piece holds a space mark behind another character, so each such boundary is one
-known state for all readings, and a map is constant from its first boundary on. Maps compose associatively at any cut point,
-also inside words, and a text's chunks are composed pairwise, level by level, as in a parallel prefix scan.
-
-Defined cases: null and empty texts have 0 tokens; repeated rows are counted each; other columns of the input are dropped;
-an empty table gives an empty result. Texts have no length limit; a word's cost is linear in its length, and states made are
-dropped beyond a fixed number, also within a word.
+what was read from the start state: from another state only the first characters are read again, until both readings are in one
+state. No piece holds a space mark behind another character, so each such boundary is one known state for all readings, and a
+map is constant from its first boundary on. Maps compose associatively at any cut point, also inside words.
+
+Every text is cut into chunks. The map of a text's only chunk gives its count at once. The chunks of longer texts are rows of
+their own: tasks all over the cluster turn chunks into maps, and groups of neighbouring maps are composed, level by level, up
+to one map for each text, as in a parallel prefix scan.
+
+Defined cases: null and empty texts have 0 tokens; repeated rows are counted each (equal chunks of equal rows are read once,
+with the number of rows beside them); a null id stays null; other columns of the input are dropped; an empty table gives an
+empty result. Texts have no length limit; a word's cost is linear in its length, and states made are dropped beyond a fixed
+number, also within a word. A map travels with the characters before its first boundary, so the last task of a text without any
+space holds that text once, as the scan did.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import map_texts
+from tidewell.llm.common import map_texts, store
 
 MARK = "▁"
 CHUNK = 1 << 16
+#: Neighbouring maps that one step composes.
+FAN = 64
 #: Words and merges, and states and transitions, that a worker keeps before it begins anew.
 KEEP, KEEP_STATES, KEEP_MOVES = 500_000, 200_000, 800_000
-#: Characters between the states that a map remembers.
+#: Characters after which two readings are compared.
 STEP = 64
 #: A state: for each suffix that is empty or begins a piece, (suffix, token before it, tokens up to there, relative).
 State = tuple[tuple[str, str, int], ...]
@@ -150,25 +160,22 @@ class Counts(dict):
 
 
 class Reading:
-    """The map of a stretch without a boundary: what is read from the start state, with the states passed each ``STEP``."""
+    """The map of a stretch without a boundary: the state and tokens when read from the start state."""
 
-    def __init__(self, text: str, transducer: Transducer) -> None:
-        self.text, self.transducer, self.passed, self.total, self.exit = text, transducer, [], 0, START
-        for i in range(0, len(text), STEP):
-            self.exit, n = transducer.run(text[i : i + STEP], self.exit)
-            self.total += n
-            self.passed.append((self.exit, self.total))
+    def __init__(self, text: str, transducer: Transducer, read: tuple[State, int] | None = None) -> None:
+        self.text, self.transducer = text, transducer
+        self.exit, self.total = read or transducer.run(text)
 
     def __call__(self, state: State) -> tuple[State, int]:
-        if state == START:
-            return self.exit, self.total
-        total = 0
-        for k, (known, upto) in enumerate(self.passed):
-            state, n = self.transducer.run(self.text[k * STEP : (k + 1) * STEP], state)
-            total += n
-            if state == known:
-                return self.exit, total + self.total - upto
-        return state, total
+        start, lead = START, 0
+        for i in range(0, len(self.text), STEP):
+            if state == start:
+                return self.exit, self.total + lead
+            part = self.text[i : i + STEP]
+            state, n = self.transducer.run(part, state)
+            start, known = self.transducer.run(part, start)
+            lead += n - known
+        return state, self.total + lead
 
 
 @dataclass(frozen=True)
@@ -208,16 +215,30 @@ def compose(a: Map, b: Map) -> Map:
     return Map(a.head, a.tokens + n, end)
 
 
+def compose_all(maps: list[Map]) -> Map:
+    while len(maps) > 1:  # one level of the scan: neighbours compose, whatever stands before them
+        maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
+
+
+def packed(m: Map) -> bytes:
+    return pickle.dumps(([(r.text, (r.exit, r.total)) for r in m.head], m.tokens, m.exit))
+
+
+def unpacked(data: bytes, transducer: Transducer) -> Map:
+    head, tokens, end = pickle.loads(data)
+    return Map(tuple(Reading(text, transducer, read) for text, read in head), tokens, end)
+
+
+def marked(chunk: str, part: int) -> str:
+    """The ``part``-th chunk of a text with space marks, and the mark before the text's first."""
+    return MARK * (part == 0) + chunk.replace(" ", MARK)
+
+
 def count_text(text: str | None, counts: Counts, chunk: int = CHUNK) -> int:
     if not text:
         return 0
-    text = MARK + text.replace(" ", MARK)
-    if len(text) <= chunk:
-        return sum(map(counts.__getitem__, UNIT.findall(text)))
-    maps = [chunk_map(text[i : i + chunk], counts) for i in range(0, len(text), chunk)]
-    while len(maps) > 1:  # one level of the scan: neighbours compose, whatever stands before them
-        maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0](START)[1]
+    return compose_all([chunk_map(marked(text[i : i + chunk], i), counts) for i in range(0, len(text), chunk)])(START)[1]
 
 
 @lru_cache(maxsize=2)
@@ -243,16 +264,68 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def count_tokens(docs: DataFrame, model_file: str | None = None, text: str = "text", chunk: int = CHUNK, limit: int = 4096) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit``, a row for each document. One pass over the texts, nothing is shuffled."""
-    schema = "doc_id long, n_bytes long, n_tokens long"
+def read_texts(docs: DataFrame, text: str, chunk: int, model_file: str | None) -> DataFrame:
+    """``doc_id, n_bytes`` and the tokens of each text of one chunk; a longer text's chunks by its digest and their number."""
+
+    def rows(ids: list, sizes: list, texts: list, counts: Counts) -> Iterator[tuple]:
+        for doc, size, t in zip(ids, sizes, texts):
+            if len(t or "") <= chunk:
+                yield doc, size, count_text(t, counts, chunk), None, None, None
+            else:
+                digest = hashlib.blake2b(t.encode(), digest_size=16).digest()
+                for i in range(0, len(t), chunk):
+                    yield doc, size, None, digest, i // chunk, t[i : i + chunk]
+
+    names = ["doc_id", "n_bytes", "n_tokens", "digest", "part", "chunk"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(load(model_file or default_model()))
         for batch in batches:
-            n = pa.array([count_text(t.as_py(), counts, chunk) for t in batch.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], names=["doc_id", "n_bytes", "n_tokens"])
+            got = rows(*(c.to_pylist() for c in batch.columns), counts)
+            while some := list(islice(got, 128)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names=names)
 
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    rows = map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("n_bytes"), F.col(text).alias("text")), run, schema)
-    return rows.withColumn("over_limit", F.col("n_tokens") > limit)
+    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("n_bytes"), F.col(text).alias("text"))
+    return map_texts(rows_in, run, "doc_id long, n_bytes long, n_tokens long, digest binary, part int, chunk string")
+
+
+def count_long(chunks: DataFrame, fan: int, model_file: str | None) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens`` of texts of several chunks: a map for each chunk, then levels of composed neighbours."""
+    last = chunks.agg(F.max("part")).first()[0]
+    keys = ["doc_id", "n_bytes", "digest", "rows"]
+    names = [*keys, "part", "map", "n_tokens"]
+    schema = "doc_id long, n_bytes long, digest binary, rows long, part int, map binary, n_tokens long"
+
+    def step(make):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = Counts(load(model_file or default_model()))
+            for batch in batches:
+                maps = [make(item.as_py(), part.as_py(), counts) for item, part in zip(batch.column(5), batch.column(4))]
+                more = [pa.array([packed(m) for m in maps], pa.binary()), pa.array([m(START)[1] for m in maps], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], *more], names=names)
+
+        return run
+
+    of_chunk = step(lambda chunk, part, counts: chunk_map(marked(chunk, part), counts))
+    of_group = step(lambda maps, part, counts: compose_all([unpacked(m["map"], counts.transducer) for m in maps]))
+
+    # equal rows have equal chunks, and so does any try of a task that is run again
+    single = chunks.groupBy("doc_id", "n_bytes", "digest", "part", "chunk").agg(F.count("*").alias("rows"))
+    maps = map_texts(single.select(*keys, "part", "chunk"), of_chunk, schema)
+    while last:
+        last //= fan
+        neighbours = F.sort_array(F.collect_list(F.struct("part", "map"))).alias("maps")
+        groups = maps.groupBy(*keys, F.floor(F.col("part") / fan).cast("int").alias("group")).agg(neighbours)
+        maps = map_texts(groups, of_group, schema)
+    return maps.select("doc_id", "n_bytes", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("col")
+
+
+def count_tokens(docs: DataFrame, model_file: str | None = None, text: str = "text", chunk: int = CHUNK, limit: int = 4096, fan: int = FAN) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, over_limit``, a row for each document. One pass over the texts; only chunks of texts that
+    have several are shuffled."""
+    read = store(read_texts(docs, text, chunk, model_file))
+    done = read.filter("digest is null").select("doc_id", "n_bytes", "n_tokens")
+    chunks = read.filter("digest is not null").select("doc_id", "n_bytes", "digest", "part", "chunk")
+    return done.unionAll(count_long(chunks, fan, model_file)).withColumn("over_limit", F.col("n_tokens") > limit)
