@@ -47,3 +47,22 @@ def test_intervals_and_reclassification_at_the_edges(spark):
     row = metrics.reclassification(same, "a", "b").first()
     assert row["nri"] == 2.0 and abs(row["idi"] - 1.6) < 1e-12
     assert tuple(metrics.reclassification(same.limit(0), "a", "b").first()) == (None, None)
+
+
+def test_pivot_takes_the_last_of_a_field_and_whole_rows_only_if_asked(spark):
+    head = "MSH|^~\\&|A|B|C|D|2024||ORU^R01|{}|P|2.5"
+    hr, o2, t = "OBX|1|NM|8867-4^x^LN||{}", "OBX|1|NM|2708-6^x^LN||{}", "OBX|1|NM|8310-5^x^LN||{}"
+    texts = [
+        "\r".join([head.format("last"), hr.format(80), o2.format(97), hr.format(90), hr.format("none"), hr.format("")]),
+        "\r".join([head.format("same"), t.format(37.5)]),
+        "\r".join([head.format("same"), t.format(37.5)]),
+        "\r".join([head.format("words"), hr.format("fast")]),
+        head.format("bare"),
+        "",
+        None,
+    ]
+    parsed = clinical_docs.parse_hl7(spark.createDataFrame([(x, 1) for x in texts], "message string, heart_rate int"))
+    got = clinical_docs.pivot_hl7(parsed, complete=False).collect()
+    assert sorted((r["control_id"], r["heart_rate"], r["spo2_pct"], r["temperature_c"]) for r in got) == [("last", 90.0, 97.0, None)] + [("same", None, None, 37.5)] * 2
+    two = clinical_docs.pivot_hl7(parsed, fields=["heart_rate", "spo2_pct"]).collect()
+    assert [tuple(r) for r in two] == [("last", 90.0, 97.0)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,13 @@ def parse_hl7(messages: DataFrame, column: str = "message") -> DataFrame:
     field = lambda a, k: F.nullif(F.get(a, F.lit(k)), F.lit(""))
     part = lambda c, k: F.get(F.split(c, r"\^"), F.lit(k))
 
-    def obx(s: Column) -> Column:
-        f = F.split(s, r"\|")
-        code, value = field(f, 3), field(f, 5)
-        return F.struct(part(code, 0).alias("code"), part(code, 1).alias("text"), value.alias("value"), value.try_cast("double").alias("number"))
+    # a transform for each step, so that a segment is split once and not once a field
+    fields = F.transform(F.filter("_s", lambda s: s.startswith("OBX|")), lambda s: F.split(s, r"\|"))
+    pairs = F.transform(fields, lambda f: F.struct(F.split(field(f, 3), r"\^").alias("code"), field(f, 5).alias("value")))
+    obx = F.transform(
+        pairs,
+        lambda o: F.struct(F.get(o["code"], F.lit(0)).alias("code"), F.get(o["code"], F.lit(1)).alias("text"), o["value"].alias("value"), o["value"].try_cast("double").alias("number")),
+    )
 
     return out.select(
         *messages.columns,
@@ -38,7 +43,7 @@ def parse_hl7(messages: DataFrame, column: str = "message") -> DataFrame:
         birth_date(field(pid, 7)).alias("birth_date"),
         F.when(F.upper(field(pid, 8)) == "M", "M").otherwise("F").alias("gender"),
         admission_type(field(pv1, 4)).alias("admission_type"),
-        F.transform(F.filter("_s", lambda s: s.startswith("OBX|")), obx).alias("obx"),
+        obx.alias("obx"),
     )
 
 
@@ -69,14 +74,16 @@ def pivot_hl7(parsed: DataFrame, key: str = "control_id", fields: list[str] | No
     """A row for each message with its numeric observations by column, the last of a field winning; messages without any go.
 
     A code is looked up first, then the identifier's text. Inside the row: messages that share a control id, or have none,
-    stay apart, and nothing is shuffled.
+    stay apart, and nothing is shuffled. One fold over the observations gives all fields; rows are chosen inside the generator,
+    since a filter would move below the fold and read the observations twice.
     """
     fields = fields or VITALS
     named = F.transform("obx", lambda o: F.struct(F.coalesce(code_column(o["code"]), code_column(o["text"])).alias("field"), o["number"].alias("number")))
-    out = parsed.select(key, F.filter(named, lambda o: o["field"].isin(fields) & o["number"].isNotNull()).alias("_o")).filter(F.size("_o") > 0)
-    last = lambda f: F.try_element_at(F.filter("_o", lambda o: o["field"] == f), F.lit(-1))["number"]
-    wide = out.select(key, *[last(f).alias(f) for f in fields])
-    return wide.dropna(subset=fields) if complete else wide
+    seen = F.filter(named, lambda o: o["number"].isNotNull())
+    empty = F.struct(*[F.lit(None).cast("double").alias(f) for f in fields])
+    last = F.aggregate(seen, empty, lambda row, o: F.struct(*[F.when(o["field"] == f, o["number"]).otherwise(row[f]).alias(f) for f in fields]))
+    keep = lambda row: reduce((lambda a, b: a & b) if complete else (lambda a, b: a | b), [row[f].isNotNull() for f in fields])
+    return parsed.select(key, F.inline(F.filter(F.array(last), keep)))
 
 
 OBSERVATION = (
