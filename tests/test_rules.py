@@ -117,3 +117,16 @@ def test_running_sums_by_ranges_equal_those_of_one_task(spark):
     for down in (False, True):
         one, many = (sorted(map(str, running_sums(df, "x", ["a", "b"], down, n).select("x", "a_upto", "b_upto", "a_all").collect())) for n in (1000, 10))
         assert one == many
+
+
+@pytest.mark.parametrize("zone", ["Etc/UTC", "Asia/Kolkata", "America/New_York"])
+def test_cooldowns_in_any_time_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = spark.range(10).select(F.lit("r").alias("rule"), F.col("id").alias("patient_id"), F.timestamp_seconds(F.col("id") * 40 + 1_700_000_000).alias("ts"), F.lit(100).alias("cooldown"))
+        rows = rows.unionByName(rows.limit(1).withColumn("ts", F.lit(None).cast("timestamp")))
+        got = alerts.cool_down(rows).select("patient_id", F.unix_seconds("ts").alias("s")).collect()
+        assert sorted(((r["patient_id"], r["s"]) for r in got), key=str) == sorted([(k, 1_700_000_000 + 40 * k) for k in (0, 3, 6, 9)] + [(0, None)], key=str)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -53,9 +53,12 @@ def cool_down(alerts: DataFrame, scope: tuple[str, ...] = ("rule",), order: str
     cooldown (0 or less), are all kept; a cooldown that is null never ends.
     """
     kind = dict(alerts.dtypes)
+    # times travel to Python as numbers: Arrow's timestamps carry a zone, and Spark takes back no other than UTC
+    timed = kind[order] == "timestamp"
+    stamp, back = (F.unix_micros(order), F.timestamp_micros("x.ts")) if timed else (F.col(order), F.col("x.ts"))
     names = [f"s{k}" for k in range(len(scope))]
     scoped = ", ".join(f"{n} {kind[c]}" for n, c in zip(names, scope))
-    rows = alerts.select(*[F.col(c).alias(n) for n, c in zip(names, scope)], F.col("cooldown").cast("double").alias("wait"), F.unix_timestamp(order).alias("t"), F.struct(F.col(key).alias("k"), F.col(order).alias("ts")).alias("x"))
+    rows = alerts.select(*[F.col(c).alias(n) for n, c in zip(names, scope)], F.col("cooldown").cast("double").alias("wait"), F.unix_timestamp(order).alias("t"), F.struct(F.col(key).alias("k"), stamp.alias("ts")).alias("x"))
     open_rows, endless = rows.filter("t is null or wait <= 0"), rows.filter("t is not null and wait is null")
     first = endless.groupBy(*names).agg(F.min_by("x", F.struct("t", "x")).alias("x"))
     seconds = rows.filter("t is not null and wait > 0").groupBy(*names, "wait", "t").agg(F.min("x").alias("x"))
@@ -91,15 +94,16 @@ def cool_down(alerts: DataFrame, scope: tuple[str, ...] = ("rule",), order: str
         while i < len(t):
             keep.append(i)
             i = int(np.searchsorted(t, t[i] + block["wait"][0].as_py()))
-        return block.select([*names, "x"]).take(pa.array(keep, pa.int64()))
+        return block.select([*names, "k", "ts"]).take(pa.array(keep, pa.int64()))
 
     place = f"{scoped}, wait double, block long"
     possible = times.groupBy(*clock, "block").applyInArrow(entries, f"{place}, start long, t long, free double")
     entered = possible.groupBy(*clock).applyInArrow(follow, f"{place}, t long")
-    item = f"{scoped}, x struct<k: {kind[key]}, ts: {kind[order]}>"
-    folded = seconds.groupBy(*clock, "block").cogroup(entered.groupBy(*clock, "block")).applyInArrow(fold, item)
-    kept = folded.unionByName(first).unionByName(open_rows.select(*names, "x"))
-    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, scope)], *([F.col("x.k").alias(key)] if key not in scope else []), F.col("x.ts").alias(order))
+    item = f"{scoped}, k {kind[key]}, ts {'long' if timed else kind[order]}"
+    flat = seconds.select(*clock, "block", "t", "x.k", "x.ts")
+    folded = flat.groupBy(*clock, "block").cogroup(entered.groupBy(*clock, "block")).applyInArrow(fold, item)
+    kept = folded.select(*names, F.struct("k", "ts").alias("x")).unionByName(first).unionByName(open_rows.select(*names, "x"))
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, scope)], *([F.col("x.k").alias(key)] if key not in scope else []), back.alias(order))
 
 
 def by_severity(alerts: DataFrame) -> DataFrame:
