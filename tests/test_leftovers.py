@@ -108,6 +108,15 @@ def test_message_function_equals_the_parser(spark, sf):
         spark.sql("SELECT h.* FROM feed f, LATERAL parse_message(f.message, 'other') h")
 
 
+def test_message_function_sends_rows_in_batches(spark, sf):
+    message_function.register(spark)
+    feed = messages(spark, sf).limit(20).unionByName(spark.createDataFrame([("OBX|1|NM|a^b||1|\r\n \nOBX\nMSH|^~\\&|\r\x1c\r",)], "message string"))
+    feed.createOrReplaceTempView("batched")
+    got = spark.sql("SELECT o.code, o.number FROM batched f, LATERAL parse_message(f.message) o")
+    assert "BatchEvalPythonUDTF" in got._jdf.queryExecution().executedPlan().toString()  # an Arrow one makes a table for each message
+    assert got.count() == 20 * 6 + 1 and got.filter("code = 'a'").first()["number"] == 1.0
+
+
 def test_gate_and_next_action(spark):
     cases = list(itertools.product([True, False], [4999, 5000], [True, False], [True, False]))
     state = spark.createDataFrame(cases, "drifted boolean, samples int, busy boolean, shadow_running boolean")

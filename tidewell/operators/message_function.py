@@ -2,6 +2,9 @@
 
 Its columns follow from its second argument when the query is analysed: ``'observations'`` (the default) gives a row for each
 observation, ``'header'`` one row for each message.
+
+Rows go to Python in pickled batches: with Arrow a lateral call makes a table of columns for each single message, which costs
+many times the parse.
 """
 
 from __future__ import annotations
@@ -17,18 +20,24 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 #: Columns by name and type; analysis runs without a session, so they aren't parsed from a string.
 HEADER = {"message_type": StringType(), "control_id": StringType(), "mrn": StringType(), "gender": StringType(), "n_observations": IntegerType()}
 OBSERVATIONS = {"control_id": StringType(), "mrn": StringType(), "position": IntegerType(), "code": StringType(), "text": StringType(), "value": StringType(), "number": DoubleType()}
+_END = re.compile("\x1c\r?$")
 _NUMBER = re.compile(r"\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?[df]?|inf|infinity|nan)\s*", re.I)
 
 
 def fields(message: str) -> tuple[dict[str, list[str]], list[list[str]]]:
     """The first segment of each name, and all observation segments, cut at bars."""
-    text = re.sub(r"\r\n|\n", "\r", re.sub("\x1c\r?$", "", message.removeprefix("\x0b")))
-    found = [s.split("|") for s in text.split("\r") if s.strip(" ")]
+    text = message.removeprefix("\x0b")
+    if "\x1c" in text:
+        text = _END.sub("", text)
     first: dict[str, list[str]] = {}
-    for s in found:
-        if len(s) > 1:
-            first.setdefault(s[0], s)
-    return first, [s for s in found if s[0] == "OBX" and len(s) > 1]
+    obx = []
+    for s in text.replace("\r\n", "\r").replace("\n", "\r").split("\r"):
+        cut = s.split("|")
+        if len(cut) > 1:
+            first.setdefault(cut[0], cut)
+            if cut[0] == "OBX":
+                obx.append(cut)
+    return first, obx
 
 
 def number(value: str | None) -> float | None:
@@ -70,4 +79,4 @@ class ParseMessage:
 
 
 def register(spark: SparkSession, name: str = "parse_message") -> None:
-    spark.udtf.register(name, udtf(ParseMessage, useArrow=True))
+    spark.udtf.register(name, udtf(ParseMessage, useArrow=False))
