@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -40,6 +41,15 @@ def test_paired_delong(spark):
     assert (few["auroc_one"], few["se"]) == (None, None)
 
 
+def test_p_values_of_far_apart_scores_are_small(spark):
+    zs = [0.0, 1.96, 3.5, 5.0, 8.0, 8.3, 13.0, 15.0, 20.0, 27.4, 60.0]
+    df = spark.createDataFrame([(z,) for z in zs], "z double").select("z", F.round(2 * (1 - drift.normal_share(F.col("z"))), 6).alias("p"))
+    assert {r["z"]: r["p"] for r in df.collect()} == {z: round(math.erfc(z / math.sqrt(2)), 6) for z in zs}
+    rows = spark.range(9000).select((F.col("id") * 7919 % 1000 / 1000.0).alias("a"), (F.col("id") % 3 == 0).cast("int").alias("label")).withColumn("b", F.round(F.col("a") + F.col("label") * 0.3, 3))
+    got = metrics.paired_delong(rows, "a", "b").first()
+    assert got["z"] < -20 and got["p_value"] == 0.0
+
+
 def test_bootstrap_of_average_precision_equals_a_plain_version(spark):
     df, rows = scored(spark)
     got = metrics.bootstrap_auprc(df.repartition(3), "a", replicates=60, seed=5).first()
